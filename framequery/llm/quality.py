@@ -1,7 +1,7 @@
 """Quality classifier: regularised quadratic discriminant analysis.
 
-Each document becomes a vector of transformed statistics, computed by native
-expressions in one pass over its whole text.  Class means and covariances come
+Each document becomes a vector of transformed statistics, counted in one pass
+over its whole text in Arrow batches.  Class means and covariances come
 from one distributed aggregation over *all* labelled training rows; only the
 moments, whose number depends on the statistics alone, reach the driver.  Each
 covariance is shrunk towards the pooled one, its Cholesky factor is computed
@@ -11,17 +11,27 @@ log-densities plus the log prior odds.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from framequery.llm.common import id_bucket, labelled, settle, table, whole_text
+from framequery.llm.common import id_bucket, labelled, settle, table
 
 STATISTICS = ("words", "word_len", "symbols", "upper", "digits", "bangs", "lone_marks", "repetition", "lines")
+#: Marks that a word may consist of; those that count as symbols.
+MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
+SYMBOLS = MARKS.translate(str.maketrans("", "", ".,;:!?'\"-"))
+#: The kind of each UTF-8 byte: 1 symbol, 2 capital, 3 digit, 4 exclamation mark, 5 line end.
+KIND = np.zeros(256, np.uint8)
+for _kind, _chars in enumerate((SYMBOLS, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "!", "\n"), 1):
+    KIND[list(_chars.encode())] = _kind
 
 
 @dataclass(frozen=True)
@@ -34,24 +44,52 @@ class Discriminant:
     log_det: tuple[float, float]
 
 
-def statistics(text: Column) -> list[Column]:
-    """The transformed statistics of a whole text; none is null or infinite."""
-    left_over = lambda pattern: F.length(F.regexp_replace(text, pattern, "")).cast("double")
-    n = F.regexp_count(text, F.lit(r"\S+")).cast("double")
-    chars = F.length(text).cast("double")
-    rate = lambda count, base, prior: F.log((count + 0.5) / (base + F.lit(float(prior))))
-    distinct = F.size(F.array_distinct(F.split(F.lower(text), r"\s+"))).cast("double")
-    return [
-        F.log1p(n).alias("words"),
-        F.log((chars + 6.0) / (n + 1.0)).alias("word_len"),
-        rate(left_over(r"[\p{L}\p{N}\s.,;:!?'\"-]+"), chars, 50).alias("symbols"),
-        rate(left_over(r"\P{Lu}+"), chars, 50).alias("upper"),
-        rate(left_over(r"[^0-9]+"), chars, 50).alias("digits"),
-        rate(left_over(r"[^!]+"), chars, 50).alias("bangs"),
-        rate(F.regexp_count(text, F.lit(r"(?<!\S)[^\p{L}\p{N}\s]+(?!\S)")).cast("double"), n, 20).alias("lone_marks"),
-        (F.log1p(n) - F.log1p(distinct)).alias("repetition"),
-        rate(left_over(r"[^\n]+"), n, 20).alias("lines"),
-    ]
+def counts(text: str | None) -> list[int]:
+    """Raw counts of a whole text: words, characters, symbols, capitals, digits,
+    exclamation marks, words of marks alone, distinct words, lines."""
+    text = text or ""
+    words = Counter(text.split())
+    raw = np.frombuffer(text.encode(), np.uint8)
+    kinds = np.bincount(KIND[raw], minlength=6)
+    capitals = kinds[2] + np.count_nonzero((raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E))
+    lone = sum(k for w, k in words.items() if not w.isalnum() and not w.strip(MARKS))
+    return [words.total(), len(text), kinds[1], capitals, kinds[3], kinds[4], lone, len(words), kinds[5]]
+
+
+def statistics(found: np.ndarray) -> np.ndarray:
+    """Rows of counts -> rows of STATISTICS, transformed towards normality and
+    smoothed so that short texts have moderate values."""
+    words, chars, symbols, upper, digits, bangs, lone, distinct, lines = found.astype(float).reshape(-1, 9).T
+    rate = lambda count, base, prior: np.log((count + 0.5) / (base + prior))
+    return np.column_stack(
+        [
+            np.log1p(words),
+            np.log((chars + 6) / (words + 1)),
+            rate(symbols, chars, 50),
+            rate(upper, chars, 50),
+            rate(digits, chars, 50),
+            rate(bangs, chars, 50),
+            rate(lone, words, 20),
+            np.log1p(words) - np.log1p(distinct),
+            rate(lines, words, 20),
+        ]
+    )
+
+
+def of_batch(texts: pa.Array) -> np.ndarray:
+    return statistics(np.array([counts(t.as_py()) for t in texts], np.int64))
+
+
+def document_statistics(docs: DataFrame) -> DataFrame:
+    """doc_id and the STATISTICS of its text."""
+    kept = docs.select("doc_id", "text")
+    schema = StructType([kept.schema["doc_id"], *[StructField(c, DoubleType()) for c in STATISTICS]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, of_batch(batch.column(1)).T)], schema.names)
+
+    return kept.mapInArrow(run, schema)
 
 
 def fit(rows: DataFrame, label: str, shrinkage: float = 0.1) -> Discriminant:
@@ -92,13 +130,16 @@ def log_odds(model: Discriminant, x: np.ndarray) -> np.ndarray:
     return np.clip(odds, -30, 30)
 
 
+def probability(model: Discriminant, x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-log_odds(model, x)))
+
+
 def score(model: Discriminant) -> Callable[[Column], Column]:
     """Probability of label 1, from an array of the STATISTICS."""
 
     @F.pandas_udf("double")
     def of(stats: pd.Series) -> pd.Series:
-        x = np.stack(stats.to_numpy()) if len(stats) else np.empty((0, len(STATISTICS)))
-        return pd.Series(1 / (1 + np.exp(-log_odds(model, x))))
+        return pd.Series(probability(model, np.array(stats.tolist()).reshape(-1, len(STATISTICS))))
 
     return of
 
@@ -116,7 +157,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -
     held_out, never trained on); repeated rows are scored alike; an empty table
     gives an empty result; other columns are ignored.
     """
-    features = settle(docs.select("doc_id", *statistics(whole_text())), "quality")
+    features = settle(document_statistics(docs), "quality")
     model = fit(training_rows(features, labels), "quality")
     held_out = (id_bucket("doc_id", 5) == 0).alias("held_out")
     scored = features.select("doc_id", held_out, score(model)(F.array(*STATISTICS)).alias("score"))
@@ -126,11 +167,18 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -
 def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` scored at ``threshold`` or more, columns unchanged.
 
-    The statistics are computed a second time beside the text rather than
-    joined to it: a second narrow pass is cheaper than shuffling every text.
+    Rows without doc_id or text are judged as any other.  The statistics are
+    computed a second time beside the text rather than joined to it: a second
+    narrow pass is cheaper than shuffling every text.
     """
-    model = fit(training_rows(docs.select("doc_id", *statistics(whole_text())), labels), "quality")
-    return docs.where(score(model)(F.array(*statistics(whole_text()))) >= threshold)
+    model = fit(training_rows(document_statistics(docs), labels), "quality")
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(probability(model, of_batch(batch.column(at))) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
