@@ -60,3 +60,15 @@ def labelled(labels: DataFrame, name: str) -> DataFrame:
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(name).isNotNull())
     return known.groupBy("doc_id").agg(F.max(name).cast("int").alias(name))
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
+    """A broadcast hint for a settled table of narrow rows whose counted size
+    is within ``max_rows``; beyond it Spark shuffles both sides."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def hash_sample(df: DataFrame, rows: int, key: str = "doc_id") -> DataFrame:
+    """At most ``rows`` rows, the first by a hash of ``key``: the same ones on
+    every run, whatever the partitions."""
+    return df.orderBy(F.xxhash64(key), key).limit(rows)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from framequery.llm import quality, simhash
+from framequery.llm import decontaminate, mixing, quality, secret_scan, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,7 +15,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op4_quality_classifier": quality.query,
+        "op5_benchmark_decontamination": decontaminate.query,
         "op7_simhash_near_dedup": simhash.query,
+        "op9_secret_scan": secret_scan.query,
+        "op10_source_mixing": mixing.query,
         "pipeline": corpus_pipeline.run,
     }
 

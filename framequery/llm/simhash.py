@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from framequery.llm.common import settle, table
+from framequery.llm.common import broadcast_if_small, settle, table
 from framequery.llm.components import connected_components
 
 BLOCK = 65_536
@@ -156,7 +156,7 @@ def near_duplicate_components(docs: DataFrame, size: int = 5, similarity: float
     met = meetings(points, 32, 2).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).where("a <> b")
     pairs = settle(same.unionByName(met).distinct(), "pairs")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = settle(known.join(needed, "doc_id", "left_semi"), "texts")
+    texts = settle(known.join(broadcast_if_small(settle(needed, "needed")), "doc_id", "left_semi"), "texts")
     sides = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
     links = sides.where(_jaccard(size)("text_a", "text_b") >= similarity).select("a", "b")
     roots = settle(connected_components(settle(links.unionByName(copies), "links")), "roots")
@@ -171,9 +171,10 @@ def drop_near_duplicates(docs: DataFrame, **options: float) -> DataFrame:
     count as empty, and empty texts are copies of each other.
     """
     groups = near_duplicate_components(docs, **options)
-    gone = groups.where("doc_id <> component_id").select("doc_id")
+    gone = broadcast_if_small(groups.where("doc_id <> component_id").select("doc_id"))
     kept = docs.join(gone, "doc_id", "left_anti")
-    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    counted = docs.where("doc_id is not null").groupBy("doc_id").count()
+    repeated = broadcast_if_small(settle(counted.where("count > 1").select("doc_id"), "repeated"))
     once = kept.join(repeated, "doc_id", "left_anti")
     again = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return once.unionByName(again).select(*docs.columns)
