@@ -11,6 +11,8 @@ Everything is a DataFrame or SQL function.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,19 +43,20 @@ def template(token: Column) -> Column:
     return F.when(token < "\x04", F.substring(token, 1, 1)).when(numeric, F.lit(NUMBER)).otherwise(token)
 
 
-def with_windows(rows: DataFrame, sizes: list[int]) -> DataFrame:
-    """Adds ``tok``, the marked words, and ``windows``, (at, n, h) of each run of
-    n template words for every n in ``sizes``."""
-    hashed = rows.withColumn("tok", tokens(F.coalesce("text", F.lit(""))))
-    hashed = hashed.withColumn("hashes", F.transform("tok", lambda t: F.xxhash64(template(t))))
-
-    def runs(n: int) -> Column:
-        last = F.size("hashes") - (n - 1)
-        starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.struct(i.alias("at"), F.lit(n).alias("n"), F.xxhash64(F.slice("hashes", i, n)).alias("h")))
+def windows(rows: DataFrame, n: int) -> DataFrame:
+    """``rows`` with ``tok``, the marked words of its text, once for each run of
+    ``n`` template words: its place ``at`` (from 1) and its hash ``h``.
 
-    every = [runs(n) for n in sizes] or [F.array().cast("array<struct<at:int,n:int,h:bigint>>")]
-    return hashed.withColumn("windows", F.concat(*every) if len(every) > 1 else every[0])
+    Only the places are exploded; a run is hashed from the words' hashes after
+    that, in generated code.  (explode_outer, as Spark would compute what plain
+    explode explodes once more in a filter; texts without a run give a null h.)
+    """
+    hashed = rows.withColumn("tok", tokens(F.coalesce("text", F.lit("")))).drop("text")
+    hashed = hashed.withColumn("hashes", F.transform("tok", lambda t: F.xxhash64(template(t))))
+    last = F.size("hashes") - (n - 1)
+    places = F.when(last >= 1, F.sequence(F.lit(1), last))
+    cut = hashed.withColumn("at", F.explode_outer(places))
+    return cut.withColumn("h", F.xxhash64(F.slice("hashes", F.col("at"), n))).drop("hashes")
 
 
 def benchmark_windows(benchmark: DataFrame, size: int = WORDS_OF_A_WINDOW) -> tuple[DataFrame, list[int]]:
@@ -63,12 +66,13 @@ def benchmark_windows(benchmark: DataFrame, size: int = WORDS_OF_A_WINDOW) -> tu
     left out; an item shorter than a window is one window as it is.
     """
     known = benchmark.where("item_id is not null").select("item_id", "text").distinct()
-    short = known.withColumn("n_tok", F.size(tokens(F.coalesce("text", F.lit(""))))).where("n_tok > 0")
-    sizes = sorted(r[0] for r in short.select(F.least("n_tok", F.lit(size)).alias("n")).distinct().collect())
-    cut = with_windows(short, sizes).select("item_id", "tok", "n_tok", F.explode("windows").alias("w"))
-    cut = cut.where(F.col("w.n") == F.least("n_tok", F.lit(size)))
-    words = F.expr("slice(tok, w.at, w.n)")
-    cut = cut.select("item_id", F.col("w.at").alias("b_at"), words.alias("b_words"), "w.n", "w.h")
+    n_tok = F.size(tokens(F.coalesce("text", F.lit(""))))
+    known = settle(known.withColumn("n", F.least(n_tok, F.lit(size))).where("n > 0"), "items")
+    sizes = sorted(r[0] for r in known.select("n").distinct().collect())
+    cut = windows(known.where(F.col("n") == (sizes[0] if sizes else size)), sizes[0] if sizes else size)
+    for n in sizes[1:]:
+        cut = cut.unionByName(windows(known.where(F.col("n") == n), n))
+    cut = cut.select("item_id", F.col("at").alias("b_at"), F.slice("tok", F.col("at"), F.col("n")).alias("b_words"), "n", "h")
     literal = F.size(F.filter("b_words", lambda t: template(t) >= "\x04"))
     cut = settle(cut.where(literal * 2 >= F.col("n")), "windows")
     total = cut.groupBy("item_id").agg(F.countDistinct("b_at").alias("item_windows"))
@@ -82,19 +86,16 @@ def matched_windows(docs: DataFrame, bench: DataFrame, sizes: list[int]) -> Data
     The benchmark's windows are grouped by hash and joined in blocks small
     enough to be broadcast, so the documents' words never are shuffled.
     """
-    cells = bench.select("h", F.struct("item_id", "b_at", "b_words", "item_windows").alias("cell"))
-    blocks = max(1, -(-bench.count() // BROADCAST_WINDOWS))
+    cells = bench.select("h", F.struct("item_id", "b_at", "b_words", "n", "item_windows").alias("cell"))
+    blocks = max(1, -(-bench.count() // BROADCAST_WINDOWS))  # one, unless the benchmark is very large
     found = []
-    for k in range(blocks):
-        part = cells.where(F.pmod("h", F.lit(blocks)) == k).groupBy("h").agg(F.collect_list("cell").alias("cells"))
-        cut = with_windows(docs.select("doc_id", "text"), sizes).select("doc_id", "tok", F.explode("windows").alias("w"))
-        hits = cut.select("doc_id", "tok", "w.at", "w.n", "w.h").join(F.broadcast(part), "h")
-        hits = hits.select("doc_id", "at", F.expr("slice(tok, at, n)").alias("words"), F.explode("cells").alias("cell"))
-        found.append(settle(hits.select("doc_id", "at", "words", "cell.*"), "hits"))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+    for n in sizes or [WORDS_OF_A_WINDOW]:
+        for k in range(blocks):
+            part = cells.where((F.col("cell.n") == n) & (F.pmod("h", F.lit(blocks)) == k)).groupBy("h").agg(F.collect_list("cell").alias("cells"))
+            hits = windows(docs.select("doc_id", "text"), n).join(F.broadcast(part), "h")
+            hits = hits.select("doc_id", "at", F.slice("tok", F.col("at"), n).alias("words"), F.explode("cells").alias("cell"))
+            found.append(settle(hits.select("doc_id", "at", "words", "cell.*"), "hits"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, min_windows: int = 6, min_share: float = 0.5) -> DataFrame:
