@@ -7,13 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from framequery.llm import decontaminate, mixing, quality, secret_scan, simhash
+from framequery.llm import decontaminate, language_id, mixing, quality, secret_scan, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_language_id": language_id.query,
+        "op3_toxicity": toxicity.query,
         "op4_quality_classifier": quality.query,
         "op5_benchmark_decontamination": decontaminate.query,
         "op7_simhash_near_dedup": simhash.query,

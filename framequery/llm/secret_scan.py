@@ -80,20 +80,19 @@ def labelled_findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
     digest = "element_at(array('commit ', 'sha1: ', 'checksum = ', 'md5=', 'etag: \"', 'revision ', 'digest='), CAST(ctx AS INT) + 1)"
     words = DICTIONARY.split()
     word = lambda salt: f"element_at(array({', '.join(repr(w) for w in words)}), CAST(pmod(xxhash64(id, {salt}), {len(words)}) AS INT) + 1)"
-    secret = f"""CASE kind WHEN 0 THEN struct(hex, {key}) WHEN 1 THEN struct(upper(hex), {key})
-        WHEN 2 THEN struct(substr(alnum, 1, 20 + k % 24), {key}) WHEN 3 THEN struct(concat('AKIA', upper(substr(alnum, 1, 16))), {plain})
-        WHEN 4 THEN struct(concat('ghp_', substr(alnum, 1, 36)), {plain}) WHEN 5 THEN struct(substr(b64, 1, 24 + k % 60), {key})
-        WHEN 6 THEN struct(concat('eyJ', substr(b64, 1, 30), '.', substr(alnum, 1, 40)), {plain})
-        WHEN 7 THEN struct(concat('-----BEGIN PRIVATE KEY-----', b64, b64, '-----END PRIVATE KEY-----'), {plain})
-        WHEN 8 THEN struct(sha2(hex, 256), {key}) ELSE struct(concat(substr(alnum, 1, 7), '!', k, substr(b64, 1, 5)), {key}) END"""
-    other = f"""CASE kind WHEN 0 THEN struct(hex, {digest}) WHEN 1 THEN struct(concat(substr(hex, 1, 8), '-', substr(hex, 9, 4), '-4', substr(hex, 13, 3), '-', substr(hex, 16, 4), '-', substr(hex, 20, 12)), concat('uuid ', {plain}))
-        WHEN 2 THEN struct(concat({word(2)}, '/', {word(3)}, '/', {word(4)}, k, '.txt'), {plain}) WHEN 3 THEN struct(concat({word(5)}, k, '.', {word(6)}, '.example.com'), concat({word(7)}, '@'))
-        WHEN 4 THEN struct(concat({word(8)}, initcap({word(9)}), initcap({word(10)}), k), {plain}) WHEN 5 THEN struct(concat({word(11)}, '_', {word(12)}, '_', {word(13)}, '_', k), {key})
-        WHEN 6 THEN struct(concat(k % 9, '.', k % 17, '.', k, '-rc', k % 5, '.20', 10 + k % 20, '0101'), {plain}) WHEN 7 THEN struct(concat('your_', {word(14)}, '_', {word(15)}, '_here'), {key})
-        WHEN 8 THEN struct(concat(1000 + k, 1000000 + k * 7919, 100000 + k * 31), {plain}) ELSE struct(concat('20', 10 + k % 20, '-0', 1 + k % 9, '-1', k % 10, 'T0', k % 10, '.', k, '-', {word(16)}), {plain}) END"""  # noqa: E501
-    fields = "struct<value:string,before:string>"
-    pick = f"CASE WHEN label = 1 THEN CAST({secret} AS {fields}) ELSE CAST({other} AS {fields}) END AS f"
-    return made.selectExpr("CAST(label AS DOUBLE) AS label", pick).select("f.value", "f.before", "label")
+    secret = f"""CASE kind WHEN 0 THEN array(hex, {key}) WHEN 1 THEN array(upper(hex), {key})
+        WHEN 2 THEN array(substr(alnum, 1, 20 + k % 24), {key}) WHEN 3 THEN array(concat('AKIA', upper(substr(alnum, 1, 16))), {plain})
+        WHEN 4 THEN array(concat('ghp_', substr(alnum, 1, 36)), {plain}) WHEN 5 THEN array(substr(b64, 1, 24 + k % 60), {key})
+        WHEN 6 THEN array(concat('eyJ', substr(b64, 1, 30), '.', substr(alnum, 1, 40)), {plain})
+        WHEN 7 THEN array(concat('-----BEGIN PRIVATE KEY-----', b64, b64, '-----END PRIVATE KEY-----'), {plain})
+        WHEN 8 THEN array(sha2(hex, 256), {key}) ELSE array(concat(substr(alnum, 1, 7), '!', k, substr(b64, 1, 5)), {key}) END"""
+    other = f"""CASE kind WHEN 0 THEN array(hex, {digest}) WHEN 1 THEN array(concat(substr(hex, 1, 8), '-', substr(hex, 9, 4), '-4', substr(hex, 13, 3), '-', substr(hex, 16, 4), '-', substr(hex, 20, 12)), concat('uuid ', {plain}))
+        WHEN 2 THEN array(concat({word(2)}, '/', {word(3)}, '/', {word(4)}, k, '.txt'), {plain}) WHEN 3 THEN array(concat({word(5)}, k, '.', {word(6)}, '.example.com'), concat({word(7)}, '@'))
+        WHEN 4 THEN array(concat({word(8)}, initcap({word(9)}), initcap({word(10)}), k), {plain}) WHEN 5 THEN array(concat({word(11)}, '_', {word(12)}, '_', {word(13)}, '_', k), {key})
+        WHEN 6 THEN array(concat(k % 9, '.', k % 17, '.', k, '-rc', k % 5, '.20', 10 + k % 20, '0101'), {plain}) WHEN 7 THEN array(concat('your_', {word(14)}, '_', {word(15)}, '_here'), {key})
+        WHEN 8 THEN array(concat(1000 + k, 1000000 + k * 7919, 100000 + k * 31), {plain}) ELSE array(concat('20', 10 + k % 20, '-0', 1 + k % 9, '-1', k % 10, 'T0', k % 10, '.', k, '-', {word(16)}), {plain}) END"""  # noqa: E501
+    pick = f"CASE WHEN label = 1 THEN {secret} ELSE {other} END AS f"
+    return made.selectExpr("CAST(label AS DOUBLE) AS label", pick).selectExpr("f[0] AS value", "f[1] AS before", "label")
 
 
 def train(findings: DataFrame, trees: int = 24, depth: int = 7) -> RandomForestClassificationModel:
