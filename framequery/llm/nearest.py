@@ -151,10 +151,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, rerank: int = 1
     blocks = max(1, -(-distinct.count() // ROWS_A_BLOCK))
     q_blocks = max(1, -(-ask.count() // QUERIES_A_BLOCK))
     place = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n))
-    span = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    span = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     coded = settle(with_codes(distinct.where(F.size("v") == width), books), "codes")
-    left = coded.withColumn("block", place(blocks)).withColumn("q_block", span(q_blocks).cast("long"))
-    right = ask.where(F.size("v") == width).withColumn("q_block", place(q_blocks)).withColumn("block", span(blocks).cast("long"))
+    left = coded.withColumn("block", place(blocks)).withColumn("q_block", span(q_blocks))
+    right = ask.where(F.size("v") == width).withColumn("q_block", place(q_blocks)).withColumn("block", span(blocks))
 
     def best(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if own.empty or asked.empty:

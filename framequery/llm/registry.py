@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from framequery.llm import decontaminate, language_id, mixing, quality, secret_scan, simhash, toxicity
+from framequery.llm import decontaminate, language_id, licences, mixing, nearest, quality, secret_scan, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,9 +15,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_language_id": language_id.query,
+        "op2_licence_scan": licences.query,
         "op3_toxicity": toxicity.query,
         "op4_quality_classifier": quality.query,
         "op5_benchmark_decontamination": decontaminate.query,
+        "op6_nearest_neighbours": nearest.query,
         "op7_simhash_near_dedup": simhash.query,
         "op9_secret_scan": secret_scan.query,
         "op10_source_mixing": mixing.query,
