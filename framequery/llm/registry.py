@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from framequery.llm import decontaminate, language_id, licences, mixing, nearest, quality, secret_scan, simhash, toxicity
+from framequery.llm import decontaminate, language_id, licences, mixing, nearest, passages, quality, secret_scan, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,7 @@ def queries() -> dict[str, Query]:
         "op5_benchmark_decontamination": decontaminate.query,
         "op6_nearest_neighbours": nearest.query,
         "op7_simhash_near_dedup": simhash.query,
+        "op8_substring_dedup": passages.query,
         "op9_secret_scan": secret_scan.query,
         "op10_source_mixing": mixing.query,
         "pipeline": corpus_pipeline.run,
