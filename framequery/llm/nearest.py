@@ -27,7 +27,7 @@ from framequery.llm.common import hash_sample, settle, table
 
 SAMPLE_ROWS = 4000
 CODES = 16
-ROWS_A_BLOCK = 2048
+ROWS_A_BLOCK = 16384
 QUERIES_A_BLOCK = 512
 
 
@@ -126,7 +126,7 @@ def scan(queries: np.ndarray, codes: np.ndarray, books: Codebooks) -> np.ndarray
     return total
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, rerank: int = 10) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, rerank: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: each query's ``k`` nearest of ``vectors``.
 
     Both are (vec_id, embedding).  Equal vectors are coded once; as a query
