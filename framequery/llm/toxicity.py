@@ -25,6 +25,8 @@ from framequery.llm.common import hash_sample, id_bucket, labelled, settle, tabl
 
 SAMPLE_ROWS = 6000
 MAX_TERMS = 500
+#: Share of toxic texts among those with a term, chosen on two folds of training rows.
+PURITY = 0.65
 SEED_WEIGHT = 1.5
 #: Seed terms, and phrases in which a term does not count.
 TERMS = "idiot idiots moron morons imbecile scum scumbag loser losers trash garbage stupid pathetic disgusting worthless clown dumbass retard bastard asshole bitch fuck fucking shit bullshit whore slut pig vermin freak jerk cretin dimwit idiote connard salaud ordure imbécile crétin abruti débile pourriture idiota imbécil estúpido estúpida basura escoria payaso inútil gilipollas cabrón idioten trottel arschloch abschaum dummkopf schwachkopf versager drecksau"  # noqa: E501
@@ -115,8 +117,10 @@ def emitted(text: str | None) -> dict[str, int]:
 
 def learned_terms(sample: DataFrame) -> dict[str, float]:
     """Word beginnings and whole words that are toxic in the labelled sample: in
-    6 or more texts, 95 % of them labelled so, and in about as many contexts as
-    a word used freely has (words of copied passages have few).
+    6 or more texts, the share PURITY of them labelled so (clean words may begin
+    alike by chance; the weights and the length tell such texts apart), and in
+    about as many contexts as a word used freely has (words of copied passages
+    have few).
 
     Of nested beginnings with the same texts the longest is taken, and nothing
     that begins with a term already taken.
@@ -132,16 +136,17 @@ def learned_terms(sample: DataFrame) -> dict[str, float]:
     terms = sample.select("text", F.col("toxic").cast("long")).mapInArrow(run, "term string, bits long, toxic long")
     contexts = F.bit_count(F.bit_or("bits")).alias("c")
     known = terms.groupBy("term").agg(F.count("*").alias("n"), F.sum("toxic").alias("k"), contexts)
-    known = known.where("n >= 6 and k >= 0.95 * n and c >= least(0.5 * n, 20)")
+    known = known.where(f"n >= 6 and k >= {PURITY} * n and c >= least(0.5 * n, 20)")
     rows = known.orderBy(F.desc("k"), F.length("term"), "term").limit(10 * MAX_TERMS).collect()
     base = sample.agg(F.avg("toxic")).first()[0] or 0.0
     odds = np.log((base + 1e-3) / (1 - base + 1e-3))
     counts, taken, out = {r["term"]: (r["k"], r["n"]) for r in rows}, [], {}
+    purity = lambda t: counts[t][0] / counts[t][1]
     for term in counts:
         if term.startswith(tuple(taken)) or len(out) == MAX_TERMS:
             continue
         taken.append(term)
-        while longer := [t for t in counts if t.startswith(term) and t != term and counts[t][0] >= 0.95 * counts[term][0]]:
+        while longer := [t for t in counts if t.startswith(term) and t != term and counts[t][0] >= 0.95 * counts[term][0] and purity(t) >= purity(term)]:
             term = min(longer, key=lambda t: (len(t), t))
         k, n = counts[term]
         out[term] = float(np.clip(np.log((k + 0.5) / (n - k + 0.5)) - odds, 0.5, 6))
