@@ -10,6 +10,7 @@ so no group depends on the data's skew.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -136,34 +137,114 @@ def _jaccard(size: int) -> Column:
     return similarity
 
 
-def near_duplicate_components(docs: DataFrame, size: int = 5, similarity: float = 0.8, tables: int = 6) -> DataFrame:
+def shingle_sets(docs: DataFrame, size: int, similarity: float, last: np.ndarray) -> DataFrame:
+    """(doc_id, text) -> (doc_id, key, n, prefix): a digest of the set of shingle
+    hashes, its size, and the first of its hashes in an order that all texts
+    share: ``last`` comes last, in its own order, the others go by value.
+
+    The prefix is so long that two sets with the similarity always share one of
+    its hashes: they share at least similarity * n of the n, so of any
+    n - similarity * n + 1 one is shared.
+    """
+    by_value = np.argsort(last)
+    sorted_last = last[by_value]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, sizes, prefixes = [], [], []
+            for t in batch.column(1):
+                parts = set(shingles(t.as_py(), size))
+                h = np.unique(np.fromiter(map(xxhash.xxh64_intdigest, parts), np.uint64, len(parts)))
+                keys.append(xxhash.xxh3_128_digest(h.tobytes()))
+                sizes.append(len(h))
+                found = np.minimum(np.searchsorted(sorted_last, h), max(len(last) - 1, 0))
+                late = sorted_last[found] == h if len(last) else np.zeros(len(h), bool)
+                ordered = np.concatenate([h[~late], last[np.sort(by_value[found[late]])]])
+                prefixes.append(ordered[: len(h) - math.ceil(similarity * len(h) - 1e-6) + 1].view(np.int64))
+            lists = pa.array(prefixes, pa.list_(pa.int64()))
+            arrays = [batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), lists]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "key", "n", "prefix"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key binary, n int, prefix array<long>")
+
+
+def frequent_shingles(docs: DataFrame, size: int, share: int = 20, least: int = 4, most: int = 100_000) -> np.ndarray:
+    """Hashes of shingles that many of a ``share``-th of the distinct texts hold,
+    the rarest first.  They only order the prefixes: any list gives the same pairs.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column(0):
+                parts = set(shingles(t.as_py(), size))
+                h = np.fromiter(map(xxhash.xxh64_intdigest, parts), np.uint64, len(parts))
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["h"])
+
+    some = docs.where(F.crc32("text") % share == 0).select("text").dropDuplicates()
+    counted = some.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= least)
+    rows = counted.orderBy(F.desc("count"), "h").limit(most).collect()
+    return np.array([r["h"] for r in reversed(rows)], np.int64).view(np.uint64)
+
+
+def _possible(similarity: float) -> Column:
+    """Whether sets of n_a and n_b, whose first shared hash is at i_a and i_b, can
+    reach the similarity."""
+    rest = F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b"))
+    return rest >= similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b")) - 1e-6
+
+
+def _verified(pairs: DataFrame, known: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of doc_ids whose texts reach the similarity."""
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = known.join(broadcast_if_small(settle(needed, "needed")), "doc_id", "left_semi")
+    texts = settle(texts.distinct(), "texts")
+    sides = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
+    return settle(sides.where(_jaccard(size)("text_a", "text_b") >= similarity).select("a", "b"), "links")
+
+
+def near_duplicate_components(docs: DataFrame, size: int = 5, similarity: float = 0.8, block: int = 1024) -> DataFrame:
     """(doc_id, component_id) of documents in a group of two or more.
 
-    Exact copies collapse first.  Then each text has ``tables`` independent
-    32-bit fingerprints of its distinct words; texts that meet within two bits
-    in one of them are candidates, and a candidate pair is a link where the
-    Jaccard similarity of its whole sets of ``size``-word shingles reaches
-    ``similarity``.  (Words change less than shingles: of texts at 0.8, each
-    fingerprint brings about six in ten together, and all six nearly all; a
-    fingerprint of the shingles themselves would bring one in eight.)
+    Texts link where the Jaccard similarity of their whole sets of ``size``-word
+    shingles reaches ``similarity``; no such pair is missed.  Texts with equal
+    sets collapse first.  The others emit the prefixes of their sets; texts that
+    meet in a hash are candidates unless their sizes and places rule the
+    similarity out, and are judged by their texts.  First each bucket's smallest
+    doc_id is judged with the others, then all pairs that are not yet in one
+    group, buckets of more than ``block`` texts in blocks.
     Rows without doc_id take no part.
     """
     text = F.coalesce("text", F.lit(""))
     known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), text.alias("text"))
-    prints = settle(fingerprints(known.select("*", F.md5("text").alias("key")), 1, 32, tables, distinct=True), "prints")
-    firsts = settle(prints.groupBy("key").agg(F.min("doc_id").alias("rep")), "firsts")
-    copies = prints.join(firsts, "key").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    alone = prints.join(firsts.select("key", F.col("rep").alias("doc_id")), ["key", "doc_id"], "left_semi")
-    each = settle(alone.select("doc_id", F.posexplode("fps").alias("tab", "fp")), "each")
-    points = settle(each.groupBy("tab", "fp").agg(F.min("doc_id").alias("rep")), "points")
-    same = each.join(points, ["tab", "fp"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    met = meetings(points, 32, 2).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).where("a <> b")
-    pairs = settle(same.unionByName(met).distinct(), "pairs")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = settle(known.join(broadcast_if_small(settle(needed, "needed")), "doc_id", "left_semi"), "texts")
-    sides = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
-    links = sides.where(_jaccard(size)("text_a", "text_b") >= similarity).select("a", "b")
-    roots = settle(connected_components(settle(links.unionByName(copies), "links")), "roots")
+    sets = settle(shingle_sets(known, size, similarity, frequent_shingles(known, size)), "sets")
+    firsts = settle(sets.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("held")).where("held > 1"), "firsts")
+    copies = settle(sets.select("key", "doc_id").join(firsts, "key").where("doc_id <> rep").distinct(), "copies")
+    alone = sets.join(broadcast_if_small(copies.select("key", "doc_id")), ["key", "doc_id"], "left_anti")
+    emitted = alone.select("doc_id", "n", F.posexplode("prefix").alias("i", "h"))
+    meet = Window.partitionBy("h")
+    held = emitted.withColumn("held", F.count("*").over(meet)).where("held > 1")
+    buckets = settle(held.withColumn("first", F.min(F.struct("doc_id", "n", "i")).over(meet)), "buckets")
+
+    ends = [F.col(f"first.{c}").alias(f"{d}_a") for c, d in (("doc_id", "id"), ("n", "n"), ("i", "i"))]
+    star = buckets.select(*ends, F.col("doc_id").alias("id_b"), F.col("n").alias("n_b"), F.col("i").alias("i_b"))
+    star = star.where("id_a <> id_b").where(_possible(similarity)).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    judged = settle(star.distinct(), "pairs")
+    links = _verified(judged, known, size, similarity)
+
+    roots = connected_components(links).withColumnRenamed("node", "doc_id")
+    placed = buckets.where("held > 2").join(roots, "doc_id", "left")
+    placed = placed.select("h", "doc_id", "n", "i", F.coalesce("root", "doc_id").alias("root"), F.ceil(F.col("held") / block).alias("blocks"))
+    placed = settle(placed, "placed")
+    one = placed.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    all_parts = placed.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    side = lambda t, e: t.select("h", "part", *[F.col(c).alias(f"{c}_{e}") for c in ("doc_id", "n", "i", "root")])
+    rest = side(one, "a").join(side(all_parts, "b"), ["h", "part"]).where("doc_id_a < doc_id_b and root_a <> root_b")
+    rest = rest.where(_possible(similarity)).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
+    rest = settle(rest.join(judged, ["a", "b"], "left_anti"), "pairs")
+    links = links.unionByName(_verified(rest, known, size, similarity))
+
+    links = links.unionByName(copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
+    roots = settle(connected_components(settle(links, "links")), "roots")
     least = settle(roots.groupBy("root").agg(F.min("node").alias("component_id")), "least")
     return settle(roots.join(least, "root").select(F.col("node").alias("doc_id"), "component_id"), "groups")
 

@@ -110,6 +110,35 @@ def test_near_duplicates_go_and_others_stay(spark):
     assert again == sorted([0, 3, 4, 5, 6, 7, -1])
 
 
+def test_crowded_near_duplicates_link(spark):
+    rng = np.random.default_rng(6)
+    words = list(dict.fromkeys(rng.choice([f"w{i}" for i in range(5000)], 300)))
+    moved = [*words[1:], words[0]]  # the words of the first text in its order, all but one
+    docs = documents(spark, [" ".join(w) for w in (words[::-1], words, moved)])
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicate_components(docs).collect()}
+    assert got == {1: 1, 2: 1}
+
+
+def test_near_duplicates_against_all_pairs(spark):
+    rng = np.random.default_rng(7)
+    draw = lambda n: list(rng.choice([f"w{i}" for i in range(3000)], n))
+    line, texts = draw(40), []
+    for k in range(24):
+        base = draw(int(rng.integers(60, 300)))
+        new = int(len(base) * rng.uniform(0.05, 0.3))
+        texts += [base, base + draw(new), base[: len(base) - new // 2] + draw(new // 2), line + base[: 20 + k], line + draw(6)]
+        texts.append([w if rng.random() > 0.02 else "other" for w in base])
+    order = rng.permutation(len(texts)).tolist()
+    sets = {d: set(simhash.shingles(" ".join(texts[i]), 5)) for d, i in enumerate(order)}
+    links = [(a, b) for a, b in combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    want = roots_of(sets, links)
+    linked = {d for pair in links for d in pair}
+    docs = documents(spark, [" ".join(texts[i]) for i in order])
+    for block in (1024, 3):
+        got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicate_components(docs, block=block).collect()}
+        assert got == {d: want[d] for d in linked}
+
+
 def test_benchmark_copies_against_ngrams(spark):
     docs = {r["doc_id"]: r["text"] for r in table(spark, SF, "documents").collect()}
     bench = {r["item_id"]: r["text"] for r in table(spark, SF, "benchmark").collect()}
