@@ -203,6 +203,17 @@ def test_fuzzy_passages(spark):
     assert 0.9 < rows[1]["identity"] < 1
 
 
+def test_passages_around_a_rewritten_middle(spark):
+    rng = np.random.default_rng(4)
+    draw = lambda n: list(rng.choice([f"w{i}" for i in range(50_000)], n, replace=False))
+    one, two, texts = draw(60), draw(60), []
+    for gap in (60, 60, 150):
+        texts.append(draw(30) + one + draw(gap) + two + draw(30))
+    got = passages.repeated_passages(documents(spark, [" ".join(t) for t in texts])).collect()
+    spans = sorted((r["doc_id"], r["first_word"], r["end_word"]) for r in got)
+    assert spans == [(0, 30, 90), (0, 150, 210), (1, 30, 90), (1, 150, 210), (2, 30, 90), (2, 240, 300)]
+
+
 def test_chains_against_all_chains():
     rng = np.random.default_rng(1)
     for _ in range(30):
