@@ -214,6 +214,19 @@ def test_passages_around_a_rewritten_middle(spark):
     assert spans == [(0, 30, 90), (0, 150, 210), (1, 30, 90), (1, 150, 210), (2, 30, 90), (2, 240, 300)]
 
 
+def test_passages_whose_parts_occur_earlier(spark):
+    rng = np.random.default_rng(8)
+    draw = lambda n: list(rng.choice([f"w{i}" for i in range(50_000)], n, replace=False))
+    texts, want = [], {}
+    for k in range(20):
+        shared = draw(60)
+        texts += [draw(20) + shared[i : i + 20] + draw(20) for i in (0, 20, 40)]
+        want |= {len(texts): (10 + k, 70 + k), len(texts) + 1: (30, 90)}
+        texts += [draw(10 + k) + shared + draw(9), draw(30) + shared + draw(12)]
+    got = passages.repeated_passages(documents(spark, [" ".join(t) for t in texts])).collect()
+    assert {r["doc_id"]: (r["first_word"], r["end_word"]) for r in got} == want
+
+
 def test_chains_against_all_chains():
     rng = np.random.default_rng(1)
     for _ in range(30):
