@@ -17,13 +17,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; only where a
-    session has none (tests on one machine) a temporary folder is set."""
+    """The folder all executors share: ``spark.checkpoint.dir``; where a session
+    on one machine has none (tests) a temporary folder is set, and any other
+    session without one is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         if known.isDefined():
             folder = known.get()
+        elif not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         else:
             folder = tempfile.mkdtemp(prefix="framequery-")
             atexit.register(shutil.rmtree, folder, ignore_errors=True)
@@ -34,14 +37,26 @@ def shared_dir(spark: SparkSession) -> str:
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again.
 
-    This cuts the lineage: a lost executor costs a re-read, not a re-run.
+    This cuts the lineage: a lost executor costs a re-read, not a re-run.  The
+    tables stay until ``release``, as a result may still read them.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/framequery/{label}-{uuid.uuid4().hex}"
+    path = f"{_settled(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _settled(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/framequery/{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables that this application has settled; to be called when
+    its results have been written."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_settled(spark))
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def id_bucket(column: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus`` (null ids: null)."""
     return F.crc32(F.col(column).cast("string")) % F.lit(modulus)
@@ -62,10 +77,26 @@ def labelled(labels: DataFrame, name: str) -> DataFrame:
     return known.groupBy("doc_id").agg(F.max(name).cast("int").alias(name))
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """A broadcast hint for a settled table of narrow rows whose counted size
-    is within ``max_rows``; beyond it Spark shuffles both sides."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def broadcast_if_small(df: DataFrame, max_bytes: int = 32_000_000) -> DataFrame:
+    """A broadcast hint for a settled table whose measured size is within
+    ``max_bytes``; beyond it Spark shuffles both sides."""
+    wide = [F.octet_length(F.col(c).cast("string")) for c, t in df.dtypes if t in ("string", "binary")]
+    nested = [F.octet_length(F.to_json(F.struct(c))) for c, t in df.dtypes if t.startswith(("array", "struct", "map"))]
+    row = F.lit(16 + 8 * len(df.columns))
+    for part in wide + nested:
+        row = row + F.coalesce(part, F.lit(0))
+    found = df.agg(F.sum(row)).first()[0] or 0
+    return F.broadcast(df) if found <= max_bytes else df
+
+
+def one_text_per_id(docs: DataFrame) -> DataFrame:
+    """(doc_id long, text): the rows with an id, null texts as empty; of rows that
+    repeat an id the text with the least md5 holds."""
+    known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), whole_text().alias("text"))
+    repeated = known.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    repeated = broadcast_if_small(settle(repeated, "repeated"))
+    again = known.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("text", F.md5("text")).alias("text"))
+    return known.join(repeated, "doc_id", "left_anti").unionByName(again)
 
 
 def hash_sample(df: DataFrame, rows: int, key: str = "doc_id") -> DataFrame:

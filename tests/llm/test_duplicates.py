@@ -176,16 +176,88 @@ def test_decontamination_of_odd_input(spark):
     assert kept.columns == odd(spark).columns
 
 
-def test_repeated_passages_against_windows(spark):
-    texts = {r["doc_id"]: r["text"] for r in table(spark, SF, "documents").collect()}
-    low = {d: (t or "").lower().split() for d, t in texts.items()}
-    seen = defaultdict(set)
+def shared_runs(low, least=50):
+    """(doc, lo, hi) of all maximal runs of words that lie whole in another document."""
+    places = defaultdict(lambda: defaultdict(list))
     for d, w in low.items():
-        for i in range(len(w) - 49):
-            seen[tuple(w[i : i + 50])].add(d)
-    want = set().union(*(s for s in seen.values() if len(s) > 1))
-    got = {r["doc_id"] for r in passages.query(spark, SF).collect()}
-    assert want <= got
+        for i in range(len(w) - least + 1):
+            places[tuple(w[i : i + least])][d].append(i)
+    starts = defaultdict(set)
+    for own in places.values():
+        for d, e in ((d, e) for d in own for e in own if d != e):
+            starts[d, e] |= {(i, j - i) for i in own[d] for j in own[e]}
+    for (d, _), found in starts.items():
+        for i, shift in found:
+            if (i - 1, shift) not in found:
+                hi = i
+                while (hi, shift) in found:
+                    hi += 1
+                yield d, i, hi - 1 + least
+
+
+def longest_common(a, b):
+    row = [0] * (len(b) + 1)
+    for v in a:
+        last = 0
+        for j, w in enumerate(b, 1):
+            last, row[j] = row[j], last + 1 if v == w else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def assert_truthful(rows, low):
+    for r in rows:
+        part = low[r["doc_id"]][r["first_word"] : r["end_word"]]
+        assert r["words"] == len(part) >= 50
+        if r["source_doc_id"] != r["doc_id"]:
+            assert longest_common(part, low[r["source_doc_id"]]) >= 0.8 * len(part) - 1e-9
+
+
+def test_repeated_passages_against_all_shared_runs(spark):
+    low = {r["doc_id"]: (r["text"] or "").lower().split() for r in table(spark, SF, "documents").collect()}
+    spans, rows = defaultdict(list), passages.query(spark, SF).collect()
+    for r in rows:
+        spans[r["doc_id"]].append((r["first_word"], r["end_word"]))
+    runs = set(shared_runs(low))
+    assert len(runs) > 10
+    assert not [(d, lo, hi) for d, lo, hi in runs if not any(a <= lo and hi <= b for a, b in spans[d])]
+    assert_truthful(rows, low)
+
+
+def spans_of(spark, texts):
+    found = passages.repeated_passages(documents(spark, [" ".join(t) for t in texts])).collect()
+    return {(r["doc_id"], r["first_word"], r["end_word"], r["source_doc_id"]) for r in found}
+
+
+def test_links_and_lengths_of_passages(spark):
+    rng = np.random.default_rng(9)
+    draw = lambda n: list(rng.choice([f"w{i}" for i in range(50_000)], n, replace=False))
+    shared = draw(84)
+    parts = [draw(9) + shared[7 * k : 7 * k + 18] + draw(9) for k in range(10)]
+    assert spans_of(spark, [*parts, draw(20) + shared + draw(9), draw(5) + shared]) == {(10, 20, 104, 10), (11, 5, 89, 10)}
+    joined = [p[: 28] for p in (draw(60), draw(60), draw(60))]
+    assert spans_of(spark, [*(draw(9) + p + draw(9) for p in joined), draw(5) + sum(joined, []) + draw(5)]) == set()
+    short = " ".join(draw(49))
+    ends = [f"{short}\n", f" {short}", f"{short}\n one", f"\n{short} one\n"]
+    got = passages.repeated_passages(documents(spark, ends)).collect()
+    assert {(r["doc_id"], r["first_word"], r["end_word"]) for r in got} == {(2, 0, 50), (3, 0, 50)}
+    exact = [draw(9) + (run := draw(50)) + draw(9), draw(3) + run + draw(8)]
+    assert spans_of(spark, exact) == {(0, 9, 59, 0), (1, 3, 53, 0)}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(b"a b c d".split()), max_size=40), st.lists(st.sampled_from(b"a b c d".split()), max_size=40))
+def test_common_words(a, b):
+    assert passages.common_words(a, b) == longest_common(a, b)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 3), min_size=5, max_size=60), st.integers(5, 12))
+def test_long_seeds_are_equal_for_equal_runs(words, length):
+    one = passages.word_hashes([str(w).encode() for w in words])
+    h, at = passages.long_seeds(one, np.arange(len(words)), length)
+    assert at.tolist() == list(range(max(0, len(words) - length + 1)))
+    for i, j in combinations(at.tolist(), 2):
+        assert (h[i] == h[j]) == (words[i : i + length] == words[j : j + length])
 
 
 def test_fuzzy_passages(spark):
@@ -243,6 +315,12 @@ def test_chains_against_all_chains():
         assert np.isclose(passages.K * len(chain) - gaps, best)
 
 
+def test_passages_of_two_texts_under_one_id(spark):
+    one, two = " ".join(f"a{i}" for i in range(70)), " ".join(f"b{i}" for i in range(70))
+    docs = documents(spark, [one, two, one, two], [1, 1, 2, 3])
+    assert {r["doc_id"] for r in passages.repeated_passages(docs).collect()} in ({1, 2}, {1, 3})
+
+
 def test_passages_of_odd_input(spark):
     got = passages.repeated_passages(odd(spark)).collect()
     assert {r["doc_id"] for r in got} <= {6}
