@@ -1,10 +1,11 @@
 """Connected components by contraction, for edge lists of any size.
 
 Every round each vertex picks, by a hash that changes with the round, one
-representative in its closed neighbourhood; edges move to the representatives
-and loops and repeats vanish.  Each round shrinks the graph by a constant
-factor in expectation, so the rounds grow with the logarithm of the largest
-component.  Nothing is collected but the number of edges left.
+representative within two steps of it; edges move to the representatives
+and loops and repeats vanish.  A star is done in one round, and each round
+shrinks any graph by a constant factor in expectation, so the rounds grow with
+the logarithm of the largest component.  Nothing is collected but whether edges
+are left.
 """
 
 from __future__ import annotations
@@ -29,9 +30,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     left, chosen, turn = settle(both.distinct(), "edges"), [], 0
     while not left.isEmpty():
         rank = lambda c, turn=turn: F.xxhash64(F.col(c), F.lit(turn))
-        nearest = left.groupBy("a").agg(F.min(F.struct(rank("b").alias("h"), F.col("b").alias("r"))).alias("m"))
         own = F.struct(rank("a").alias("h"), F.col("a").alias("r"))
-        step = settle(nearest.select(F.col("a").alias("node"), F.least(own, F.col("m"))["r"].alias("root")), "roots")
+        nearest = left.groupBy("a").agg(F.min(F.struct(rank("b").alias("h"), F.col("b").alias("r"))).alias("m"))
+        nearest = nearest.select("a", F.least(own, F.col("m")).alias("m"))
+        beyond = left.join(nearest.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("m").alias("m"))
+        step = settle(beyond.select(F.col("a").alias("node"), F.least(own, F.col("m"))["r"].alias("root")), "roots")
         chosen.append(step)
         ra = step.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         rb = step.select(F.col("node").alias("b"), F.col("root").alias("rb"))

@@ -15,17 +15,17 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from framequery.llm.common import broadcast_if_small, settle, table
+from framequery.llm.common import broadcast_if_small, one_text_per_id, settle, table
 from framequery.llm.components import connected_components
 
 BLOCK = 65_536
+MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingles(text: str | None, size: int) -> list[bytes]:
@@ -110,8 +110,12 @@ def simhash_components(docs: DataFrame, size: int = 3, radius: int = 2) -> DataF
     bits; component_id is the smallest doc_id reachable.  Null texts count as
     empty, and all empty texts share fingerprint zero; a null doc_id is kept and
     never is a component_id unless its component has no other; repeated rows
-    give repeated results; an empty table gives an empty result.
+    give repeated results; an empty table gives an empty result.  The radius is
+    even: the first of a variant is linked to all others there, which needs each
+    to be within the radius of it.
     """
+    if radius % 2:
+        raise ValueError("the radius must be even")
     known = docs.select(F.col("doc_id").cast("long"), "text")
     prints = settle(fingerprints(known, size).select("doc_id", F.col("fps")[0].alias("fp")), "prints")
     points = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "points")
@@ -125,16 +129,19 @@ def simhash_components(docs: DataFrame, size: int = 3, radius: int = 2) -> DataF
     return prints.join(members, "fp").select("doc_id", digits, "component_id")
 
 
-def _jaccard(size: int) -> Column:
-    @F.pandas_udf("double")
-    def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b, strict=True):
-            s, t = set(shingles(x, size)), set(shingles(y, size))
-            out.append(len(s & t) / len(s | t) if s or t else 1.0)
-        return pd.Series(out, dtype="float64")
-
-    return similarity
+def shingle_hashes(text: str | None, size: int) -> np.ndarray:
+    """The set of a text's word shingles as hashes in order, each made of the
+    hashes of its words; fewer words give one shingle, none give none."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    one = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    size = min(size, len(words))
+    h = np.full(len(words) - size + 1, size, np.uint64)
+    for j in range(size):
+        h = h * MIX + one[j : j + len(h)]
+    h = (h ^ (h >> np.uint64(31))) * MIX
+    return np.unique(h ^ (h >> np.uint64(29)))
 
 
 def shingle_sets(docs: DataFrame, size: int, similarity: float, last: np.ndarray) -> DataFrame:
@@ -153,8 +160,7 @@ def shingle_sets(docs: DataFrame, size: int, similarity: float, last: np.ndarray
         for batch in batches:
             keys, sizes, prefixes = [], [], []
             for t in batch.column(1):
-                parts = set(shingles(t.as_py(), size))
-                h = np.unique(np.fromiter(map(xxhash.xxh64_intdigest, parts), np.uint64, len(parts)))
+                h = shingle_hashes(t.as_py(), size)
                 keys.append(xxhash.xxh3_128_digest(h.tobytes()))
                 sizes.append(len(h))
                 found = np.minimum(np.searchsorted(sorted_last, h), max(len(last) - 1, 0))
@@ -176,9 +182,7 @@ def frequent_shingles(docs: DataFrame, size: int, share: int = 20, least: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for t in batch.column(0):
-                parts = set(shingles(t.as_py(), size))
-                h = np.fromiter(map(xxhash.xxh64_intdigest, parts), np.uint64, len(parts))
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["h"])
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_hashes(t.as_py(), size).view(np.int64))], ["h"])
 
     some = docs.where(F.crc32("text") % share == 0).select("text").dropDuplicates()
     counted = some.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= least)
@@ -194,12 +198,29 @@ def _possible(similarity: float) -> Column:
 
 
 def _verified(pairs: DataFrame, known: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose texts reach the similarity."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = known.join(broadcast_if_small(settle(needed, "needed")), "doc_id", "left_semi")
-    texts = settle(texts.distinct(), "texts")
-    sides = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
-    return settle(sides.where(_jaccard(size)("text_a", "text_b") >= similarity).select("a", "b"), "links")
+    """The pairs (a, b) of doc_ids whose sets of shingles reach the similarity.
+    Each set is computed once; sorted hashes travel, not texts."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = pa.array([shingle_hashes(t.as_py(), size).view(np.int64) for t in batch.column(1)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["doc_id", "s"])
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                s, t = (v.values.to_numpy().view(np.uint64) for v in (x, y))
+                s, t = (s, t) if len(s) <= len(t) else (t, s)
+                both = np.count_nonzero(t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s) if len(s) else 0
+                near.append(both >= similarity * (len(s) + len(t) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    needed = settle(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "needed")
+    texts = known.join(broadcast_if_small(needed), "doc_id", "left_semi").select("doc_id", "text")
+    sets = settle(texts.mapInArrow(hashed, "doc_id long, s array<long>"), "hashes")
+    sides = pairs.join(sets.toDF("b", "s_b"), "b").join(sets.toDF("a", "s_a"), "a")
+    return settle(sides.select("a", "b", "s_a", "s_b").mapInArrow(judged, "a long, b long"), "links")
 
 
 def near_duplicate_components(docs: DataFrame, size: int = 5, similarity: float = 0.8, block: int = 1024) -> DataFrame:
@@ -209,17 +230,17 @@ def near_duplicate_components(docs: DataFrame, size: int = 5, similarity: float
     shingles reaches ``similarity``; no such pair is missed.  Texts with equal
     sets collapse first.  The others emit the prefixes of their sets; texts that
     meet in a hash are candidates unless their sizes and places rule the
-    similarity out, and are judged by their texts.  First each bucket's smallest
-    doc_id is judged with the others, then all pairs that are not yet in one
-    group, buckets of more than ``block`` texts in blocks.
-    Rows without doc_id take no part.
+    similarity out, and are judged by their sets.  First each bucket's smallest
+    doc_id is judged with the others, then the pairs of members that are not yet
+    in one group, buckets of more than ``block`` groups in blocks.
+    Rows without doc_id take no part; of different texts under one doc_id the
+    first by md5 counts.
     """
-    text = F.coalesce("text", F.lit(""))
-    known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), text.alias("text"))
+    known = one_text_per_id(docs)
     sets = settle(shingle_sets(known, size, similarity, frequent_shingles(known, size)), "sets")
     firsts = settle(sets.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("held")).where("held > 1"), "firsts")
-    copies = settle(sets.select("key", "doc_id").join(firsts, "key").where("doc_id <> rep").distinct(), "copies")
-    alone = sets.join(broadcast_if_small(copies.select("key", "doc_id")), ["key", "doc_id"], "left_anti")
+    copies = settle(sets.select("key", "doc_id").join(firsts, "key").where("doc_id <> rep").select("doc_id", "rep"), "copies")
+    alone = sets.join(broadcast_if_small(copies.select("doc_id")), "doc_id", "left_anti")
     emitted = alone.select("doc_id", "n", F.posexplode("prefix").alias("i", "h"))
     meet = Window.partitionBy("h")
     held = emitted.withColumn("held", F.count("*").over(meet)).where("held > 1")
@@ -232,14 +253,17 @@ def near_duplicate_components(docs: DataFrame, size: int = 5, similarity: float
     links = _verified(judged, known, size, similarity)
 
     roots = connected_components(links).withColumnRenamed("node", "doc_id")
-    placed = buckets.where("held > 2").join(roots, "doc_id", "left")
-    placed = placed.select("h", "doc_id", "n", "i", F.coalesce("root", "doc_id").alias("root"), F.ceil(F.col("held") / block).alias("blocks"))
+    placed = buckets.where("held > 2").join(roots, "doc_id", "left").select("h", "doc_id", "n", "i", F.coalesce("root", "doc_id").alias("root"))
     placed = settle(placed, "placed")
-    one = placed.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
-    all_parts = placed.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    side = lambda t, e: t.select("h", "part", *[F.col(c).alias(f"{c}_{e}") for c in ("doc_id", "n", "i", "root")])
-    rest = side(one, "a").join(side(all_parts, "b"), ["h", "part"]).where("doc_id_a < doc_id_b and root_a <> root_b")
-    rest = rest.where(_possible(similarity)).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
+    mixed = placed.groupBy("h").agg(F.countDistinct("root").alias("groups")).where("groups > 1")
+    placed = settle(placed.join(mixed, "h").withColumn("blocks", F.ceil(F.col("groups") / block)), "mixed")
+    groups = placed.select("h", "root", "blocks").distinct()
+    one = groups.select("h", F.col("root").alias("root_a"), F.pmod(F.xxhash64("root"), F.col("blocks")).alias("part"))
+    other = groups.select("h", F.col("root").alias("root_b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("part"))
+    met = one.join(other, ["h", "part"]).where("root_a < root_b").drop("part")
+    side = lambda e: placed.select("h", *[F.col(c).alias(f"{c}_{e}") for c in ("doc_id", "n", "i", "root")])
+    rest = met.join(side("a"), ["h", "root_a"]).join(side("b"), ["h", "root_b"]).where(_possible(similarity))
+    rest = rest.select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b")).distinct()
     rest = settle(rest.join(judged, ["a", "b"], "left_anti"), "pairs")
     links = links.unionByName(_verified(rest, known, size, similarity))
 
