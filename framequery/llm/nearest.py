@@ -6,24 +6,26 @@ the vector more than the error across it, as the parallel part changes the
 scores of the queries that matter.  A query's lookup tables are scanned over
 all codes, and the best codes are reranked by exact inner products.
 
-Queries and coded vectors meet in blocks: every block of vectors is scanned
-for every block of queries, each pair of blocks a task of its own.  There is no
+Queries and codes meet in blocks, each pair of blocks a task of its own; only
+codes, half a byte for two dimensions, are repeated for the blocks of queries.
+The vectors themselves are joined to the candidates that are left.  There is no
 coarse partition that is searched in part: on vectors without clusters it would
-lose neighbours.
+lose neighbours (the README gives figures).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from framequery.llm.common import hash_sample, settle, table
+from framequery.llm.common import broadcast_if_small, hash_sample, settle, table
 
 SAMPLE_ROWS = 4000
 CODES = 16
@@ -40,14 +42,18 @@ class Codebooks:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v array<double>): the rows that take part."""
-    v = F.col("embedding").cast("array<double>")
+    """(vec_id, v): the rows that take part, their components as given."""
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     nonzero = F.exists("v", lambda x: x != 0)
-    known = vectors.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long"), v.alias("v"))
+    known = vectors.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long"), F.col("embedding").alias("v"))
     return known.where(F.coalesce(fine & nonzero, F.lit(False)))
 
 
+def matrix(lists: pa.ListArray) -> np.ndarray:
+    """Lists of one length as rows."""
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
+
+
 def split(x: np.ndarray, width: int = 2) -> np.ndarray:
     """(n, d) -> (n, parts, width), padded with zeros."""
     short = -x.shape[1] % width
@@ -58,8 +64,9 @@ def encode(x: np.ndarray, books: Codebooks, sweeps: int = 3) -> np.ndarray:
     """Codes of the rows of ``x`` by coordinate descent on the anisotropic loss
     |e|^2 + (parallel - 1) (e . x / |x|)^2, e being the residual."""
     parts, unit = split(x), split(x / np.linalg.norm(x, axis=1, keepdims=True))
-    across = np.square(parts[:, :, None, :] - books.centres[None]).sum(-1)  # (n, parts, 16)
-    along = np.einsum("npcw,npw->npc", parts[:, :, None, :] - books.centres[None], unit)
+    cross = np.einsum("npw,pcw->npc", parts, books.centres, optimize=True)
+    across = np.square(parts).sum(2)[:, :, None] - 2 * cross + np.square(books.centres).sum(2)
+    along = np.einsum("npw,npw->np", parts, unit)[:, :, None] - np.einsum("npw,pcw->npc", unit, books.centres, optimize=True)
     codes = across.argmin(2)
     rows = np.arange(len(x))
     total = np.take_along_axis(along, codes[:, :, None], 2)[:, :, 0].sum(1)
@@ -99,87 +106,122 @@ def learn(x: np.ndarray, parallel: float = 4.0, rounds: int = 8, seed: int = 11)
 
 
 def with_codes(rows: DataFrame, books: Codebooks) -> DataFrame:
-    """Adds ``code``: two four-bit codes a byte."""
+    """(vec_id, code): two four-bit codes a byte."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array(batch.column("v").to_pylist(), np.float64)
-            codes = encode(x, books) if len(x) else np.zeros((0, 2), np.uint8)
-            codes = np.pad(codes, ((0, 0), (0, codes.shape[1] % 2)))
-            packed = pa.array([row.tobytes() for row in codes[:, ::2] << 4 | codes[:, 1::2]], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, packed], [*batch.schema.names, "code"])
+            if batch.num_rows:
+                codes = encode(matrix(batch.column(1)), books)
+                codes = np.pad(codes, ((0, 0), (0, codes.shape[1] % 2)))
+                packed = pa.array([row.tobytes() for row in codes[:, ::2] << 4 | codes[:, 1::2]], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0), packed], ["vec_id", "code"])
 
-    kept = rows.select("vec_id", "ids", "v")
-    return kept.mapInArrow(run, "vec_id long, ids array<long>, v array<double>, code binary")
+    return rows.select("vec_id", "v").mapInArrow(run, "vec_id long, code binary")
 
 
 def scan(queries: np.ndarray, codes: np.ndarray, books: Codebooks) -> np.ndarray:
     """(q, n) estimated inner products, from each query's tables for the pairs
     of four-bit codes that share a byte."""
-    tables = np.einsum("qpw,pcw->qpc", split(queries), books.centres).astype(np.float32)
-    if tables.shape[1] % 2:
-        tables = np.pad(tables, ((0, 0), (0, 1), (0, 0)))
-    bytewise = (tables[:, ::2, :, None] + tables[:, 1::2, None, :]).reshape(len(queries), -1, CODES * CODES)
-    total = np.zeros((len(queries), len(codes)), np.float32)
+    tables = np.einsum("qpw,pcw->pcq", split(queries), books.centres).astype(np.float32)
+    if len(tables) % 2:
+        tables = np.pad(tables, ((0, 1), (0, 0), (0, 0)))
+    total, row = np.zeros((len(codes), len(queries)), np.float32), np.empty((len(codes), len(queries)), np.float32)
     for b in range(codes.shape[1]):
-        total += bytewise[:, b][:, codes[:, b]]
-    return total
+        bytewise = (tables[2 * b, :, None] + tables[2 * b + 1, None]).reshape(CODES * CODES, -1)
+        total += np.take(bytewise, codes[:, b], axis=0, out=row)
+    return np.ascontiguousarray(total.T)
+
+
+def best_codes(estimate: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the ``m`` largest estimates of each row; of equal ones
+    the first columns."""
+    m = min(m, estimate.shape[1])
+    least = np.partition(estimate, estimate.shape[1] - m, axis=1)[:, [estimate.shape[1] - m]]
+    over = estimate > least
+    ties = estimate == least
+    room = m - over.sum(1, keepdims=True)
+    return np.nonzero(over | (ties & (np.cumsum(ties, axis=1, dtype=np.int32) <= room)))
+
+
+def candidates(coded: DataFrame, ask: DataFrame, books: Codebooks, k: int, rerank: int) -> DataFrame:
+    """(query_id, vec_id): the ``rerank`` best codes of each query by estimate;
+    of equal ones the smaller ids.  A block keeps its even share of them and 4k
+    more, so that blocks with more of the best lose none but by great crowding."""
+    blocks = max(1, -(-coded.count() // ROWS_A_BLOCK))
+    q_blocks = max(1, -(-ask.count() // QUERIES_A_BLOCK))
+    place = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n))
+    span = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = coded.withColumn("block", place(blocks)).withColumn("q_block", span(q_blocks))
+    right = ask.withColumn("q_block", place(q_blocks)).withColumn("block", span(blocks))
+    kept = -(-rerank // blocks) + 4 * k
+
+    def best(own: pa.Table, asked: pa.Table) -> pa.Table:
+        found = {"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "estimate": np.empty(0, np.float32)}
+        if own.num_rows and asked.num_rows:
+            own = own.sort_by("vec_id")
+            codes = np.frombuffer(b"".join(own.column("code").to_pylist()), np.uint8).reshape(own.num_rows, -1)
+            estimate = scan(matrix(asked.column("v").combine_chunks()), codes, books)
+            rows, columns = best_codes(estimate, kept)
+            ids, queries = own.column("vec_id").to_numpy(), asked.column("vec_id").to_numpy()
+            found = {"query_id": queries[rows], "vec_id": ids[columns], "estimate": estimate[rows, columns]}
+        return pa.table(found)
+
+    found = left.groupBy("block", "q_block").cogroup(right.groupBy("block", "q_block"))
+    found = found.applyInArrow(best, "query_id long, vec_id long, estimate float")
+    order = Window.partitionBy("query_id").orderBy(F.desc("estimate"), "vec_id")
+    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= rerank).select("query_id", "vec_id")
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, rerank: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: each query's ``k`` nearest of ``vectors``.
 
     Both are (vec_id, embedding).  Equal vectors are coded once; as a query
-    needs no more than k + 1 of them, the k + 1 smallest ids stand for all.  In
-    each block of vectors a query's ``rerank * k`` best codes are scored exactly.
-    Rows that are null, zero or hold null or non-finite components take no part,
-    nor do vectors of another width than the queries'; a repeated vec_id counts
-    once with the same vector; an empty table gives an empty result.
+    needs no more than k + 1 of them, the k + 1 smallest ids stand for all.  A
+    query's ``rerank * k`` best codes are scored exactly; ties go to the smaller
+    vec_id.  A query is compared with the vectors of its own width, each width
+    with codebooks of its own, fitted on at most SAMPLE_ROWS of its vectors.
+    Rows that are null, zero or hold null or non-finite components take no part;
+    a repeated vec_id counts once for each of its different vectors, with the
+    better score as a neighbour; an empty table gives an empty result.
     """
+    spark = vectors.sparkSession
     rows = settle(usable(vectors).withColumn("key", F.xxhash64("v")), "vectors")
     first = Window.partitionBy("key", "v").orderBy("vec_id")
     ranked = rows.distinct().withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1)
     distinct = ranked.groupBy("key", "v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    distinct = settle(distinct.select(F.col("ids")[0].alias("vec_id"), "ids", "v"), "distinct")
-    ask = settle(usable(queries).distinct(), "queries")
-    sample = [r["v"] for r in hash_sample(distinct.select("vec_id", "v"), SAMPLE_ROWS, "vec_id").collect()]
-    schema = "query_id long, vec_id long, score double"
-    if not sample:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    width = max(len(v) for v in sample)
-    books = learn(np.array([v for v in sample if len(v) == width]))
-    blocks = max(1, -(-distinct.count() // ROWS_A_BLOCK))
-    q_blocks = max(1, -(-ask.count() // QUERIES_A_BLOCK))
-    place = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n))
-    span = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    coded = settle(with_codes(distinct.where(F.size("v") == width), books), "codes")
-    left = coded.withColumn("block", place(blocks)).withColumn("q_block", span(q_blocks))
-    right = ask.where(F.size("v") == width).withColumn("q_block", place(q_blocks)).withColumn("block", span(blocks))
-
-    def best(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if own.empty or asked.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        codes = np.frombuffer(b"".join(own["code"]), np.uint8).reshape(len(own), -1)
-        x, q = np.stack(own["v"].to_numpy()), np.stack(asked["v"].to_numpy())
-        estimate = scan(q, codes, books)
-        m = min(len(own), rerank * k)
-        top = np.argpartition(-estimate, m - 1, axis=1)[:, :m]
-        ids, out = own["ids"].to_list(), []
-        for row, query_id in enumerate(asked["vec_id"].to_list()):
-            near = top[row]
-            exact = x[near] @ q[row]
-            found = []
-            for j in np.argsort(-exact, kind="stable"):
-                found += [(-exact[j], i) for i in ids[near[j]] if i != query_id]
-                if len(found) >= k and (len(found) > 4 * k or exact[j] < -found[k - 1][0]):
-                    break
-            out += [(query_id, i, -s) for s, i in sorted(found)[:k]]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
-
-    found = left.groupBy("block", "q_block").cogroup(right.groupBy("block", "q_block")).applyInPandas(best, schema)
+    distinct = settle(distinct.select(F.col("ids")[0].alias("vec_id"), "ids", "v", F.size("v").alias("width")), "distinct")
+    ask = settle(usable(queries).distinct().select(F.col("vec_id").alias("query_id"), "v", F.size("v").alias("width")), "queries")
+    found = []
+    for (width,) in ask.select("width").distinct().orderBy("width").collect():
+        own = distinct.where(F.col("width") == width).select("vec_id", "v")
+        sample = [r["v"] for r in hash_sample(own, SAMPLE_ROWS, "vec_id").collect()]
+        if sample:
+            books = learn(np.array(sample, np.float64))
+            coded = settle(with_codes(own, books), "codes")
+            asked = ask.where(F.col("width") == width).select(F.col("query_id").alias("vec_id"), "v")
+            found.append(candidates(coded, asked, books, k, rerank * k))
+    if not found:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    pairs = settle(reduce(DataFrame.unionByName, found), "candidates")
+    sides = pairs.join(distinct.select("vec_id", "ids", F.col("v").alias("x"), F.col("width").alias("x_width")), "vec_id")
+    sides = sides.join(broadcast_if_small(ask.withColumnRenamed("v", "q")), "query_id").where("width = x_width")
+
+    def rerank_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, q = (batch.column(k) for k in (2, 3))
+            score = np.zeros(batch.num_rows)
+            widths = pc.list_value_length(x).to_numpy()
+            for width in np.unique(widths).tolist():
+                own = pa.array(np.flatnonzero(widths == width))
+                score[own] = np.einsum("nd,nd->n", matrix(x.take(own)), matrix(q.take(own)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score)], ["query_id", "ids", "score"])
+
+    scored = sides.select("query_id", "ids", "x", "q").mapInArrow(rerank_batches, "query_id long, ids array<long>, score double")
+    each = scored.select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
+    each = each.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return found.select("query_id", "rank", "vec_id", "score")
+    ranked = each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,6 +47,31 @@ def test_vectors_that_are_null_zero_or_copies(spark):
     assert nearest.nearest(rows.limit(0), rows.limit(0)).count() == 0
 
 
+def test_widths_and_ties(spark):
+    mixed = [(i, [float(i), 1.0, 2.0]) for i in range(1, 41)] + [(50, [1.0, 2.0, 3.0, 4.0]), (51, [2.0, 2.0, 2.0, 2.0])]
+    rows = spark.createDataFrame(mixed, "vec_id long, embedding array<double>")
+    got = nearest.nearest(rows, rows.where("vec_id in (1, 50)"), k=20).collect()
+    per = {q: [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] for q in (1, 50)}
+    assert per == {1: list(range(40, 20, -1)), 50: [51]}
+    rng = np.random.default_rng(1)
+    tied = [(i, [1.0, *(float(v) for v in rng.integers(-5, 6, 3))]) for i in range(1, 401)]
+    rows = spark.createDataFrame([*tied, (1000, [1.0, 0.0, 0.0, 0.0])], "vec_id long, embedding array<float>")
+    got = nearest.nearest(rows, rows.where("vec_id = 1000")).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == list(range(1, 21))
+    twice = spark.createDataFrame([(1, [1.0, 0.0]), (1, [3.0, 0.0]), (2, [2.0, 0.0]), (3, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    got = nearest.nearest(twice, twice.where("vec_id = 2")).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(1, 6.0), (3, 2.0)]
+
+
+def test_best_codes_and_their_ties():
+    rng = np.random.default_rng(2)
+    estimate = rng.integers(0, 6, (20, 30)).astype(np.float32)
+    rows, columns = nearest.best_codes(estimate, 7)
+    for q in range(20):
+        assert sorted(columns[rows == q]) == sorted(np.lexsort((np.arange(30), -estimate[q]))[:7])
+    assert len(nearest.best_codes(estimate, 99)[0]) == estimate.size
+
+
 def test_anisotropic_codes_lose_less_along_the_vector():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(1500, 16))
