@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
-from itertools import combinations
+import re
+from collections import Counter, defaultdict
+from itertools import combinations, product
 
 import numpy as np
 import xxhash
@@ -155,15 +156,75 @@ QUESTION = "Alice bought 12 apples for 3 dollars each and then sold all of the 1
 def test_questions_asked_again(spark):
     again = "text before, Maria bought 7 apples for 5 dollars each and then sold all of the 7 apples to a friend called Peter at the market near the old town hall. How much did she earn? text after"
     clash = again.replace("the 7 apples", "the 9 apples")
-    bench = spark.createDataFrame([(1, QUESTION), (2, "short one here"), (3, None), (None, "x y z"), (4, "1 2 3 4 5 6 7 8 9 10 11")], "item_id long, text string")
-    texts = [QUESTION.upper(), again, clash, "a clean text about apples and the market near the old town hall", None, "so a short one, here"]
-    got = {(r["doc_id"], r["item_id"]): r["exact"] for r in decontaminate.contamination(documents(spark, texts), bench).collect()}
+    short = "3 4 and 5 more"
+    bench = spark.createDataFrame([(1, QUESTION), (2, "so short"), (3, None), (None, "x y z a b c"), (4, "1 2 3 4 5 6 7 8 9 10 11"), (5, short), (6, "yes")], "item_id long, text string")
+    texts = [QUESTION.upper(), again, clash, "a clean text about apples and the market near the old town hall", None, "yes, so short one, here"]
+    texts += ["look: 1 2 3 4 5 6 7 8 9 10 11", "look: 31 32 33 34 35 36 37 38 39 40 41", "it is 3 4 and 5 more of it", "it is 8 9 and 7 more of it"]
+    found = decontaminate.contamination(documents(spark, texts), bench).collect()
+    got = {(r["doc_id"], r["item_id"]): r["exact"] for r in found}
     assert got[1, 1] is False
-    assert (5, 2) in got
-    assert {d for d, _ in got} >= {1, 5}
-    assert not {3, 4} & {d for d, _ in got}
-    matched = {r["doc_id"]: r["matched_windows"] for r in decontaminate.contamination(documents(spark, [again, clash]), bench).collect()}
-    assert 1 not in matched or matched[1] < matched[0]
+    assert got[2, 1] is False
+    assert not {3, 4, 5, 7} & {d for d, _ in got}
+    assert got[6, 4] is True
+    assert got[8, 5] is True
+    assert got.keys() == {(0, 1), (1, 1), (2, 1), (6, 4), (8, 5)} | ({(9, 5)} & got.keys())
+    matched = {(r["doc_id"], r["item_id"]): r["matched_windows"] for r in found}
+    assert matched[2, 1] < matched[1, 1]
+
+
+def test_one_number_changed_in_a_copy(spark):
+    copy = QUESTION.replace("the 12 apples", "the 19 apples")
+    got = decontaminate.contamination(documents(spark, [copy]), spark.createDataFrame([(1, QUESTION)], "item_id long, text string")).collect()
+    assert [(r["doc_id"], r["item_id"]) for r in got] == [(0, 1)]
+
+
+def plain_tokens(text):
+    """Words of ASCII prose without units: (kind, word)."""
+    out, before = [], "."
+    for m in re.finditer(r"[0-9]+|[A-Za-z]+", text):
+        w, lead = m[0], text[m.start() - 2 : m.start()]
+        number = w.isdigit() or w.lower() in decontaminate.NUMBER_WORDS.split()
+        name = w[0].isupper() and w[1:2].islower() and len(lead) == 2 and lead[1] == " " and (lead[0].isalnum() or lead[0] in ",;")
+        out.append(("n" if number else "N" if name else "", w.lower()))
+    return out
+
+
+def test_reparameterised_items_against_brute_force(spark):
+    rng = np.random.default_rng(12)
+    draw = lambda n: [str(w) for w in rng.choice([f"{a}{b}" for a in "ka lo mi ru te".split() for b in "ben dor fal gim hus".split()], n)]
+    name = lambda: str(rng.choice("Anna Bert Carl Dora Emil Fritz".split()))
+    number = lambda: str(rng.integers(1, 9))
+    items, texts = {}, []
+    for k in range(12):
+        form = [rng.choice(["w", "n", "N"], p=[0.7, 0.2, 0.1]) for _ in range(int(rng.integers(9, 30)))]
+        lit = draw(len(form))
+        fill = lambda form=form, lit=lit: " ".join({"w": w, "n": number(), "N": name()}[f] for f, w in zip(form, lit, strict=True))
+        items[k] = fill()
+        texts += [" ".join(draw(5)) + " " + t + " " + " ".join(draw(5)) for t in (items[k], fill(), fill(), " ".join(items[k].split()[3:]))]
+    template = lambda t: [k or w for k, w in t]
+    want = {}
+    for d, text in enumerate(texts):
+        own = plain_tokens(text)
+        for i, item in items.items():
+            b = plain_tokens(item)
+            n = min(8, len(b))
+            hits = []
+            for p, q in product(range(len(own) - n + 1), range(len(b) - n + 1)):
+                x, y = own[p : p + n], b[q : q + n]
+                literal = 2 * sum(not k for k, _ in y) >= n
+                if template(x) == template(y) and (literal or x == y):
+                    hits.append((q, {(u, v) for u, v in zip(y, x, strict=True) if u[0]}))
+            met = Counter(s for _, slots in hits for s in slots)
+            first = lambda pairs: min(pairs, key=lambda s: (-met[s], s[1][1], s[0][1]))
+            holds = {s for s in met if s == first([t for t in met if t[0] == s[0]])}
+            holds = {s for s in holds if s == min((t for t in met if t[1] == s[1]), key=lambda t: (-met[t], t[0][1]))}
+            covered = {q for q, slots in hits if slots <= holds}
+            if covered and len(covered) >= min(6, -(-(len(b) - n + 1) // 2)):
+                want[d, i] = len(covered)
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["matched_windows"] for r in decontaminate.contamination(documents(spark, texts), bench).collect()}
+    assert len(want) > 15
+    assert got == want
 
 
 def test_decontamination_of_odd_input(spark):
