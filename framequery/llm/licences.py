@@ -16,6 +16,7 @@ Everything is a DataFrame or SQL function; the logistic regression is Spark's ow
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import lru_cache, reduce
 
@@ -259,11 +260,16 @@ def _default_model(spark: SparkSession) -> Model:
 
 def template_share(g: Column, family: Column, vocabulary: list[str]) -> Column:
     """The largest share of the n-grams of a template of the family that are in ``g``."""
+    known = {w for gram in vocabulary for w in gram.split()}
     shares = F.lit(0.0)
     for name in KNOWN:
-        own = [grams(known_words(F.lit(line), vocabulary)) for line in TEMPLATES[name]]
-        share = F.greatest(*[F.size(F.array_intersect(g, t)) / F.size(t) for t in own])
-        shares = F.when(family == name, share).otherwise(shares)
+        own = []
+        for line in TEMPLATES[name]:
+            w = [v if v in known else "" for v in re.findall("[a-z0-9]+", line.lower())]
+            held = sorted({*filter(None, w), *(f"{u} {v}" for u, v in zip(w, w[1:], strict=False) if u and v)})
+            template = F.expr("array(%s)" % ", ".join(f"'{g}'" for g in held))
+            own.append(F.size(F.array_intersect(g, template)) / len(held))
+        shares = F.when(family == name, F.greatest(*own)).otherwise(shares)
     return shares
 
 

@@ -1,172 +1,182 @@
 """Mixing sources to target weights by soft membership.
 
 A classifier trained on a labelled table gives every document posteriors over
-the domains.  Nonnegative rates for the documents are then fitted by projected
-gradient steps on the relative least-squares distance between the domains'
-expected token totals and their targets.  Each step is one aggregation over a
-narrow settled table; only the domains' totals reach the driver.
-
-Everything is a DataFrame or SQL function; the logistic regression is Spark's own.
+the domains (its possible sources).  Nonnegative rates for the documents are
+then fitted by projected gradient steps on the least-squares distance between
+the domains' expected token totals and their targets.  Each step is one
+aggregation over a narrow settled table; only the domains' totals reach the
+driver.  As a rate depends on a document's posteriors and the steps alone, it is
+computed beside the text, which is never shuffled.
+
+Everything is a DataFrame or SQL function; the logistic regression and its
+features are Spark's own.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 import numpy as np
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.feature import HashingTF, Normalizer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framequery.llm.common import hash_sample, settle, table
 
 SAMPLE_ROWS = 4000
-VOCABULARY = 4000
+FEATURES = 4096
 MAX_DOMAINS = 64
-#: Rate steps computed in one expression before the rates are written out.
-STEPS_A_TABLE = 8
 
 
-def words_of(text: Column) -> Column:
-    return F.split(F.lower(F.coalesce(text, F.lit(""))), r"[ \n\t\r]+")
+@dataclass(frozen=True)
+class Membership:
+    """The domains and their classifier (none: one domain for all)."""
 
+    domains: list[str]
+    regression: LogisticRegressionModel | None
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, domain: str, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(doc_id, text, domain): at most ``rows`` labelled documents of known
-    domain, chosen by the hash of their id."""
-    ids = hash_sample(labels.where("doc_id is not null").select("doc_id").distinct(), rows)
-    known = docs.where(F.col(domain).isNotNull()).select("doc_id", "text", F.col(domain).cast("string").alias("domain"))
-    return known.join(F.broadcast(ids), "doc_id")
-
-
-def word_weights(sample: DataFrame, domains: list[str], size: int = VOCABULARY) -> DataFrame:
-    """(word, weights): each word's log share in every domain less the mean over
-    the domains, for the ``size`` words that tell most."""
-    words = sample.select("domain", F.explode(words_of(F.col("text"))).alias("word")).where("word <> ''")
-    counts = words.groupBy("word").pivot("domain", domains).count().na.fill(0)
-    seen = counts.select("word", F.array(*[F.col(f"`{d}`").cast("double") for d in domains]).alias("n"))
-    totals = seen.select(*[F.sum(F.col("n")[k]) for k in range(len(domains))]).first()
-    logs = F.array(*[F.log((F.col("n")[k] + 0.5) / F.lit(float(t or 0) + 0.5 * size)) for k, t in enumerate(totals)])
-    total = F.aggregate("n", F.lit(0.0), lambda a, x: a + x)
-    mean = F.aggregate("l", F.lit(0.0), lambda a, x: a + x) / len(domains)
-    centred = seen.select("word", total.alias("total"), logs.alias("l"))
-    centred = centred.select("word", "total", F.transform("l", lambda x: x - mean).alias("weights"))
-    worth = F.col("total") * F.aggregate("weights", F.lit(0.0), lambda a, x: a + x * x)
-    return centred.where("total >= 3").orderBy(worth.desc(), "word").limit(size).select("word", "weights")
-
-
-def membership(docs: DataFrame, weights: DataFrame, n_domains: int) -> DataFrame:
-    """(doc_id, tokens, x): the document's words and their mean weights.
-
-    Rows that repeat a doc_id are one document whose tokens add up.
-    """
-    words = docs.select("doc_id", F.explode(words_of(F.col("text"))).alias("word"))
-    hit = words.join(F.broadcast(weights), "word", "left")
-    sums = [F.sum(F.col("weights")[k]).alias(f"s{k}") for k in range(n_domains)]
-    per = hit.groupBy("doc_id").agg(F.sum((F.col("word") != "").cast("long")).alias("tokens"), *sums)
-    x = [F.coalesce(f"s{k}", F.lit(0.0)) / F.greatest("tokens", F.lit(1)) for k in range(n_domains)]
-    return per.select("doc_id", "tokens", F.array(*x).alias("x"))
 
+@dataclass(frozen=True)
+class Fit:
+    """What each step takes from a document's rate for each domain; the largest
+    difference between a domain's share of the expected tokens and its target;
+    whether that is within the tolerance."""
 
-def softmax(logits: list[Column]) -> list[Column]:
-    top = F.greatest(*logits) if len(logits) > 1 else logits[0]
-    powers = [F.exp(v - top) for v in logits]
-    return [p / sum(powers[1:], powers[0]) for p in powers]
+    steps: list[np.ndarray] = field(default_factory=list)
+    gap: float = 0.0
+    converged: bool = True
 
 
-def domain_posteriors(docs: DataFrame, labels: DataFrame, domain: str = "lang") -> tuple[DataFrame, list[str]]:
-    """(doc_id, tokens, p array<double>) and the domains in the order of ``p``.
+def words_of(text: Column) -> Column:
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[ \n\t\r]+"), "")
 
-    Without labelled documents of known domain there is one domain, 'all'.
+
+def features(rows: DataFrame) -> DataFrame:
+    """Adds ``features``, hashed word shares, for the words ``w``."""
+    counted = HashingTF(numFeatures=FEATURES, inputCol="w", outputCol="counts").transform(rows)
+    return Normalizer(p=2.0, inputCol="counts", outputCol="features").transform(counted)
+
+
+def train(docs: DataFrame, labels: DataFrame, domain: str, rows: int = SAMPLE_ROWS) -> Membership:
+    """The classifier of labelled documents of known ``domain``, fitted on at most
+    ``rows`` of them, chosen by the hash of their id.
+
+    Without two domains there is no classifier.  More than MAX_DOMAINS domains
+    in the sample are an error: the fit sums their products in pairs.
     """
-    sample = settle(labelled_sample(docs, labels, domain), "sample")
-    counted = sample.groupBy("domain").count().orderBy(F.desc("count"), "domain").limit(MAX_DOMAINS + 1).collect()
-    domains = sorted(r["domain"] for r in counted)
+    ids = hash_sample(labels.where("doc_id is not null").select("doc_id").distinct(), rows)
+    known = docs.where(F.col(domain).isNotNull()).select("doc_id", words_of(F.col("text")).alias("w"), F.col(domain).cast("string").alias("domain"))
+    sample = settle(known.join(F.broadcast(ids), "doc_id"), "sample")
+    domains = sorted(r["domain"] for r in sample.select("domain").distinct().limit(MAX_DOMAINS + 1).collect())
     if len(domains) > MAX_DOMAINS:
         raise ValueError(f"more than {MAX_DOMAINS} domains; merge small ones first")
     if len(domains) < 2:
-        words = membership(docs, word_weights(sample, ["all"]), 0)
-        return settle(words.select("doc_id", "tokens", F.array(F.lit(1.0)).alias("p")), "posteriors"), domains or ["all"]
-    weights = settle(word_weights(sample, domains), "vocabulary")
-    rows = settle(membership(docs, weights, len(domains)), "membership")
+        return Membership(domains or ["all"], None)
     index = F.array_position(F.array(*[F.lit(d) for d in domains]), F.col("domain")) - 1
-    known = rows.join(F.broadcast(sample.select("doc_id", index.cast("double").alias("label")).dropDuplicates(["doc_id"])), "doc_id")
-    model = LogisticRegression(regParam=1e-3, maxIter=60, family="multinomial").fit(
-        known.select("label", array_to_vector("x").alias("features"))
-    )
-    coef, bias = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
-    logits = [
-        sum((F.col("x")[j] * F.lit(float(c)) for j, c in enumerate(row)), F.lit(float(b)))
-        for row, b in zip(coef, bias, strict=True)
-    ]
-    flat = rows.select("doc_id", "tokens", *[v.alias(f"z{k}") for k, v in enumerate(logits)])
-    p = F.array(*softmax([F.col(f"z{k}") for k in range(len(domains))]))
-    return settle(flat.select("doc_id", "tokens", p.alias("p")), "posteriors"), domains
-
-
-def fit_rates(rows: DataFrame, targets: np.ndarray, tolerance: float = 1e-4, max_steps: int = 64) -> DataFrame:
-    """Adds ``rate`` >= 0 to (doc_id, tokens, p) so that each domain's expected
+    made = features(sample.select(index.cast("double").alias("label"), "w")).select("label", "features").coalesce(4)
+    regression = LogisticRegression(family="multinomial", regParam=1e-3, maxIter=30, standardization=False)
+    return Membership(domains, regression.fit(made))
+
+
+def with_posteriors(docs: DataFrame, member: Membership) -> DataFrame:
+    """(row, tokens, p): the whole row, the words of its text, its posteriors."""
+    cut = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), words_of(F.col("text")).alias("w"))
+    if member.regression is None:
+        return cut.select("row", F.size("w").cast("long").alias("tokens"), F.array(F.lit(1.0)).alias("p"))
+    scored = member.regression.transform(features(cut))
+    return scored.select("row", F.size("w").cast("long").alias("tokens"), vector_to_array("probability").alias("p"))
+
+
+def fit_rates(rows: DataFrame, targets: np.ndarray, tolerance: float = 1e-4, max_steps: int = 32, stall: float = 1e-2) -> Fit:
+    """Steps towards rates >= 0 for (tokens, p) by which each domain's expected
     tokens, the sum of rate * tokens * p, meet ``targets`` times all tokens.
 
-    Starts at rate 1.  A step moves a document by its posteriors' weighted
-    residuals (the gradient in the metric given by the token counts), with the
-    step length 1 / the largest eigenvalue, and cuts at zero.
+    Starts at rate 1.  A step takes from each document's rate the product of its
+    posteriors with the weighted residuals (the gradient in the metric given by
+    the token counts) and cuts at zero.  The weights are the inverse of the
+    domains' token products, a little ridge added, for which the best step has
+    length 1.  Ends at the tolerance, or where a step improves the weighted
+    distance by less than the share ``stall``, as near the optimum of targets that
+    the posteriors cannot reach, or after ``max_steps``; ``Fit`` says which.
     """
     k = len(targets)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
     n = F.col("tokens").cast("double")
-    gram = [F.sum(n * F.col("p")[i] * F.col("p")[j]) for i in range(k) for j in range(i, k)]
-    found = rows.agg(F.coalesce(F.sum(n), F.lit(0.0)), *gram).first()
-    budget, g = float(found[0]), np.zeros((k, k))
-    for (i, j), v in zip([(i, j) for i in range(k) for j in range(i, k)], found[1:], strict=True):
-        g[i, j] = g[j, i] = v or 0.0
-    state = rows.withColumn("rate", F.lit(1.0))
+    gram = [F.sum(n * F.col("p")[i] * F.col("p")[j]) for i, j in pairs]
+    found = np.array([float(v or 0) for v in rows.agg(F.sum(n), *gram).first()])
+    budget, g = found[0], np.zeros((k, k))
+    for (i, j), v in zip(pairs, found[1:], strict=True):
+        g[i, j] = g[j, i] = v
     if budget == 0:
-        return state
-    weight = np.array([1 / v if v > 0 else 0.0 for v in np.diag(g)])
-    root = np.sqrt(weight)
-    step = 1 / np.linalg.eigvalsh(root[:, None] * g * root[None, :]).max()
-    rate, pending = F.col("rate"), 0
-    for _ in range(max_steps):
-        sums = state.agg(*[F.sum(n * F.col("p")[i] * rate) for i in range(k)]).first()
+        return Fit()
+    weight = np.linalg.inv(g + 1e-3 * np.trace(g) / k * np.eye(k))
+    steps: list[np.ndarray] = []
+    before, gap = np.inf, np.inf
+    while True:
+        state = rows.select(n.alias("n"), "p", rate_of(Fit(steps)).alias("rate"))
+        sums = state.agg(*[F.sum(F.col("n") * F.col("p")[i] * F.col("rate")) for i in range(k)]).first()
         residual = np.array([float(v or 0) for v in sums]) - np.asarray(targets) * budget
-        if np.abs(residual[weight > 0]).max(initial=0) <= tolerance * budget:
+        distance, gap = float(residual @ weight @ residual), float(np.abs(residual).max() / budget)
+        if gap <= tolerance or distance > (1 - stall) * before or len(steps) == max_steps:
             break
-        move = [F.col("p")[i] * F.lit(float(step * weight[i] * residual[i])) for i in range(k)]
-        rate, pending = F.greatest(F.lit(0.0), rate - sum(move[1:], move[0])), pending + 1
-        if pending == STEPS_A_TABLE:
-            state, rate, pending = settle(state.withColumn("rate", rate), "rates"), F.col("rate"), 0
-    return state.withColumn("rate", rate)
+        before = distance
+        steps.append(weight @ residual)
+    return Fit(steps, gap, gap <= tolerance)
+
+
+def rate_of(fit: Fit) -> Column:
+    """The rate of a row with posteriors ``p``, by the steps of the fit."""
+    if not fit.steps:
+        return F.lit(1.0)
+    steps = F.expr("array(%s)" % ", ".join("array(%s)" % ", ".join(f"{float(v)!r}D" for v in step) for step in fit.steps))
+    taken = lambda s: sum((s[i] * F.col("p")[i] for i in range(1, len(fit.steps[0]))), s[0] * F.col("p")[0])
+    return F.aggregate(steps, F.lit(1.0), lambda rate, s: F.greatest(F.lit(0.0), rate - taken(s)))
+
+
+def fitted(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None, domain: str) -> tuple[Membership, DataFrame, Fit]:
+    """The classifier, (doc_id, tokens, p) of every row, and the fit."""
+    member = train(docs, labels, domain)
+    rows = with_posteriors(docs.select("doc_id", "text"), member)
+    rows = settle(rows.select(F.col("row.doc_id").alias("doc_id"), "tokens", "p"), "posteriors")
+    share = np.array([1.0 if targets is None else float(targets.get(d, 0)) for d in member.domains])
+    if share.sum() <= 0:
+        share = np.ones(len(member.domains))
+    return member, rows, fit_rates(rows, share / share.sum())
 
 
-def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, domain: str = "lang") -> DataFrame:
-    """doc_id, tokens, domain (the likeliest), posterior (its), rate.
+def _likeliest(member: Membership) -> Column:
+    return F.array(*[F.lit(d) for d in member.domains])[(F.array_position("p", F.array_max("p")) - 1).cast("int")]
+
+
+def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, domain: str = "source") -> DataFrame:
+    """doc_id, tokens, domain (the likeliest), posterior (its), rate, gap, converged.
 
     ``targets`` gives the domains' shares (none: equal shares); domains it does
-    not name get zero.  One row per doc_id: repeated rows add their tokens, rows
-    without doc_id are one document; texts null or empty have no tokens; an
-    empty table gives an empty result; unlabelled or null domains are predicted.
+    not name get zero.  ``gap`` is the largest difference between a domain's
+    share of the expected tokens and its target, ``converged`` whether it is
+    within the tolerance; both are the same in all rows.  One row for each row;
+    texts null or empty have no tokens; an empty table gives an empty result;
+    unlabelled or null domains are predicted; other columns are ignored.
     """
-    rows, domains = domain_posteriors(docs, labels, domain)
-    share = np.array([1.0 if targets is None else float(targets.get(d, 0)) for d in domains])
-    if share.sum() <= 0:
-        share = np.ones(len(domains))
-    fitted = fit_rates(rows, share / share.sum())
-    top = F.array_max("p")
-    name = F.array(*[F.lit(d) for d in domains])[(F.array_position("p", top) - 1).cast("int")]
-    return fitted.select("doc_id", "tokens", name.alias("domain"), top.alias("posterior"), "rate")
+    member, rows, fit = fitted(docs, labels, targets, domain)
+    known = ["doc_id", "tokens", _likeliest(member).alias("domain"), F.array_max("p").alias("posterior"), rate_of(fit).alias("rate")]
+    return rows.select(*known, F.lit(fit.gap).alias("gap"), F.lit(fit.converged).alias("converged"))
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, domain: str = "source") -> DataFrame:
     """``docs`` with ``mix_domain``, ``mix_tokens`` and ``mix_rate``, the expected
-    number of times that the document is to be drawn; every row is kept."""
-    rates = settle(mixing_rates(docs, labels, targets), "mixing")
-    named = rates.select(F.col("doc_id").alias("__id"), *[F.col(a).alias(f"mix_{a}") for a in ("domain", "tokens", "rate")])
-    joined = docs.drop("mix_domain", "mix_tokens", "mix_rate").join(named, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
-    return joined.drop("__id")
+    number of times that the document is to be drawn; every row is kept.
 
-
-#: Shares asked for in the registered query and the pipeline.
-TARGETS = {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}
+    Columns of these three names that ``docs`` has already are replaced.
+    """
+    member, _, fit = fitted(docs, labels, targets, domain)
+    kept = [F.col(f"row.`{c}`") for c in docs.columns if c not in ("mix_domain", "mix_tokens", "mix_rate")]
+    added = [_likeliest(member).alias("mix_domain"), F.col("tokens").alias("mix_tokens"), rate_of(fit).alias("mix_rate")]
+    return with_posteriors(docs, member).select(*kept, *added)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), TARGETS)
+    """Equal shares of all sources."""
+    return mixing_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
