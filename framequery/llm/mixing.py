@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from framequery.llm.common import hash_sample, settle, table
 
 SAMPLE_ROWS = 4000
-FEATURES = 4096
+FEATURES = 2048
 MAX_DOMAINS = 64
 
 
@@ -76,7 +76,7 @@ def train(docs: DataFrame, labels: DataFrame, domain: str, rows: int = SAMPLE_RO
         return Membership(domains or ["all"], None)
     index = F.array_position(F.array(*[F.lit(d) for d in domains]), F.col("domain")) - 1
     made = features(sample.select(index.cast("double").alias("label"), "w")).select("label", "features").coalesce(4)
-    regression = LogisticRegression(family="multinomial", regParam=1e-3, maxIter=30, standardization=False)
+    regression = LogisticRegression(family="multinomial", regParam=1e-3, maxIter=15, standardization=False)
     return Membership(domains, regression.fit(made))
 
 
@@ -89,7 +89,7 @@ def with_posteriors(docs: DataFrame, member: Membership) -> DataFrame:
     return scored.select("row", F.size("w").cast("long").alias("tokens"), vector_to_array("probability").alias("p"))
 
 
-def fit_rates(rows: DataFrame, targets: np.ndarray, tolerance: float = 1e-4, max_steps: int = 32, stall: float = 1e-2) -> Fit:
+def fit_rates(rows: DataFrame, targets: np.ndarray, tolerance: float = 1e-4, max_steps: int = 16, stall: float = 1e-2) -> Fit:
     """Steps towards rates >= 0 for (tokens, p) by which each domain's expected
     tokens, the sum of rate * tokens * p, meet ``targets`` times all tokens.
 
