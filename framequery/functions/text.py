@@ -11,6 +11,7 @@ VIDEO_ENDINGS = "asf avi gif m4v mkv mov mp4 mpeg mpg ts wmv webm".split()
 VIDEO_HOSTS = "www.youtube.com youtube.com youtu.be".split()
 #: Model names with their task and family.
 MODELS = {
+    "yolo": ("tracking", "v5"), "yolo5": ("tracking", "v5"), "yolo8": ("tracking", "v8"),
     "yolov8": ("tracking", "v8"), "yolov8n": ("tracking", "v8"), "yolov8s": ("tracking", "v8"), "yolov8m": ("tracking", "v8"),
     "yolov5": ("tracking", "v5"), "yolov5n": ("tracking", "v5"), "yolov5s": ("tracking", "v5"), "yolov5m": ("tracking", "v5"),
 }

@@ -50,11 +50,11 @@ def log_line(height: Column, width: Column, counts: Column, inference_ms: Column
     return F.concat(shape_text(height, width), found, milliseconds_text(inference_ms))
 
 
-def same_shapes(frames: DataFrame) -> DataFrame:
+def same_shapes(frames: DataFrame, exported: bool = False) -> DataFrame:
     """same: whether all frames have one shape; auto: whether minimal padding
     applies, which is when that differs from ``exported``, a model of fixed input."""
     one = (F.countDistinct("height", "width") == 1).alias("same")
-    return frames.agg(one).select("same", (F.col("same") != F.lit(False)).alias("auto"))
+    return frames.agg(one).select("same", (F.col("same") != F.lit(exported)).alias("auto"))
 
 
 def label_rows(det: DataFrame, height: int = 640, width: int = 640, with_conf: bool = False, digits: int = 6) -> DataFrame:

@@ -55,11 +55,12 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered("stream_tracks")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Track lengths from keyed state; each camera's newest frame stays held back."""
+    """Track lengths from keyed state.  Every micro-batch here holds whole frames,
+    so the newest ones are folded with it too."""
     folder = _folder(spark)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     stream = _replayed(spark, S.det(spark, sf_dir), folder, "frame_no")
-    jobs.run_to_end(jobs.streaming_tracks(stream), f"{folder}/out", f"{folder}/checkpoint")
+    jobs.run_to_end(jobs.streaming_tracks(stream, flush=True), f"{folder}/out", f"{folder}/checkpoint")
     return spark.read.parquet(f"{folder}/out")
 
 

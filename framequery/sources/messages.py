@@ -53,7 +53,8 @@ class _Writer:
 
     def _finish(self, messages: list[Written | None], keep: bool) -> None:
         for m in filter(None, messages):
-            os.replace(m.path, m.path.replace("/_", "/")) if keep else os.remove(m.path)
+            folder, name = os.path.split(m.path)
+            os.replace(m.path, os.path.join(folder, name.removeprefix("_"))) if keep else os.remove(m.path)
 
 
 class MessageWriter(_Writer, DataSourceWriter):
