@@ -24,6 +24,7 @@ from framequery.llm.common import hash_sample, id_bucket, settle, table
 
 DIMENSIONS = 1024
 BLOCK = 1 << 20
+MAX_LANGUAGES = 256
 #: Families of languages; a language not named is its own family.
 FAMILIES = {
     "germanic": "de en nl sv da no nb nn is af lb yi fy".split(),
@@ -79,11 +80,14 @@ def machines(rows: DataFrame, classes: dict[str, list[str]]) -> Machines:
 
 def train(docs: DataFrame, per_language: int = 600) -> tuple[dict[str, list[str]], Machines, dict[str, Machines]]:
     """Families with their languages, machines between families, and machines
-    within each.  At most ``per_language`` texts of each language are used, the
-    first by the hash of their id."""
-    known = docs.where("lang is not null and text is not null and doc_id is not null")
+    within each.  Rows whose crc32(doc_id) mod 4 is 2 are held out.  At most
+    ``per_language`` texts of each language are used, the first by the hash of
+    their id; more than MAX_LANGUAGES languages are an error."""
+    known = docs.where("lang is not null and text is not null and doc_id is not null").where(id_bucket("doc_id", 4) != 2)
     known = known.select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
-    langs = sorted(r["lang"] for r in known.select("lang").distinct().collect())
+    langs = sorted(r["lang"] for r in known.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
+    if len(langs) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not langs:
         return {}, {}, {}
     ids = reduce(DataFrame.unionByName, [hash_sample(known.where(F.col("lang") == v).select("doc_id"), per_language) for v in langs])
@@ -140,4 +144,4 @@ def identify(docs: DataFrame, train_docs: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return identify(docs, docs.where(id_bucket("doc_id", 4) != 2))
+    return identify(docs, docs)

@@ -12,7 +12,9 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
 
 import ahocorasick
 import numpy as np
@@ -24,9 +26,8 @@ from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField,
 from framequery.llm.common import hash_sample, id_bucket, labelled, settle, table
 
 SAMPLE_ROWS = 6000
-MAX_TERMS = 500
-#: Share of toxic texts among those with a term, chosen on two folds of training rows.
-PURITY = 0.65
+#: Shares of toxic texts among those with a term, of which two folds of the training rows choose one.
+PURITIES = (0.5, 0.65, 0.8)
 SEED_WEIGHT = 1.5
 #: Seed terms, and phrases in which a term does not count.
 TERMS = "idiot idiots moron morons imbecile scum scumbag loser losers trash garbage stupid pathetic disgusting worthless clown dumbass retard bastard asshole bitch fuck fucking shit bullshit whore slut pig vermin freak jerk cretin dimwit idiote connard salaud ordure imbécile crétin abruti débile pourriture idiota imbécil estúpido estúpida basura escoria payaso inútil gilipollas cabrón idioten trottel arschloch abschaum dummkopf schwachkopf versager drecksau"  # noqa: E501
@@ -102,61 +103,78 @@ def measures(weight: float, words: int) -> list[float]:
 
 
 def emitted(text: str | None) -> dict[str, int]:
-    """The word beginnings of 3 to 8 letters in a text and its whole words (with
-    a space behind), each with a bit for the words around its first place."""
+    """The word beginnings of 3 letters and more in a text and its whole words
+    (with a space behind), each with a bit for the words around its first place."""
     words = re.findall(r"[^\W\d_]+", fold(text or ""))
     out: dict[str, int] = {}
     for before, w, after in zip(["", *words], words, [*words[1:], ""], strict=False):
         if w + " " not in out and len(w) > 2:
             bit = 1 << zlib.crc32(f"{before} {after}".encode()) % 62
             out[w + " "] = bit
-            for n in range(3, min(len(w), 9)):
+            for n in range(3, len(w)):
                 out.setdefault(w[:n], bit)
     return out
 
 
-def learned_terms(sample: DataFrame) -> dict[str, float]:
-    """Word beginnings and whole words that are toxic in the labelled sample: in
-    6 or more texts, the share PURITY of them labelled so (clean words may begin
-    alike by chance; the weights and the length tell such texts apart), and in
-    about as many contexts as a word used freely has (words of copied passages
-    have few).
+#: For each term of the sample and each fold: texts, toxic texts, contexts as bits.
+Counts = dict[str, tuple[tuple[int, int, int], tuple[int, int, int]]]
 
-    Of nested beginnings with the same texts the longest is taken, and nothing
-    that begins with a term already taken.
-    """
+
+def term_counts(sample: DataFrame) -> Counts:
+    """The terms that are in 6 or more texts and toxic in the least share of
+    PURITIES of them, overall or outside one of the two folds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [emitted(t.as_py()) for t in batch.column(0)]
-            toxic = np.repeat(np.array(batch.column(1).to_pylist(), np.int64), [len(f) for f in found])
+            times = [len(f) for f in found]
+            toxic, fold = (np.repeat(np.array(batch.column(k).to_pylist(), np.int64), times) for k in (1, 2))
             term, bits = [t for f in found for t in f], [b for f in found for b in f.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(term, pa.string()), pa.array(bits, pa.int64()), pa.array(toxic)], ["term", "bits", "toxic"])
-
-    terms = sample.select("text", F.col("toxic").cast("long")).mapInArrow(run, "term string, bits long, toxic long")
-    contexts = F.bit_count(F.bit_or("bits")).alias("c")
-    known = terms.groupBy("term").agg(F.count("*").alias("n"), F.sum("toxic").alias("k"), contexts)
-    known = known.where(f"n >= 6 and k >= {PURITY} * n and c >= least(0.5 * n, 20)")
-    rows = known.orderBy(F.desc("k"), F.length("term"), "term").limit(10 * MAX_TERMS).collect()
-    base = sample.agg(F.avg("toxic")).first()[0] or 0.0
+            yield pa.RecordBatch.from_arrays([pa.array(term, pa.string()), pa.array(bits, pa.int64()), pa.array(toxic), pa.array(fold)], ["term", "bits", "toxic", "fold"])
+
+    terms = sample.select("text", F.col("toxic").cast("long"), F.col("fold").cast("long")).mapInArrow(run, "term string, bits long, toxic long, fold long")
+    own = lambda k, c: F.when(F.col("fold") == k, c)
+    sums = [f(F.coalesce(own(k, F.col(c)), F.lit(0)) if c else F.coalesce(own(k, F.lit(1)), F.lit(0))).alias(f"{n}{k}") for k in (0, 1) for n, f, c in (("n", F.sum, None), ("k", F.sum, "toxic"), ("b", F.bit_or, "bits"))]
+    known = terms.groupBy("term").agg(*sums)
+    enough = [f"({n} >= 6 and {k} >= {min(PURITIES)} * ({n}))" for n, k in (("n0 + n1", "(k0 + k1)"), ("n0", "k0"), ("n1", "k1"))]
+    return {r["term"]: ((r["n0"], r["k0"], r["b0"]), (r["n1"], r["k1"], r["b1"])) for r in known.where(" or ".join(enough)).collect()}
+
+
+def learned_terms(counts: Counts, folds: tuple[int, ...], purity: float, base: float) -> dict[str, float]:
+    """Word beginnings and whole words that are toxic in the ``folds``: in 6 or
+    more texts, the share ``purity`` of them labelled so (clean words may begin
+    alike by chance; the weights and the length tell such texts apart), and in
+    about as many contexts as a word used freely has (words of copied passages
+    have few).  ``base`` is the share of toxic texts.
+
+    Of nested beginnings with the same texts the longest is taken, and nothing
+    that begins with a term already taken.
+    """
     odds = np.log((base + 1e-3) / (1 - base + 1e-3))
-    counts, taken, out = {r["term"]: (r["k"], r["n"]) for r in rows}, [], {}
-    purity = lambda t: counts[t][0] / counts[t][1]
-    for term in counts:
-        if term.startswith(tuple(taken)) or len(out) == MAX_TERMS:
+    known: dict[str, tuple[int, int]] = {}
+    for term, per in counts.items():
+        n, k = (sum(per[f][c] for f in folds) for c in (0, 1))
+        bits = reduce(int.__or__, (per[f][2] for f in folds))
+        if n >= 6 and k >= purity * n and bits.bit_count() >= min(0.5 * n, 20):
+            known[term] = (k, n)
+    share = lambda t: known[t][0] / known[t][1]
+    order, taken, out = sorted(known), [], {}
+    for term in sorted(known, key=lambda t: (-known[t][0], len(t), t)):
+        if term.startswith(tuple(taken)):
             continue
         taken.append(term)
-        while longer := [t for t in counts if t.startswith(term) and t != term and counts[t][0] >= 0.95 * counts[term][0] and purity(t) >= purity(term)]:
+        within = [t for t in order[bisect_left(order, term) :  bisect_left(order, term + "\U0010ffff")] if t != term]
+        while longer := [t for t in within if t.startswith(term) and t != term and known[t][0] >= 0.95 * known[term][0] and share(t) >= share(term)]:
             term = min(longer, key=lambda t: (len(t), t))
-        k, n = counts[term]
+        k, n = known[term]
         out[term] = float(np.clip(np.log((k + 0.5) / (n - k + 0.5)) - odds, 0.5, 6))
     return out
 
 
-def lexicon(sample: DataFrame) -> dict[str, float]:
+def lexicon(learned: dict[str, float]) -> dict[str, float]:
     """Weights of terms; one that ends in a space is a whole word, any other the
     beginning of one."""
-    return {fold(t) + " ": SEED_WEIGHT for t in TERMS.split()} | learned_terms(sample)
+    return {fold(t) + " ": SEED_WEIGHT for t in TERMS.split()} | learned
 
 
 def curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -189,13 +207,32 @@ def with_hits(docs: DataFrame, weights: dict[str, float]) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[dict[str, float], np.ndarray]:
     """Lexicon and curve from at most ``rows`` labelled rows, chosen by the hash
-    of their id among those whose crc32(doc_id) mod 3 is not 1."""
+    of their id among those whose crc32(doc_id) mod 3 is not 1.
+
+    The share of toxic texts that a term needs is the one of PURITIES under which
+    terms and curve of one fold of these rows give the other the best likelihood.
+    Copies of a text count once, with the larger label.
+    """
     seen = hash_sample(labelled(labels, "toxic").where(id_bucket("doc_id", 3) != 1), rows)
-    sample = settle(docs.select("doc_id", "text").join(F.broadcast(seen), "doc_id").dropDuplicates(["text"]), "sample")
-    weights = lexicon(sample)
-    got = with_hits(sample, weights).join(sample.select("doc_id", "toxic"), "doc_id").select("weight", "words", "toxic").collect()
-    x = np.array([measures(r["weight"], r["words"]) for r in got]).reshape(-1, 3)
-    y = np.array([r["toxic"] for r in got], float)
+    texts = docs.select("doc_id", "text").join(F.broadcast(seen), "doc_id").groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"))
+    sample = settle(texts.withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(2))), "sample")
+    counts, base = term_counts(sample), float(sample.agg(F.avg("toxic")).first()[0] or 0.0)
+    kept = sample.select("doc_id", "toxic", "fold")
+
+    def measured(folds: tuple[int, ...], purity: float) -> tuple[dict[str, float], np.ndarray, np.ndarray, np.ndarray]:
+        weights = lexicon(learned_terms(counts, folds, purity, base))
+        got = with_hits(sample, weights).join(kept, "doc_id").select("weight", "words", "toxic", "fold").collect()
+        x = np.array([measures(r["weight"], r["words"]) for r in got]).reshape(-1, 3)
+        return weights, x, np.array([r["toxic"] for r in got], float), np.array([r["fold"] for r in got], int)
+
+    worth = dict.fromkeys(PURITIES, 0.0)
+    for purity in PURITIES:
+        for own in (0, 1):
+            _, x, y, part = measured((own,), purity)
+            if len(y) and y[part == own].any() and not y[part == own].all():
+                p = 1 / (1 + np.exp(-np.clip(x[part != own] @ curve(x[part == own], y[part == own]), -30, 30)))
+                worth[purity] += float(np.log(np.clip(np.where(y[part != own] == 1, p, 1 - p), 1e-6, 1)).sum())
+    weights, x, y, _ = measured((0, 1), max(PURITIES, key=lambda v: worth[v]))
     if len(y) == 0 or y.min() == y.max():  # nothing to learn from: a plain curve
         return weights, np.array([1.0, 1.0, -3.0])
     return weights, curve(x, y)
