@@ -376,6 +376,30 @@ def test_chains_against_all_chains():
         assert np.isclose(passages.K * len(chain) - gaps, best)
 
 
+def test_holders_of_common_seeds(spark):
+    rng = np.random.default_rng(3)
+    spots = sorted({(int(d), int(h), int(a)) for d, h, a in zip(rng.integers(0, 60, 600), rng.integers(0, 12, 600), rng.integers(0, 9, 600), strict=True)})
+    seen, rows = set(), []
+    for d, h, a in spots:
+        rows.append((d, h, a, h % 2 == 0, (d, h) not in seen))
+        seen.add((d, h))
+    found = spark.createDataFrame([*rows, (1, 99, 0, False, True)], "doc_id long, h long, at int, long boolean, first boolean")
+    by_seed = defaultdict(list)
+    for d, h, a, _, first in rows:
+        by_seed[h].append((d, a, first))
+    want = Counter()
+    for h, own in by_seed.items():
+        for i, (d, a, _) in enumerate(own):
+            last = [(s, b) for s, b, first in own[max(0, i - passages.HOLDERS) : i] if first]
+            want[(d, a, h % 2 == 0, (*last, own[0][:2]))] += 1
+    read = lambda df: [(r["doc_id"], r["at"], r["long"], tuple((x["source"], x["s_at"]) for x in r["holders"])) for r in df.collect()]
+    assert Counter(read(passages.with_holders(found))) == want
+    dealt = read(passages.with_holders(found, ordered=10))
+    assert Counter((d, a, k, own[-1]) for d, a, k, own in dealt) == Counter((d, a, k, own[-1]) for d, a, k, own in want.elements())
+    assert all((s, b) == own[-1] or s <= d for d, _, _, own in dealt for s, b in own)
+    assert any(len(own) > 1 for *_, own in dealt)
+
+
 def test_passages_of_two_texts_under_one_id(spark):
     one, two = " ".join(f"a{i}" for i in range(70)), " ".join(f"b{i}" for i in range(70))
     docs = documents(spark, [one, two, one, two], [1, 1, 2, 3])
