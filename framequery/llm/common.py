@@ -103,3 +103,10 @@ def hash_sample(df: DataFrame, rows: int, key: str = "doc_id") -> DataFrame:
     """At most ``rows`` rows, the first by a hash of ``key``: the same ones on
     every run, whatever the partitions."""
     return df.orderBy(F.xxhash64(key), key).limit(rows)
+
+
+def crc32_sql(text: str) -> str:
+    """SQL for the crc32 of an ASCII text, bit by bit, for an engine without it."""
+    steps = f"flatten(list_transform(string_split({text}, ''), lambda c: [CAST(ord(c) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))"
+    fold = "lambda c, e: xor(xor(c, e) >> 1, (xor(c, e) & 1) * 3988292384)"
+    return f"xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {steps}), {fold}))"

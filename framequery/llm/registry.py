@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from framequery.llm import decontaminate, language_id, licences, mixing, nearest, passages, quality, secret_scan, simhash, toxicity
+from framequery.llm import (
+    conversations,
+    decontaminate,
+    language_id,
+    licences,
+    line_dedup,
+    mixing,
+    nearest,
+    passages,
+    periodic,
+    quality,
+    secret_scan,
+    simhash,
+    toxicity,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,9 +38,16 @@ def queries() -> dict[str, Query]:
         "op8_substring_dedup": passages.query,
         "op9_secret_scan": secret_scan.query,
         "op10_source_mixing": mixing.query,
+        "op11_line_dedup": line_dedup.query,
+        "op12_periodic_runs": periodic.query,
+        "op13_conversation_repair": conversations.query,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op11_line_dedup": line_dedup.ORACLE,
+        "op12_periodic_runs": periodic.ORACLE,
+        "op13_conversation_repair": conversations.ORACLE,
+    }
