@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from framequery.functions import geometry as G
 from framequery.functions import text as T
-from framequery.operators import decode, ingest, metrics, overlap, regions, tracks
+from framequery.operators import decode, ingest, metrics, overlap, regions, tracker, tracks
 from framequery.plans import synthetic as S
 from framequery.sources import messages
 
@@ -237,6 +237,11 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracks.bounded_tracks(S.view(spark, sf_dir, S.DET_CROWDED))
 
 
+@registered("track_assign")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tracker.track_assign(S.view(spark, sf_dir, S.DET_MOVING)).select("camera_id", "frame_no", "det_idx", "track_id")
+
+
 @registered("class_counts_text", f"{D}, per AS (SELECT camera_id, frame_no, cls_id, count(*) AS n FROM det GROUP BY ALL) SELECT camera_id, frame_no, string_agg(concat(n, ' ', name, CASE WHEN n > 1 THEN 's' ELSE '' END, ', '), '' ORDER BY cls_id) AS counts FROM per JOIN names USING (cls_id) GROUP BY ALL")  # noqa: E501
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.class_counts(S.det(spark, sf_dir), spark.sql(S.NAMES))

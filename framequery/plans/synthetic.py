@@ -20,6 +20,11 @@ def _det(camera: str, frame: str, track: str, where: str = "1 = 1") -> str:
 DET = _det("event_id % 4", "event_id / 48.0", "user_id % 24 + 1")
 #: Up to 40 tracks a frame, more than the memory of tracks holds.
 DET_CROWDED = _det("event_id % 4", "event_id / 160.0", "user_id % 150")
+#: Up to 12 things a camera that move on straight lines and tremble, seen now and then.
+DET_MOVING = """SELECT camera_id, frame_no, det_idx, thing, thing % 8 AS cls_id, conf, x1, y1, x1 + 40 + thing AS x2, y1 + 30 + thing AS y2 FROM (
+        SELECT camera_id, frame_no, det_idx, thing, conf, CAST(thing * 97 % 640 + frame_no * (thing % 5 - 2) % 640 + det_idx % 3 AS DOUBLE) AS x1, CAST(thing * 71 % 640 + frame_no * (thing % 3 - 1) % 640 + det_idx % 2 AS DOUBLE) AS y1 FROM (
+            SELECT event_id % 4 AS camera_id, CAST(floor(event_id / 48.0) AS BIGINT) AS frame_no, event_id AS det_idx, user_id % 12 AS thing, CAST((event_id * 37) % 100 AS DOUBLE) / 100 AS conf,
+                row_number() OVER (PARTITION BY event_id % 4, floor(event_id / 48.0), user_id % 12 ORDER BY event_id) AS rn FROM events) AS t WHERE rn = 1) AS u"""  # noqa: E501
 #: Boxes close together, for suppression.
 DET_DENSE = f"SELECT camera_id, frame_no, det_idx, track_id, cls_id, conf, x1, y1, x1 + 60 + det_idx % 7 AS x2, y1 + 60 + det_idx % 5 AS y2 FROM (SELECT camera_id, frame_no, det_idx, track_id, cls_id, conf, CAST(det_idx * 17 % 90 AS DOUBLE) AS x1, CAST(det_idx * 29 % 80 AS DOUBLE) AS y1 FROM ({DET}) AS d) AS e"  # noqa: E501
 REGIONS = "SELECT * FROM (VALUES (CAST(0 AS BIGINT), 'left', CAST(100 AS DOUBLE), CAST(150 AS DOUBLE), CAST(340 AS DOUBLE), CAST(450 AS DOUBLE)), (1, 'right', 300, 150, 540, 450)) AS t(region_id, name, xmin, ymin, xmax, ymax)"  # noqa: E501

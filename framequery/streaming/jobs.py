@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StringType, StructField, StructType
 
 from framequery.operators.regions import region_hits
+from framequery.operators.tracker import BOX, TrackerOptions, Tracks, advance
 from framequery.operators.tracks import fold_frame
 
 TRACK_ROWS = "camera_id long, frame_no long, det_idx long, track_id long, length long"
@@ -76,6 +77,55 @@ def streaming_tracks(det: DataFrame, cap: int = 30, flush: bool = False) -> Data
     return keyed.transformWithStateInPandas(statefulProcessor=TrackProcessor(cap, flush), outputStructType=TRACK_ROWS, outputMode="Append", timeMode="None")
 
 
+class AssignProcessor(StatefulProcessor):
+    """Assigns the boxes of one camera to tracks; the tracker's state is kept.
+
+    A frame is folded when a later one has come, as its boxes may be split over
+    micro-batches; rows of a frame that was folded already are late and dropped.
+    ``flush`` folds the newest frame too, for input that is whole in every batch.
+    """
+
+    def __init__(self, options: TrackerOptions, flush: bool = False) -> None:
+        self.options, self.flush = options, flush
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.memory = handle.getValueState("tracker", StructType([StructField("state", StringType())]))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        import json
+
+        known = json.loads(self.memory.get()[0]) if self.memory.exists() else {"done": None, "tracks": Tracks().to_dict(), "held": []}
+        columns = ["frame_no", "det_idx", "conf", *BOX]
+        parts = [pd.DataFrame(known["held"], columns=columns), *[batch[columns] for batch in rows]]
+        held = pd.concat([p for p in parts if len(p)]).sort_values(["frame_no", "det_idx"])
+        if known["done"] is not None:
+            held = held[held["frame_no"] > known["done"]]
+        newest = held["frame_no"].max() if len(held) else None
+        tracks, out = Tracks.from_dict(known["tracks"]), []
+        ready = held if self.flush else held[held["frame_no"] < newest]
+        for frame, own in ready.groupby("frame_no"):
+            ids = advance(tracks, int(frame), own[BOX].to_numpy(float), own["conf"].to_numpy(float), self.options)
+            out.append(own[["frame_no", "det_idx"]].astype("int64").assign(camera_id=key[0], track_id=pd.array(ids, "Int64")))
+        done = int(ready["frame_no"].max()) if len(ready) else known["done"]
+        rest = held.loc[held.index[:0]] if self.flush else held[held["frame_no"] == newest]
+        self.memory.update((json.dumps({"done": done, "tracks": tracks.to_dict(), "held": rest.astype(float).values.tolist()}),))
+        for rows_out in out:
+            rows_out["track_id"] = rows_out["track_id"].mask(rows_out["track_id"] == 0)
+            yield rows_out[["camera_id", "frame_no", "det_idx", "track_id"]]
+
+    def close(self) -> None:
+        pass
+
+
+def streaming_assign(det: DataFrame, options: TrackerOptions = TrackerOptions(), flush: bool = False) -> DataFrame:
+    """``track_assign`` of a stream of detections: camera_id, frame_no, det_idx,
+    track_id of boxes that reach the low score; one state a camera."""
+    usable = det.where(F.col("conf") >= options.low).dropna(subset=["camera_id", "frame_no", "det_idx", *BOX])
+    keyed = usable.select("camera_id", "frame_no", "det_idx", "conf", *BOX).groupBy("camera_id")
+    kinds = "camera_id long, frame_no long, det_idx long, track_id long"
+    return keyed.transformWithStateInPandas(statefulProcessor=AssignProcessor(options, flush), outputStructType=kinds, outputMode="Append", timeMode="None")
+
+
 def on_batch(*hooks: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
     """Callbacks in order for ``foreachBatch``."""
 
