@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,6 +64,20 @@ def readable(frames: DataFrame, live: bool = False) -> DataFrame:
     return frames.withColumn("is_gap", F.col("data").isNull()) if live else frames.where(F.col("data").isNotNull())
 
 
+def signal_gaps(frames: DataFrame, limit: timedelta, late: timedelta = timedelta(0)) -> DataFrame:
+    """camera_id, last_ts, gap_at, is_gap: one row for each silence of more than
+    ``limit`` after a camera's frame (camera_id, ts), whether the signal returns or
+    not, up to the newest frame of all less ``late``.  Rows without camera or time
+    do not count."""
+    known = frames.where("camera_id is not null and ts is not null").select("camera_id", F.col("ts").cast("timestamp").alias("ts"))
+    after = F.lead("ts").over(Window.partitionBy("camera_id").orderBy("ts"))
+    at = F.col("ts") + F.lit(limit)
+    rows = known.select("camera_id", F.col("ts").alias("last_ts"), at.alias("gap_at"), after.alias("after"))
+    seen_to = known.agg((F.max("ts") - F.lit(late)).alias("seen_to"))  # one row
+    lost = (F.col("gap_at") <= F.col("seen_to")) & (F.col("after").isNull() | (F.col("after") > F.col("gap_at")))
+    return rows.join(F.broadcast(seen_to), F.lit(True)).where(lost).select("camera_id", "last_ts", "gap_at", F.lit(True).alias("is_gap"))
+
+
 def bounded_run(frames: DataFrame, counts: DataFrame) -> DataFrame:
     """A live stream of known length ends one frame short of it."""
     return frames.join(F.broadcast(counts), "camera_id").where(F.col("frame_no") < F.col("n_frames") - 1).drop("n_frames")

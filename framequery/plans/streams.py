@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framequery.operators import regions
+from framequery.operators import ingest, regions, tracker
 from framequery.plans import synthetic as S
 from framequery.plans.catalog import INSIDE, D, registered
 from framequery.sources.media import register
-from framequery.streaming import jobs
+from framequery.streaming import jobs, live
 from framequery.streaming.shared import shared_dir
 
 
@@ -19,6 +20,15 @@ def _folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/framequery/stream-{uuid.uuid4().hex}"
 
 
+def _rocks(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def _ntz(rows: DataFrame) -> DataFrame:
+    """Times as the tables have them, without a zone."""
+    return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("last_ts", "gap_at")})
+
+
 def _replayed(spark: SparkSession, rows: DataFrame, folder: str, order: str, files: int = 4) -> DataFrame:
     """A stream of ``rows`` in several files, one a micro-batch, by ``order``.
 
@@ -58,12 +68,58 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Track lengths from keyed state.  Every micro-batch here holds whole frames,
     so the newest ones are folded with it too."""
     folder = _folder(spark)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    _rocks(spark)
     stream = _replayed(spark, S.det(spark, sf_dir), folder, "frame_no")
     jobs.run_to_end(jobs.streaming_tracks(stream, flush=True), f"{folder}/out", f"{folder}/checkpoint")
     return spark.read.parquet(f"{folder}/out")
 
 
+@registered("stream_track_assign")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tracker from keyed state; whole frames, so the newest are folded too."""
+    folder = _folder(spark)
+    _rocks(spark)
+    stream = _replayed(spark, S.view(spark, sf_dir, S.DET_MOVING), folder, "frame_no")
+    jobs.run_to_end(jobs.streaming_assign(stream, tracker.TrackerOptions(), flush=True), f"{folder}/out", f"{folder}/checkpoint")
+    return spark.read.parquet(f"{folder}/out")
+
+
+#: Cameras that answer now and then.
+SIGNALS = "SELECT user_id % 16 AS camera_id, event_id, ts FROM events"
+GAPS = f"""SELECT camera_id, last_ts, gap_at, true AS is_gap FROM (
+    SELECT camera_id, ts AS last_ts, ts + INTERVAL 2 HOUR AS gap_at, lead(ts) OVER (PARTITION BY camera_id ORDER BY ts) AS after FROM ({SIGNALS}))
+    WHERE gap_at <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) AND (after IS NULL OR after > gap_at)"""
+
+
+@registered("signal_gaps", GAPS)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ntz(ingest.signal_gaps(S.view(spark, sf_dir, SIGNALS), timedelta(hours=2), timedelta(hours=1)))
+
+
+@registered("stream_gaps", GAPS)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from event-time timers."""
+    folder = _folder(spark)
+    _rocks(spark)
+    stream = _replayed(spark, S.view(spark, sf_dir, SIGNALS), folder, "event_id")
+    jobs.run_to_end(live.streaming_gaps(stream, timedelta(hours=2), "1 hour"), f"{folder}/out", f"{folder}/checkpoint")
+    return _ntz(spark.read.parquet(f"{folder}/out"))
+
+
+STEPS = "SELECT camera_id, frame_no, row_number() OVER (PARTITION BY camera_id ORDER BY frame_no) AS step FROM (SELECT DISTINCT camera_id, frame_no FROM det)"
+ZIP = f"{D}, n AS ({STEPS}) SELECT step, {', '.join(f'max(frame_no) FILTER (camera_id = {c}) AS frame_{c}' for c in range(4))} FROM n GROUP BY step HAVING count(*) = 4"
+
+
+@registered("stream_zip_live", ZIP)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All cameras' n-th frames together, from keyed state."""
+    folder = _folder(spark)
+    _rocks(spark)
+    stream = _replayed(spark, S.view(spark, sf_dir, S.FRAMES), folder, "frame_no")
+    jobs.run_to_end(live.streaming_zip(stream, [0, 1, 2, 3]), f"{folder}/out", f"{folder}/checkpoint")
+    return spark.read.parquet(f"{folder}/out")
+
+
 @registered("camera_frames")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames of the camera source, cropped to the model's square."""
