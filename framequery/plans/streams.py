@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from framequery.operators import ingest, regions, tracker
 from framequery.plans import synthetic as S
-from framequery.plans.catalog import INSIDE, D, registered
+from framequery.plans.catalog import INSIDE, TIMES, D, registered
+from framequery.sources import messages
 from framequery.sources.media import register
 from framequery.streaming import jobs, live
 from framequery.streaming.shared import shared_dir
@@ -120,6 +121,21 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/out")
 
 
+@registered("stream_messages", f"SELECT camera_id, frame_no, preprocess, inference, postprocess FROM ({TIMES})")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stage times published as messages, read back by a stream, their bytes parsed."""
+    register(spark)
+    folder = _folder(spark)
+    sent = messages.timing_messages(S.view(spark, sf_dir, TIMES))
+    keyed = F.concat_ws("|", "camera_id", "frame_no", "value")
+    sent.select("topic", keyed.alias("value")).write.format("messages").mode("append").option("path", f"{folder}/log").save()
+    stream = spark.readStream.format("messages").option("path", f"{folder}/log").option("topic", messages.TOPIC).load()
+    jobs.run_to_end(stream, f"{folder}/out", f"{folder}/checkpoint")
+    part = F.split(messages.payload_text(F.col("payload")), r"\|", 3)
+    rows = spark.read.parquet(f"{folder}/out").select(part[0].cast("long").alias("camera_id"), part[1].cast("long").alias("frame_no"), part[2].alias("value"))
+    return messages.read_timings(rows).drop("value")
+
+
 @registered("camera_frames")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames of the camera source, cropped to the model's square."""

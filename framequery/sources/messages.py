@@ -1,21 +1,37 @@
-"""Messages out and in: a sink that publishes rows, and what is written for them."""
+"""Messages out and in: a log of topics in a folder, written and read as batch or stream.
+
+The log is a folder on any file system that pyarrow opens, with one Arrow file a
+segment.  Tasks write under a staging folder; only the commit gives a segment its
+number, so readers see whole commits and a failed task leaves nothing.  A stream
+reads the segments after its offset, one partition a segment.  A broker would take
+the log's place behind the same two names, ``read`` and ``write``.
+"""
 
 from __future__ import annotations
 
 import json
-import os
+import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceStreamWriter, DataSourceWriter, WriterCommitMessage
-from pyspark.sql.types import Row, StructType
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamArrowWriter, DataSourceStreamReader, InputPartition, WriterCommitMessage
+from pyspark.sql.types import StructType
 
 from framequery.functions.text import parsed_payload, timing_payload
 
 TOPIC = "stage_times"
+STAGING = "_staging"
+POSITIONS = "_positions"
+SEGMENT = re.compile(r"(\d{12})(?:\.([A-Za-z0-9_-]+)\.(\d+)\.(\d+))?\.arrow$")
+STORED = pa.schema([("topic", pa.string()), ("payload", pa.binary())])
+MESSAGE_DDL = "topic string, payload binary, segment long, place long"
 
 
 def timing_messages(speed: DataFrame, topic: str = TOPIC) -> DataFrame:
@@ -30,64 +46,201 @@ def read_timings(messages: DataFrame) -> DataFrame:
     return messages.withColumns({c: F.try_element_at(m, F.lit(c)) for c in ("preprocess", "inference", "postprocess")})
 
 
+def payload_text(payload: Column) -> Column:
+    """The bytes of a message as text; null where they are no UTF-8."""
+    return F.try_validate_utf8(payload.cast("string"))
+
+
+class Log:
+    """The folder of a log; all its paths are relative to the folder's file system."""
+
+    def __init__(self, folder: str) -> None:
+        self.fs, path = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+        self.path = path.rstrip("/")
+
+    def segments(self) -> dict[int, str]:
+        """The committed segments by number."""
+        found = self.fs.get_file_info(fs.FileSelector(self.path, allow_not_found=True))
+        return {int(m[1]): f.path for f in found if (m := SEGMENT.search(f.base_name))}
+
+    def stage(self, job: str, batches: Iterator[pa.RecordBatch]) -> tuple[str, int]:
+        """Writes a task's messages to a file in the job's staging folder."""
+        path, n = f"{self.path}/{STAGING}/{job}/{uuid.uuid4().hex}.arrow", 0
+        self.fs.create_dir(f"{self.path}/{STAGING}/{job}")
+        with self.fs.open_output_stream(path) as out, pa.ipc.new_stream(out, STORED) as writer:
+            for batch in batches:
+                names = batch.schema.names
+                payload = batch.column(names.index("payload" if "payload" in names else "value")).cast(pa.binary())
+                writer.write_batch(pa.RecordBatch.from_arrays([batch.column(names.index("topic")).cast(pa.string()), payload], schema=STORED))
+                n += batch.num_rows
+        return path, n
+
+    def unstage(self, job: str) -> None:
+        """Deletes what the job's tasks have left, those that were killed too."""
+        if self.fs.get_file_info(f"{self.path}/{STAGING}/{job}").type != fs.FileType.NotFound:
+            self.fs.delete_dir(f"{self.path}/{STAGING}/{job}")
+
+    def publish(self, staged: list[str | None], writer: str | None = None, batch: int = 0) -> None:
+        """Numbers the staged segments on from the last; those that ``writer`` has
+        published for this batch already, in a commit that was cut off, are left out."""
+        known = self.segments()
+        done = {int(m[4]) for p in known.values() if (m := SEGMENT.search(p)) and writer and (m[2], int(m[3] or 0)) == (writer, batch)}
+        number = max(known, default=0)
+        for part, path in enumerate(staged):
+            if path is None or part in done:
+                continue
+            number += 1
+            tag = f".{writer}.{batch}.{part}" if writer else ""
+            self.fs.move(path, f"{self.path}/{number:012d}{tag}.arrow")
+
+    def sweep(self, age: timedelta = timedelta(days=1)) -> None:
+        """Deletes staging folders without a change for ``age``: those of killed
+        tasks that wrote on after their job had been aborted."""
+        before = datetime.now(timezone.utc) - age
+        for f in self.fs.get_file_info(fs.FileSelector(f"{self.path}/{STAGING}", allow_not_found=True)):
+            if f.mtime is not None and f.mtime <= before:
+                self.fs.delete_dir(f.path)
+
+    def messages(self, number: int, path: str, topic: str | None) -> Iterator[pa.RecordBatch]:
+        """MESSAGE_DDL rows of a segment; places count before the topic is chosen."""
+        place = 0
+        with self.fs.open_input_stream(path) as source, pa.ipc.open_stream(source) as reader:
+            for batch in reader:
+                n = batch.num_rows
+                numbers = [pa.array([number] * n, pa.int64()), pa.array(range(place, place + n), pa.int64())]
+                rows = pa.RecordBatch.from_arrays([*batch.columns, *numbers], names=["topic", "payload", "segment", "place"])
+                place += n
+                yield rows if topic is None else rows.filter(pc.equal(rows.column(0), topic))
+
+    def position(self, group: str) -> int:
+        """The last segment that a group of readers has committed."""
+        path = f"{self.path}/{POSITIONS}/{group}.json"
+        if self.fs.get_file_info(path).type == fs.FileType.NotFound:
+            return 0
+        with self.fs.open_input_stream(path) as source:
+            return int(json.loads(source.read())["segment"])
+
+    def set_position(self, group: str, segment: int) -> None:
+        self.fs.create_dir(f"{self.path}/{POSITIONS}")
+        part = f"{self.path}/{POSITIONS}/.{uuid.uuid4().hex}"
+        with self.fs.open_output_stream(part) as out:
+            out.write(json.dumps({"segment": segment}).encode())
+        self.fs.move(part, f"{self.path}/{POSITIONS}/{group}.json")
+
+
 @dataclass
 class Written(WriterCommitMessage):
     path: str
     rows: int
 
 
-class _Writer:
-    """One file of JSON lines a task, under a staging name until all commit."""
-
+class MessageWriter(DataSourceArrowWriter):
     def __init__(self, options: dict[str, str]) -> None:
-        self.folder = options["path"]
+        self.options, self.job = dict(options), uuid.uuid4().hex
 
-    def write(self, rows: Iterator[Row]) -> WriterCommitMessage:
-        os.makedirs(self.folder, exist_ok=True)
-        path, n = f"{self.folder}/_{uuid.uuid4().hex}.jsonl", 0
-        with open(path, "w") as out:
-            for row in rows:
-                out.write(json.dumps({"topic": row["topic"], "value": row["value"]}) + "\n")
-                n += 1
-        return Written(path, n)
+    def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        return Written(*Log(self.options["path"]).stage(self.job, batches))
 
-    def _finish(self, messages: list[Written | None], keep: bool) -> None:
-        for m in filter(None, messages):
-            folder, name = os.path.split(m.path)
-            os.replace(m.path, os.path.join(folder, name.removeprefix("_"))) if keep else os.remove(m.path)
-
-
-class MessageWriter(_Writer, DataSourceWriter):
     def commit(self, messages: list[Written | None]) -> None:
-        self._finish(messages, True)
+        self._publish(messages)
 
     def abort(self, messages: list[Written | None]) -> None:
-        self._finish(messages, False)
+        Log(self.options["path"]).unstage(self.job)
+
+    def _publish(self, messages: list[Written | None], *batch: object) -> None:
+        log = Log(self.options["path"])
+        log.publish([m.path if m and m.rows else None for m in messages], *batch)
+        log.unstage(self.job)
+        log.sweep()
+
 
+class MessageStreamWriter(MessageWriter, DataSourceStreamArrowWriter):
+    """With the option ``writer``, a name that a query keeps, a batch that is
+    committed again after a failure is not published twice."""
 
-class MessageStreamWriter(_Writer, DataSourceStreamWriter):
     def commit(self, messages: list[Written | None], batchId: int) -> None:  # noqa: N803
-        self._finish(messages, True)
+        self._publish(messages, self.options.get("writer"), batchId)
 
     def abort(self, messages: list[Written | None], batchId: int) -> None:  # noqa: N803
-        self._finish(messages, False)
+        Log(self.options["path"]).unstage(self.job)
+
+
+class SegmentPartition(InputPartition):
+    def __init__(self, number: int, path: str) -> None:
+        self.number, self.path = number, path
+
+
+class _Reader:
+    def __init__(self, options: dict[str, str]) -> None:
+        self.options = dict(options)
+
+    def log(self) -> Log:
+        return Log(self.options["path"])
+
+    def between(self, start: int, end: int) -> Sequence[InputPartition]:
+        return [SegmentPartition(n, p) for n, p in sorted(self.log().segments().items()) if start < n <= end]
+
+    def read(self, partition: SegmentPartition | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # an empty log: Spark asks for one partition that is none
+            return iter([])
+        return self.log().messages(partition.number, partition.path, self.options.get("topic"))
+
+
+class MessageReader(_Reader, DataSourceReader):
+    def partitions(self) -> Sequence[InputPartition]:
+        return self.between(0, max(self.log().segments(), default=0))
+
+
+class MessageStreamReader(_Reader, DataSourceStreamReader):
+    """Offsets are segment numbers.  A new query starts where its ``group`` has
+    committed, or at the beginning; ``perBatch`` bounds the segments of a batch."""
+
+    def __init__(self, options: dict[str, str]) -> None:
+        super().__init__(options)
+        self.at: int | None = None
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {"segment": self.log().position(self.options["group"]) if "group" in self.options else 0}
+
+    def latestOffset(self) -> dict:  # noqa: N802
+        last = max(self.log().segments(), default=0)
+        begin = self.at if self.at is not None else self.initialOffset()["segment"]
+        self.at = min(last, begin + int(self.options.get("perBatch", last + 1)))
+        return {"segment": max(self.at, begin)}
+
+    def partitions(self, start: dict, end: dict) -> Sequence[InputPartition]:
+        self.at = max(self.at or 0, end["segment"])
+        return self.between(start["segment"], end["segment"])
+
+    def commit(self, end: dict) -> None:
+        if "group" in self.options:
+            self.log().set_position(self.options["group"], end["segment"])
 
 
 class Messages(DataSource):
-    """``df.write.format("messages").option("path", folder)``: a stand-in for a
-    broker, on a folder that all executors share."""
+    """``messages``: (topic, value or payload) rows out, MESSAGE_DDL rows in.
+
+    Options: path; topic, the one to subscribe to (none: all); for streams group
+    and perBatch (in), writer (out).
+    """
 
     @classmethod
     def name(cls) -> str:
         return "messages"
 
     def schema(self) -> str:
-        return "topic string, value string"
+        return MESSAGE_DDL
+
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return MessageReader(self.options)
+
+    def streamReader(self, schema: StructType) -> DataSourceStreamReader:  # noqa: N802
+        return MessageStreamReader(self.options)
 
-    def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
         return MessageWriter(self.options)
 
-    def streamWriter(self, schema: StructType, overwrite: bool) -> DataSourceStreamWriter:  # noqa: N802
+    def streamWriter(self, schema: StructType, overwrite: bool) -> DataSourceStreamArrowWriter:  # noqa: N802
         return MessageStreamWriter(self.options)
 
 

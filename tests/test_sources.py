@@ -1,11 +1,15 @@
 from __future__ import annotations
 
+from datetime import timedelta
+
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from framequery.operators import pixels
 from framequery.sources import media
-from framequery.sources.messages import write_labels
+from framequery.sources.messages import Log, MessageStreamWriter, payload_text, write_labels
 
 
 def test_camera_batch_and_stream_agree(spark, tmp_path):
@@ -25,9 +29,63 @@ def test_message_sink_commits_whole_tasks(spark, tmp_path):
     media.register(spark)
     rows = spark.range(20).selectExpr("'t' AS topic", "CAST(id AS STRING) AS value")
     rows.write.format("messages").mode("append").option("path", str(tmp_path / "out")).save()
-    back = spark.read.json(str(tmp_path / "out"))
-    assert sorted(int(r["value"]) for r in back.collect()) == list(range(20))
-    assert not [p for p in (tmp_path / "out").iterdir() if p.name.startswith("_")]
+    back = spark.read.format("messages").option("path", str(tmp_path / "out")).load()
+    assert sorted(int(r["value"]) for r in back.select(payload_text(F.col("payload")).alias("value")).collect()) == list(range(20))
+    assert not list((tmp_path / "out" / "_staging").iterdir())
+
+
+def test_a_failed_write_leaves_nothing(spark, tmp_path):
+    media.register(spark)
+    fails = F.udf(lambda i: str(i) if i < 15 else 1 // 0)
+    with pytest.raises(Exception, match="ZeroDivisionError"):
+        spark.range(20).select(F.lit("t").alias("topic"), fails("id").alias("value")).write.format("messages").mode("append").option("path", str(tmp_path / "out")).save()
+    assert spark.read.format("messages").option("path", str(tmp_path / "out")).load().count() == 0
+    Log(str(tmp_path / "out")).sweep(timedelta(0))  # tasks that were killed may have gone on for a moment
+    assert not list((tmp_path / "out" / "_staging").iterdir())
+
+
+def test_messages_stream_every_row_once_over_a_restart(spark, tmp_path):
+    media.register(spark)
+    log, out, state = (str(tmp_path / n) for n in ("log", "out", "state"))
+
+    def publish(start, end):
+        rows = spark.range(start, end).selectExpr("IF(id % 2 = 0, 'even', 'odd') AS topic", "CAST(id AS STRING) AS value")
+        rows.repartition(3).write.format("messages").mode("append").option("path", log).save()
+
+    def consume():
+        stream = spark.readStream.format("messages").option("path", log).option("topic", "even").option("group", "g").load()
+        query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).start()
+        query.processAllAvailable()
+        query.stop()
+        return sorted(int(bytes(r["payload"])) for r in spark.read.parquet(out).collect())
+
+    publish(0, 30)
+    assert consume() == list(range(0, 30, 2))
+    publish(30, 50)
+    publish(50, 51)
+    assert consume() == list(range(0, 51, 2))
+    assert consume() == list(range(0, 51, 2))
+    committed = Log(log).position("g")
+    assert 0 < committed <= max(Log(log).segments())
+    keys = spark.read.format("messages").option("path", log).load().groupBy("segment", "place").count()
+    assert keys.where("count > 1").count() == 0 and keys.count() == 51
+
+
+def test_a_batch_committed_again_is_published_once(tmp_path):
+    batch = pa.RecordBatch.from_arrays([pa.array(["t"]), pa.array(["x"])], names=["topic", "value"])
+    writer = MessageStreamWriter({"path": str(tmp_path), "writer": "w"})
+    writer.commit([writer.write(iter([batch])), None], 7)  # cut off after its first part
+    writer.commit([writer.write(iter([batch])), writer.write(iter([batch]))], 7)
+    writer.commit([writer.write(iter([batch]))], 8)
+    assert len(Log(str(tmp_path)).segments()) == 3
+    unnamed = MessageStreamWriter({"path": str(tmp_path)})
+    unnamed.abort([unnamed.write(iter([batch])), None], 9)
+    assert len(Log(f"file://{tmp_path}").segments()) == 3 and not list((tmp_path / "_staging").iterdir())
+
+
+def test_payloads_that_are_no_text(spark):
+    rows = spark.createDataFrame([(b"{'preprocess': 1.5}",), (b"\xff\xfe",), (None,), (b"",)], "payload binary")
+    assert [r[0] for r in rows.select(payload_text(F.col("payload"))).collect()] == ["{'preprocess': 1.5}", None, None, ""]
 
 
 def test_label_files(spark, tmp_path):

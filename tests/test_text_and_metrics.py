@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from framequery.functions import text
@@ -32,5 +33,5 @@ def test_log_line_of_a_frame_without_detections(spark):
 def test_messages_are_committed_below_any_folder(tmp_path):
     folder = tmp_path / "_x" / "_y"
     writer = MessageWriter({"path": str(folder)})
-    writer.commit([writer.write(iter([{"topic": "a", "value": "b"}]))])
-    assert [p.name[0] != "_" for p in folder.iterdir()] == [True]
+    writer.commit([writer.write(iter([pa.RecordBatch.from_pylist([{"topic": "a", "value": "b"}])]))])
+    assert sorted(p.name for p in folder.iterdir()) == ["000000000001.arrow", "_staging"]
