@@ -190,25 +190,56 @@ def test_findings_against_plain_matching(spark):
         assert abs(votes - got[r["d"]][r["k"]][2]) < 1e-12
 
 
-def test_rates_of_soft_posteriors_meet_their_targets(spark):
+def plain_rates(tokens, p, target, penalty):
+    """The same optimum by cyclic exact minimisation over single rates."""
+    rate, share = np.ones(len(p)), tokens / tokens.sum()
+    off = (share * rate) @ p - target
+    for _ in range(4000):
+        moved = 0.0
+        for d in np.flatnonzero(tokens):
+            slope = p[d] @ off + penalty * (rate[d] - 1)
+            new = max(0.0, rate[d] - slope / (share[d] * p[d] @ p[d] + penalty))
+            off += share[d] * (new - rate[d]) * p[d]
+            moved = max(moved, abs(new - rate[d]))
+            rate[d] = new
+        if moved < 1e-10:
+            break
+    return rate
+
+
+def test_rates_are_the_optimum_of_an_independent_solver(spark):
     rng = np.random.default_rng(2)
     for sharp in (0.3, 20.0):
-        p = rng.dirichlet([sharp, 1.5 * sharp, sharp], 400)
-        tokens = rng.integers(0, 500, 400)
+        p = rng.dirichlet([sharp, 1.5 * sharp, sharp], 60)
+        tokens = rng.integers(1, 500, 60)
         rows = spark.createDataFrame([(i, int(n), [float(v) for v in q]) for i, (n, q) in enumerate(zip(tokens, p, strict=True))], "doc_id long, tokens long, p array<double>")
-        for target in (np.array([0.5, 0.3, 0.2]) if sharp < 1 else np.array([0.3, 0.4, 0.3]), np.array([1.0, 0.0, 0.0])):
-            fit = mixing.fit_rates(rows, target)
-            got = rows.withColumn("rate", mixing.rate_of(fit)).orderBy("doc_id").collect()
-            rate = np.array([r["rate"] for r in got])
-            assert (rate >= 0).all()
-            gap = np.abs((rate * tokens) @ p / tokens.sum() - target).max()
-            assert abs(gap - fit.gap) < 1e-9
-            assert fit.converged == (gap <= 1e-4)
-            assert fit.converged or target[1] == 0
-            plain = np.ones(len(p))
-            for step in fit.steps:
-                plain = np.maximum(0, plain - p @ step)
-            assert np.allclose(rate, plain)
+        for target in (np.array([0.5, 0.3, 0.2]), np.array([1.0, 0.0, 0.0])):
+            fit = mixing.fit_rates(rows, target, 1e-2)
+            rate = np.array([r["rate"] for r in rows.withColumn("rate", mixing.rate_of(fit)).orderBy("doc_id").collect()])
+            want = plain_rates(tokens, p, target, 1e-2)
+            gap = lambda r: np.abs((r * tokens) @ p / tokens.sum() - target).max()  # noqa: B023, E731
+            assert fit.converged and fit.steps < 30
+            assert abs(gap(rate) - fit.gap) < 1e-9 and abs(gap(np.ones(60)) - fit.gap_before) < 1e-9
+            assert np.allclose(rate, want, atol=1e-5) and fit.gap <= fit.gap_before
+
+
+def test_mixing_by_source_is_the_optimum(spark):
+    """The query's fit: the optimum of an independent solver, never worse than rate
+    1; sources are drawn at random, so their true shares hardly move."""
+    sf = "/root/testdata/sf0.01"
+    docs = table(spark, sf, "documents")
+    truth = {r["doc_id"]: r["source"] for r in docs.collect()}
+    member, settled, fit = mixing.fitted(docs, table(spark, sf, "labels"), None, "source")
+    rows = settled.select("row.doc_id", "tokens", "p", mixing.rate_of(fit).alias("rate")).collect()
+    p, tokens = np.array([r["p"] for r in rows]), np.array([r["tokens"] for r in rows])
+    want = plain_rates(tokens, p, np.full(len(member.domains), 1 / len(member.domains)), mixing.PENALTY)
+    assert np.allclose(np.array([r["rate"] for r in rows])[tokens > 0], want[tokens > 0], atol=1e-4)
+    assert abs(np.abs((want * tokens) @ p / tokens.sum() - 1 / len(member.domains)).max() - fit.gap) < 1e-6
+    assert fit.converged and fit.gap <= fit.gap_before
+    shares = lambda rate: np.array([sum(r["tokens"] * rate(r) for r in rows if truth[r["doc_id"]] == s) for s in sorted(set(truth.values()))]) / sum(r["tokens"] for r in rows)
+    before, after = shares(lambda r: 1), shares(lambda r: r["rate"])
+    aim = 1 / len(before)
+    assert np.abs(after - aim).max() <= np.abs(before - aim).max() + 0.01
 
 
 def test_mixing_by_language(spark):
