@@ -11,7 +11,7 @@ from framequery.functions import geometry as G
 from framequery.functions import text as T
 from framequery.operators import decode, ingest, metrics, overlap, regions, tracker, tracks
 from framequery.plans import synthetic as S
-from framequery.sources import messages
+from framequery.sources import images, messages
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -124,6 +124,15 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sizes(spark, sf_dir).select("frame_no", *[v.cast("long").alias(k) for k, v in b.items()])
 
 
+def _cut(lo: str, hi: str, sign: str, limit: int) -> str:
+    return f"CAST(least(greatest(trunc(({lo} + {hi}) / 2 {sign} (({hi} - {lo}) * 1.02 + 10) / 2), 0), {limit}) AS INTEGER)"
+
+
+@registered("crop_windows", f"{D} SELECT det_idx, {_cut('x1', 'x2', '-', 640)} AS x1, {_cut('x1', 'x2', '+', 640)} AS x2, {_cut('y1', 'y2', '-', 480)} AS y1, {_cut('y1', 'y2', '+', 480)} AS y2 FROM det")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.det(spark, sf_dir).select("det_idx", *[v.alias(k) for k, v in images.crop_window(F.lit(480), F.lit(640)).items()])
+
+
 WINDOW = "CAST(floor({0} / 2) - floor(floor({0} / 1.5) / 2) AS BIGINT) AS {1}_lo, CAST(floor({0} / 2) - floor(floor({0} / 1.5) / 2) + floor({0} / 1.5) AS BIGINT) AS {1}_hi"
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from framequery.operators import ingest, regions, tracker
 from framequery.plans import synthetic as S
 from framequery.plans.catalog import INSIDE, TIMES, D, registered
-from framequery.sources import messages
+from framequery.sources import images, messages
 from framequery.sources.media import register
 from framequery.streaming import jobs, live
 from framequery.streaming.shared import shared_dir
@@ -136,6 +136,30 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages.read_timings(rows).drop("value")
 
 
+GREYS = "SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda v: CAST(floor(abs(v) * 1000) AS BIGINT) % 256) AS g FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0"
+
+
+@registered("stills_written_and_read", f"SELECT vec_id % 7 AS camera_id, vec_id AS frame_no, len(g) AS pixels, list_sum(g) AS total, CAST(g[1] AS BIGINT) AS first, CAST(g[-1] AS BIGINT) AS last FROM ({GREYS})")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each embedding as a picture of one line, written as PNG by the committing
+    sink, found by a file scan, and decoded."""
+    register(spark)
+    folder = _folder(spark)
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("embedding is not null and size(embedding) > 0")
+    grey = F.transform(F.col("embedding").cast("array<double>"), lambda v: F.floor(F.abs(v) * 1000) % 256)
+    data = F.unhex(F.array_join(F.transform(grey, lambda g: F.lpad(F.hex(g), 2, "0")), ""))
+    frames = rows.select((F.col("vec_id") % 7).alias("camera_id"), F.col("vec_id").alias("frame_no"), F.lit(1).alias("height"), F.size("embedding").alias("width"), F.lit(1).alias("n_channels"), data.alias("data"))  # noqa: E501
+    images.stills(frames).write.format("images").mode("append").option("path", f"{folder}/stills").save()
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.png").load(f"{folder}/stills").select("path", "content")
+    back = images.decoded(found)
+    numbers = F.transform(F.sequence(F.lit(1), F.octet_length("data")), lambda i: F.conv(F.hex(F.substring(F.col("data"), i, F.lit(1))), 16, 10).cast("long"))
+    part = F.split("path", "/")
+    keys = [F.element_at(part, -3).cast("long").alias("camera_id"), F.regexp_extract(F.element_at(part, -1), r"^(\d+)", 1).cast("long").alias("frame_no")]
+    pixels = back.select(*keys, numbers.alias("g"))
+    total = F.aggregate("g", F.lit(0).cast("long"), lambda a, b: a + b)
+    return pixels.select("camera_id", "frame_no", F.size("g").cast("long").alias("pixels"), total.alias("total"), F.element_at("g", 1).alias("first"), F.element_at("g", -1).alias("last"))
+
+
 @registered("camera_frames")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames of the camera source, cropped to the model's square."""

@@ -173,9 +173,11 @@ class Cameras(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    from framequery.sources.images import Images
     from framequery.sources.messages import Messages
 
     spark.dataSource.register(Cameras)
+    spark.dataSource.register(Images)
     spark.dataSource.register(Messages)
 
 

@@ -14,7 +14,6 @@ import re
 import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from datetime import datetime, timedelta, timezone
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -25,9 +24,9 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from pyspark.sql.types import StructType
 
 from framequery.functions.text import parsed_payload, timing_payload
+from framequery.sources.folder import Folder
 
 TOPIC = "stage_times"
-STAGING = "_staging"
 POSITIONS = "_positions"
 SEGMENT = re.compile(r"(\d{12})(?:\.([A-Za-z0-9_-]+)\.(\d+)\.(\d+))?\.arrow$")
 STORED = pa.schema([("topic", pa.string()), ("payload", pa.binary())])
@@ -51,12 +50,8 @@ def payload_text(payload: Column) -> Column:
     return F.try_validate_utf8(payload.cast("string"))
 
 
-class Log:
-    """The folder of a log; all its paths are relative to the folder's file system."""
-
-    def __init__(self, folder: str) -> None:
-        self.fs, path = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
-        self.path = path.rstrip("/")
+class Log(Folder):
+    """The folder of a log."""
 
     def segments(self) -> dict[int, str]:
         """The committed segments by number."""
@@ -65,8 +60,7 @@ class Log:
 
     def stage(self, job: str, batches: Iterator[pa.RecordBatch]) -> tuple[str, int]:
         """Writes a task's messages to a file in the job's staging folder."""
-        path, n = f"{self.path}/{STAGING}/{job}/{uuid.uuid4().hex}.arrow", 0
-        self.fs.create_dir(f"{self.path}/{STAGING}/{job}")
+        path, n = f"{self.staging(job)}/{uuid.uuid4().hex}.arrow", 0
         with self.fs.open_output_stream(path) as out, pa.ipc.new_stream(out, STORED) as writer:
             for batch in batches:
                 names = batch.schema.names
@@ -75,11 +69,6 @@ class Log:
                 n += batch.num_rows
         return path, n
 
-    def unstage(self, job: str) -> None:
-        """Deletes what the job's tasks have left, those that were killed too."""
-        if self.fs.get_file_info(f"{self.path}/{STAGING}/{job}").type != fs.FileType.NotFound:
-            self.fs.delete_dir(f"{self.path}/{STAGING}/{job}")
-
     def publish(self, staged: list[str | None], writer: str | None = None, batch: int = 0) -> None:
         """Numbers the staged segments on from the last; those that ``writer`` has
         published for this batch already, in a commit that was cut off, are left out."""
@@ -93,14 +82,6 @@ class Log:
             tag = f".{writer}.{batch}.{part}" if writer else ""
             self.fs.move(path, f"{self.path}/{number:012d}{tag}.arrow")
 
-    def sweep(self, age: timedelta = timedelta(days=1)) -> None:
-        """Deletes staging folders without a change for ``age``: those of killed
-        tasks that wrote on after their job had been aborted."""
-        before = datetime.now(timezone.utc) - age
-        for f in self.fs.get_file_info(fs.FileSelector(f"{self.path}/{STAGING}", allow_not_found=True)):
-            if f.mtime is not None and f.mtime <= before:
-                self.fs.delete_dir(f.path)
-
     def messages(self, number: int, path: str, topic: str | None) -> Iterator[pa.RecordBatch]:
         """MESSAGE_DDL rows of a segment; places count before the topic is chosen."""
         place = 0
@@ -115,7 +96,7 @@ class Log:
     def position(self, group: str) -> int:
         """The last segment that a group of readers has committed."""
         path = f"{self.path}/{POSITIONS}/{group}.json"
-        if self.fs.get_file_info(path).type == fs.FileType.NotFound:
+        if not self.exists(path):
             return 0
         with self.fs.open_input_stream(path) as source:
             return int(json.loads(source.read())["segment"])
