@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framequery.functions.text import media_kind, resolution_height
+from framequery.operators.numbering import numbered
 
 
 def media_files(paths: DataFrame) -> DataFrame:
     """path, kind, place: images first, then videos, each by path; other files
-    are left out.  A catalogue of files is small beside their contents; its
-    numbering is the one global order."""
+    are left out."""
     kinds = paths.select("path", media_kind(F.col("path")).alias("kind")).where("kind is not null")
-    return kinds.withColumn("place", F.row_number().over(Window.orderBy("kind", "path")).cast("long"))
+    return numbered(kinds, "kind", "path")
 
 
 def media_counts(paths: DataFrame, batch: int = 1) -> DataFrame:

@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framequery.functions import geometry as G
+from framequery.operators.grid import points_inside
 
 #: The two regions every run starts with (id, name, xmin, ymin, xmax, ymax).
 SEED_REGIONS = [(0, "left", 100.0, 150.0, 340.0, 450.0), (1, "right", 300.0, 150.0, 540.0, 450.0)]
-#: More regions than this and the join shuffles.
-BROADCAST_REGIONS = 10_000
 
 
 def seed_regions(spark: SparkSession) -> DataFrame:
@@ -31,7 +30,8 @@ def region_hits(det: DataFrame, regions: DataFrame, mode: str = "last", polygons
 
     ``last`` tests only the last tracked detection of a frame, so that a region
     grows by one a frame at most; ``each`` tests all.  Rectangles are compared
-    directly; ``polygons`` tests any simple polygon.
+    directly; ``polygons`` tests any simple polygon, found by its rectangle.  A
+    handful of regions is compared with everything, more are found by a grid.
     """
     tracked = det.where(F.col("track_id").isNotNull())
     rows = last_of_frame(tracked) if mode == "last" else tracked
@@ -39,8 +39,7 @@ def region_hits(det: DataFrame, regions: DataFrame, mode: str = "last", polygons
         raise ValueError(f"mode is 'last' or 'each', not {mode!r}")
     cx, cy = G.center(F.col("x1"), F.col("x2")), G.center(F.col("y1"), F.col("y2"))
     inside = G.inside_polygon(cx, cy, F.col("polygon")) if polygons else G.inside_rectangle(cx, cy)
-    small = regions.limit(BROADCAST_REGIONS + 1).count() <= BROADCAST_REGIONS
-    return rows.join(F.broadcast(regions) if small else regions, inside)
+    return points_inside(rows, cx, cy, regions, inside)
 
 
 def running_count(hits: DataFrame) -> DataFrame:
@@ -64,7 +63,7 @@ def approximate_tracks(hits: DataFrame) -> DataFrame:
 
 def picked_region(points: DataFrame, regions: DataFrame) -> DataFrame:
     """(event_id, x, y) -> event_id, region_id: the last region that holds the point."""
-    hit = points.join(F.broadcast(regions), G.inside_rectangle(F.col("x"), F.col("y")))
+    hit = points_inside(points, F.col("x"), F.col("y"), regions, G.inside_rectangle(F.col("x"), F.col("y")))
     return hit.groupBy("event_id").agg(F.max("region_id").alias("region_id"))
 
 
@@ -78,7 +77,7 @@ def drag_steps(moves: DataFrame) -> DataFrame:
 
 def moving_region_hits(det: DataFrame, versions: DataFrame) -> DataFrame:
     """Hits in regions that change: ``versions`` are regions with the frames
-    [valid_from, valid_to) in which they hold; a null valid_to is open."""
+    [valid_from, valid_to) in which they hold; a null in valid_to is open."""
     holds = (F.col("frame_no") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("frame_no") < F.col("valid_to")))
     cx, cy = G.center(F.col("x1"), F.col("x2")), G.center(F.col("y1"), F.col("y2"))
-    return det.join(F.broadcast(versions), holds & G.inside_rectangle(cx, cy))
+    return points_inside(det, cx, cy, versions, holds & G.inside_rectangle(cx, cy), F.col("frame_no"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framequery.functions.geometry import center
@@ -41,16 +41,32 @@ def track_length(det: DataFrame) -> DataFrame:
     return out.select("camera_id", "frame_no", "det_idx", "track_id", "length")
 
 
+def run_table(det: DataFrame) -> DataFrame:
+    """camera_id, track_id, isl, points: each run of a track once, its centres with
+    frame_no and det_idx in order.  One entry a detection; every line of a frame is
+    a beginning of its run."""
+    point = F.struct("frame_no", "det_idx", center(F.col("x1"), F.col("x2")).alias("x"), center(F.col("y1"), F.col("y2")).alias("y"))
+    return islands(det).groupBy("camera_id", "track_id", "isl").agg(F.array_sort(F.collect_list(point)).alias("points"))
+
+
+def whole_pixels(points: Column) -> Column:
+    """Points cut to whole pixels, as 'x,y x,y'."""
+    text = F.transform(points, lambda p: F.concat_ws(",", p["x"].cast("int").cast("string"), p["y"].cast("int").cast("string")))
+    return F.array_join(text, " ")
+
+
 def trajectories(det: DataFrame) -> DataFrame:
-    """Adds ``points``, the track's centres so far in the run."""
-    point = F.struct(center(F.col("x1"), F.col("x2")).alias("x"), center(F.col("y1"), F.col("y2")).alias("y"))
-    return islands(det).withColumn("points", F.collect_list(point).over(_so_far()))
+    """camera_id, frame_no, det_idx, track_id, points: the track's centres (x, y) so
+    far in the run, cut from the run table.  For the lines of single frames cut only
+    those, as ``class_polylines`` does."""
+    rows = run_table(det).select("camera_id", "track_id", "points", F.posexplode("points").alias("i", "p"))
+    so_far = F.transform(F.slice("points", 1, F.col("i") + 1), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
+    return rows.select("camera_id", F.col("p.frame_no").alias("frame_no"), F.col("p.det_idx").alias("det_idx"), "track_id", so_far.alias("points"))
 
 
 def trajectory_text(det: DataFrame) -> DataFrame:
     """Trajectories with their points cut to whole pixels, as 'x,y x,y'."""
-    text = F.transform("points", lambda p: F.concat_ws(",", p["x"].cast("int").cast("string"), p["y"].cast("int").cast("string")))
-    return trajectories(det).select("camera_id", "frame_no", "det_idx", "track_id", F.array_join(text, " ").alias("points"))
+    return trajectories(det).withColumn("points", whole_pixels(F.col("points")))
 
 
 def lost_tracks(det: DataFrame) -> DataFrame:
@@ -68,9 +84,11 @@ def class_polylines(det: DataFrame) -> DataFrame:
     """camera_id, frame_no, cls_id, track_id, points: a class shows the line of
     its last track in the frame."""
     last = Window.partitionBy("camera_id", "frame_no", "cls_id").orderBy(F.desc("det_idx"))
-    rows = trajectory_text(det).join(det.select("camera_id", "frame_no", "det_idx", "cls_id"), ["camera_id", "frame_no", "det_idx"])
+    rows = islands(det).withColumn("_length", F.count("*").over(_so_far()))
     top = rows.withColumn("_rn", F.row_number().over(last)).where("_rn = 1")
-    return top.select("camera_id", "frame_no", "cls_id", "track_id", "points")
+    shown = top.select("camera_id", "frame_no", "cls_id", "track_id", "isl", "_length").join(run_table(det), ["camera_id", "track_id", "isl"])
+    line = whole_pixels(F.slice("points", 1, F.col("_length").cast("int")))
+    return shown.select("camera_id", "frame_no", "cls_id", "track_id", line.alias("points"))
 
 
 def class_filtered_polylines(det: DataFrame) -> DataFrame:
@@ -98,18 +116,32 @@ def fold_frame(state: dict[int, int], track_ids: list[int], cap: int) -> tuple[l
     return lengths, dropped
 
 
+def segments(det: DataFrame) -> DataFrame:
+    """camera_id, frame_no, segment: the present frames, numbered on where no track
+    of the frame was in the one before: there the memory is empty."""
+    seen = det.where(F.col("track_id").isNotNull()).select("camera_id", "frame_no", "track_id").distinct()
+    by_frame = Window.partitionBy("camera_id").orderBy("frame_no")
+    frames = seen.select("camera_id", "frame_no").distinct().withColumn("fr", F.row_number().over(by_frame))
+    by_track = Window.partitionBy("camera_id", "track_id").orderBy("fr")
+    goes_on = F.coalesce(F.lag("fr").over(by_track) == F.col("fr") - 1, F.lit(False))
+    rows = seen.join(frames, ["camera_id", "frame_no"]).withColumn("goes_on", goes_on)
+    cuts = rows.groupBy("camera_id", "frame_no").agg(F.when(F.bool_or("goes_on"), 0).otherwise(1).alias("cut"))
+    return cuts.select("camera_id", "frame_no", F.sum("cut").over(by_frame).alias("segment"))
+
+
 def bounded_tracks(det: DataFrame, cap: int = 30) -> DataFrame:
     """camera_id, frame_no, det_idx, track_id, length with at most ``cap``
     tracks remembered a camera.  Which one is dropped depends on the order of
-    insertion, so each camera is an ordered fold; its rows stream through in
-    Arrow batches sorted by frame, and only the memory of ``cap`` tracks is kept.
+    insertion, so this is an ordered fold; it begins anew wherever no track goes on
+    from one frame to the next, and these segments of a camera fold apart.  Rows
+    stream through in Arrow batches, and only the memory of ``cap`` tracks is kept.
     """
     columns = ["camera_id", "frame_no", "det_idx", "track_id"]
-    seen = det.where(F.col("track_id").isNotNull()).select(*columns)
-    ordered = seen.repartition("camera_id").sortWithinPartitions("camera_id", "frame_no", "det_idx")
+    seen = det.where(F.col("track_id").isNotNull()).select(*columns).join(segments(det), ["camera_id", "frame_no"])
+    ordered = seen.select("segment", *columns).repartition("camera_id", "segment").sortWithinPartitions("camera_id", "segment", "frame_no", "det_idx")
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        camera, frame, state, held = None, None, {}, []
+        part, frame, state, held = None, None, {}, []
 
         def close() -> list[tuple]:
             lengths, _ = fold_frame(state, [r[3] for r in held], cap)
@@ -117,13 +149,13 @@ def bounded_tracks(det: DataFrame, cap: int = 30) -> DataFrame:
 
         for batch in batches:
             out = []
-            for row in batch.itertuples(index=False, name=None):
-                if (row[0], row[1]) != (camera, frame):
+            for segment, *row in batch.itertuples(index=False, name=None):
+                if (segment, row[0], row[1]) != (*(part or (None, None)), frame):
                     out += close()
                     held = []
-                    state = state if row[0] == camera else {}
-                    camera, frame = row[0], row[1]
-                held.append(row)
+                    state = state if (segment, row[0]) == part else {}
+                    part, frame = (segment, row[0]), row[1]
+                held.append(tuple(row))
             yield pd.DataFrame(out, columns=[*columns, "length"])
         yield pd.DataFrame(close(), columns=[*columns, "length"])
 

@@ -241,7 +241,24 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracks.class_filtered_polylines(S.det(spark, sf_dir))
 
 
-@registered("track_eviction_30")
+#: The memory of tracks as a recursive query over the detections of each camera.
+EVICTION = f"""WITH RECURSIVE det AS ({S.DET_CROWDED}), placed AS (SELECT *, row_number() OVER (PARTITION BY camera_id ORDER BY frame_no, det_idx) AS r,
+    dense_rank() OVER (PARTITION BY camera_id ORDER BY frame_no) AS fr FROM det),
+before AS (SELECT camera_id, fr + 1 AS fr, list(track_id) AS present FROM placed GROUP BY camera_id, fr),
+rows AS (SELECT p.*, row_number() OVER (PARTITION BY p.camera_id, p.fr ORDER BY det_idx) = 1 AS opens, coalesce(present, []) AS present
+    FROM placed p LEFT JOIN before b ON b.camera_id = p.camera_id AND b.fr = p.fr),
+walk AS (SELECT camera_id, CAST(0 AS BIGINT) AS r, CAST([] AS STRUCT(t BIGINT, n BIGINT)[]) AS s, CAST(NULL AS BIGINT) AS frame_no, CAST(NULL AS BIGINT) AS det_idx, CAST(NULL AS BIGINT) AS track_id, CAST(0 AS BIGINT) AS length
+    FROM (SELECT DISTINCT camera_id FROM det) UNION ALL
+    SELECT camera_id, r, CASE WHEN len(s) > 30 THEN s[2:] ELSE s END, frame_no, det_idx, track_id, list_filter(s, lambda x: x.t = track_id)[1].n FROM (
+        SELECT camera_id, r, frame_no, det_idx, track_id, CASE WHEN len(list_filter(s, lambda x: x.t = track_id)) > 0
+            THEN list_transform(s, lambda x: CASE WHEN x.t = track_id THEN {{'t': x.t, 'n': x.n + 1}} ELSE x END)
+            ELSE list_append(s, {{'t': track_id, 'n': CAST(1 AS BIGINT)}}) END AS s FROM (
+            SELECT o.camera_id, o.r, o.frame_no, o.det_idx, o.track_id, CASE WHEN opens THEN list_filter(w.s, lambda x: list_contains(o.present, x.t)) ELSE w.s END AS s
+            FROM walk w JOIN rows o ON o.camera_id = w.camera_id AND o.r = w.r + 1)))
+SELECT camera_id, frame_no, det_idx, track_id, length FROM walk WHERE r > 0"""
+
+
+@registered("track_eviction_30", EVICTION)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracks.bounded_tracks(S.view(spark, sf_dir, S.DET_CROWDED))
 
@@ -429,6 +446,22 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("det_idx", "region_id", F.col("k").cast("long").alias("version"))
 
 
+#: Many regions, and many that hold for some frames only.
+MANY = "SELECT o_orderkey AS region_id, CAST(o_orderkey * 37 % 600 AS DOUBLE) AS xmin, CAST(o_orderkey * 53 % 500 AS DOUBLE) AS ymin, CAST(o_orderkey * 37 % 600 + 3 + o_orderkey % 17 * (o_orderkey % 3) AS DOUBLE) AS xmax, CAST(o_orderkey * 53 % 500 + 3 + o_orderkey % 13 * (o_orderkey % 4) AS DOUBLE) AS ymax, o_orderkey % 180 AS valid_from, CASE WHEN o_orderkey % 9 > 0 THEN o_orderkey % 180 + o_orderkey % 70 END AS valid_to FROM orders"  # noqa: E501
+
+
+@registered("region_hits_many", f"WITH det AS ({S.DET}), m AS ({MANY}) SELECT region_id, count(*) AS c, sum(det_idx) AS ids FROM det JOIN m ON {INSIDE} GROUP BY 1")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = regions.region_hits(S.det(spark, sf_dir), S.view(spark, sf_dir, MANY, "orders"), "each")
+    return hits.groupBy("region_id").agg(F.count("*").alias("c"), F.sum("det_idx").alias("ids"))
+
+
+@registered("moving_region_hits_many", f"WITH det AS ({S.DET}), m AS ({MANY}) SELECT region_id, count(*) AS c, sum(det_idx) AS ids FROM det JOIN m ON frame_no >= valid_from AND (valid_to IS NULL OR frame_no < valid_to) AND {INSIDE} GROUP BY 1")  # noqa: E501
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = regions.moving_region_hits(S.det(spark, sf_dir), S.view(spark, sf_dir, MANY, "orders"))
+    return hits.groupBy("region_id").agg(F.count("*").alias("c"), F.sum("det_idx").alias("ids"))
+
+
 @registered("overlay_labels", f"WITH regions AS ({S.REGIONS}) SELECT region_id, CAST(trunc((xmin + xmax) / 2) AS BIGINT) - 15 AS text_x, CAST(trunc((ymin + ymax) / 2) AS BIGINT) + 6 AS text_y, CAST(trunc((xmin + xmax) / 2) AS BIGINT) - 20 AS box_x1, CAST(trunc((ymin + ymax) / 2) AS BIGINT) - 11 AS box_y1, CAST(trunc((xmin + xmax) / 2) AS BIGINT) + 20 AS box_x2, CAST(trunc((ymin + ymax) / 2) AS BIGINT) + 11 AS box_y2 FROM regions")  # noqa: E501
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     cx, cy = G.centroid(F.col("polygon"))
