@@ -118,3 +118,18 @@ def model_task(name: Column, requested: Column) -> Column:
 
 def megabytes(n: Column) -> Column:
     return n / F.lit(1048576.0)
+
+
+def elapsed_seconds(start: Column, end: Column) -> Column:
+    """Seconds from one timestamp to another, to the microsecond."""
+    return (F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / F.lit(1e6)
+
+
+def flag(value: Column) -> Column:
+    """A switch that is off unless it is set."""
+    return F.coalesce(value.cast("boolean"), F.lit(False))
+
+
+def absolute_path(path: Column, parent: str) -> Column:
+    """``path`` below ``parent`` unless it is absolute or has a scheme."""
+    return F.when(path.rlike(r"^(/|[A-Za-z][A-Za-z0-9+.-]*:/)"), path).otherwise(F.concat(F.lit(parent.rstrip("/") + "/"), F.regexp_replace(path, r"^(\./)+", "")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -39,34 +41,71 @@ def nms(det: DataFrame, threshold: float = 0.45) -> DataFrame:
     by det_idx) a box stays unless it overlaps a kept one by more than
     ``threshold``.  A native fold over the frame's ordered boxes; for frames of
     thousands of boxes use ``nms_dense``."""
-    box = F.struct((-F.col("conf")).alias("order"), "det_idx", "x1", "y1", "x2", "y2")
-    ordered = F.array_sort(F.collect_list(box))
-    frames = det.groupBy(*FRAME_KEYS).agg(ordered.alias("boxes"))
+    rest = F.struct(*[F.col(f"`{c}`") for c in det.columns])
+    box = F.struct((-F.col("conf")).alias("order"), "det_idx", "x1", "y1", "x2", "y2", rest.alias("row"))
+    frames = det.groupBy(*FRAME_KEYS).agg(F.array_sort(F.collect_list(box)).alias("boxes"))
 
     def step(kept, b):  # noqa: ANN001, ANN202
         clash = F.exists(kept, lambda k: G.iou(k, b) > threshold)
         return F.when(clash, kept).otherwise(F.concat(kept, F.array(b)))
 
-    kept = frames.select(*FRAME_KEYS, F.explode(F.aggregate("boxes", F.slice("boxes", 1, 0), step)).alias("b"))
-    return det.join(kept.select(*FRAME_KEYS, F.col("b.det_idx").alias("det_idx")), [*FRAME_KEYS, "det_idx"], "left_semi")
+    kept = frames.select(F.explode(F.aggregate("boxes", F.slice("boxes", 1, 0), step)).alias("b"))
+    return kept.select("b.row.*")
+
+
+def kept_boxes(x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray, threshold: float) -> list[int]:
+    """Places of the boxes that stay, of one frame's in the order of suppression."""
+    area, left, kept = (x2 - x1) * (y2 - y1), np.arange(len(x1)), []
+    while len(left):
+        i, left = int(left[0]), left[1:]
+        kept.append(i)
+        sides = np.minimum(x2[left], x2[i]) - np.maximum(x1[left], x1[i]), np.minimum(y2[left], y2[i]) - np.maximum(y1[left], y1[i])
+        inter = np.clip(sides[0], 0, None) * np.clip(sides[1], 0, None)
+        union = area[left] + area[i] - inter
+        left = left[~((union > 0) & (inter > threshold * np.where(union > 0, union, 1)))]
+    return kept
 
 
 def nms_dense(det: DataFrame, threshold: float = 0.45) -> DataFrame:
-    """``nms`` for crowded frames: one vectorised pass a frame in a pandas group."""
-
-    def suppress(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["conf", "det_idx"], ascending=[False, True], kind="stable")
-        x1, y1, x2, y2 = (frame[c].to_numpy() for c in ("x1", "y1", "x2", "y2"))
-        area, alive, kept = (x2 - x1) * (y2 - y1), np.ones(len(frame), bool), []
-        for i in range(len(frame)):
-            if alive[i]:
-                kept.append(i)
-                inter = np.clip(np.minimum(x2, x2[i]) - np.maximum(x1, x1[i]), 0, None) * np.clip(np.minimum(y2, y2[i]) - np.maximum(y1, y1[i]), 0, None)
-                union = area + area[i] - inter
-                alive &= ~(np.divide(inter, union, out=np.zeros_like(inter), where=union > 0) > threshold)
-        return frame.iloc[kept]
-
-    return det.groupBy(*FRAME_KEYS).applyInPandas(suppress, det.schema)
+    """``nms`` for crowded frames: frames lie sorted side by side in a partition and
+    stream through in Arrow batches, each suppressed by a vectorised pass."""
+    by_conf = [F.desc("conf"), "det_idx"]
+    ordered = det.repartition(*FRAME_KEYS).sortWithinPartitions(*FRAME_KEYS, *by_conf)
+
+    def suppress(rows: pd.DataFrame) -> pd.DataFrame:
+        new = np.zeros(len(rows), bool)
+        for k in FRAME_KEYS:
+            code = pd.factorize(rows[k], use_na_sentinel=False)[0]  # nulls are one key
+            new[1:] |= code[1:] != code[:-1]
+        starts = [0, *np.flatnonzero(new), len(rows)]
+        sides = [rows[c].to_numpy(float) for c in ("x1", "y1", "x2", "y2")]
+        kept = [a + i for a, b in zip(starts, starts[1:]) for i in kept_boxes(*[v[a:b] for v in sides], threshold)]
+        return rows.iloc[kept]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            same = np.ones(len(rows), bool)
+            for k in FRAME_KEYS:
+                last = rows[k].iloc[-1] if len(rows) else None
+                same &= (rows[k].isna() if pd.isna(last) else rows[k] == last).to_numpy()
+            held = rows[same]  # its frame may go on in the next batch
+            yield suppress(rows[~same])
+        if held is not None:
+            yield suppress(held)
+
+    return ordered.mapInPandas(run, det.schema)
+
+
+def outputs(raw: DataFrame, embed: bool = False, conf: float = 0.4, box_mode: str = "ref") -> DataFrame:
+    """What a model's rows become: detections, or with ``embed`` the raw vectors,
+    camera_id, frame_no, anchor_idx, vector array<float>, without any of the work
+    that comes after the model."""
+    if embed:
+        vector = F.concat(F.array("cx", "cy", "w", "h"), "scores").cast("array<float>")
+        return raw.select(*FRAME_KEYS, "anchor_idx", vector.alias("vector"))
+    return decode(raw, conf, box_mode)
 
 
 def unletterbox(det: DataFrame, height: int, width: int, target: int = 640) -> DataFrame:

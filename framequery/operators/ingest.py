@@ -80,7 +80,7 @@ def signal_gaps(frames: DataFrame, limit: timedelta, late: timedelta = timedelta
 
 def bounded_run(frames: DataFrame, counts: DataFrame) -> DataFrame:
     """A live stream of known length ends one frame short of it."""
-    return frames.join(F.broadcast(counts), "camera_id").where(F.col("frame_no") < F.col("n_frames") - 1).drop("n_frames")
+    return frames.join(counts, "camera_id").where(F.col("frame_no") < F.col("n_frames") - 1).drop("n_frames")
 
 
 def best_rendition(renditions: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ STAGES = ("preprocess", "inference", "postprocess")
 
 def class_counts(det: DataFrame, names: DataFrame) -> DataFrame:
     """camera_id, frame_no, counts: '2 cars, 1 bus, ' in the order of the classes."""
-    per = det.groupBy("camera_id", "frame_no", "cls_id").agg(F.count("*").alias("n")).join(F.broadcast(names), "cls_id")
+    per = det.groupBy("camera_id", "frame_no", "cls_id").agg(F.count("*").alias("n")).join(names, "cls_id")
     item = F.concat(F.col("n").cast("string"), F.lit(" "), F.col("name"), plural(F.col("n")), F.lit(", "))
     ordered = F.array_sort(F.collect_list(F.struct("cls_id", item.alias("item"))))
     return per.groupBy("camera_id", "frame_no").agg(F.array_join(F.transform(ordered, lambda s: s["item"]), "").alias("counts"))
@@ -20,7 +20,7 @@ def class_counts(det: DataFrame, names: DataFrame) -> DataFrame:
 
 def with_names(det: DataFrame, names: DataFrame) -> DataFrame:
     """Adds ``name`` and ``label``, 'name conf', of each detection."""
-    joined = det.join(F.broadcast(names), "cls_id", "left")
+    joined = det.join(names, "cls_id", "left")
     return joined.withColumn("label", F.format_string("%s %.2f", F.coalesce("name", F.col("cls_id").cast("string")), F.col("conf")))
 
 

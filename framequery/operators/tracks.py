@@ -75,7 +75,7 @@ def lost_tracks(det: DataFrame) -> DataFrame:
     rows = islands(det)
     run = Window.partitionBy("camera_id", "track_id").orderBy("fr")
     last = rows.groupBy("camera_id").agg(F.max("fr").alias("end"))
-    follows = rows.withColumn("next", F.lead("fr").over(run)).join(F.broadcast(last), "camera_id")
+    follows = rows.withColumn("next", F.lead("fr").over(run)).join(last, "camera_id")
     gone = F.when(F.col("next").isNull(), F.col("fr") < F.col("end")).otherwise(F.col("next") != F.col("fr") + 1)
     return follows.where(gone).select("camera_id", "track_id", "frame_no")
 

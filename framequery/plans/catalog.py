@@ -202,10 +202,21 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode.nms_dense(S.view(spark, sf_dir, S.DET_DENSE), 0.25).select("camera_id", "frame_no", "det_idx")
 
 
-@registered("decode_nms_chain", f"{_recursive(RAW)}, {_nms_sql(_boxes_sql(''), 0.45, 'camera_id, frame_no, det_idx')}")
+SOURCE_BOX = "(b.x1 - floor(0 / 2.0)) / 0.5 AS x1, (b.y1 - floor(280 / 2.0)) / 0.5 AS y1, (b.x2 - floor(0 / 2.0)) / 0.5 AS x2, (b.y2 - floor(280 / 2.0)) / 0.5 AS y2"
+CHAIN = f"b.camera_id, b.frame_no, b.det_idx, b.cls_id, b.conf, {SOURCE_BOX} FROM boxes b JOIN walk AS w ON w.det_idx = b.det_idx"
+
+
+@registered("decode_nms_chain", f"{_recursive(RAW)}, {_nms_sql(_boxes_sql(''), 0.45, CHAIN).replace('= b.det_idx FROM walk', '= b.det_idx')}")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     boxes = decode.nms(decode.decode(S.raw_predictions(spark, sf_dir), 0.25), 0.45)
-    return decode.unletterbox(boxes, 720, 1280).select("camera_id", "frame_no", "det_idx")
+    return decode.unletterbox(boxes, 720, 1280).drop("track_id")
+
+
+@registered("embed_outputs", "SELECT vec_id AS anchor_idx, vec_id % 3 AS camera_id, CAST(floor(vec_id / 25.0) AS BIGINT) AS frame_no, len(embedding) AS n, CAST(CAST(embedding[5] AS FLOAT) AS DOUBLE) AS fifth FROM embeddings WHERE embedding IS NOT NULL")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model's vectors as they are, without decoding."""
+    rows = decode.outputs(S.raw_predictions(spark, sf_dir), embed=True)
+    return rows.select("anchor_idx", "camera_id", "frame_no", F.size("vector").cast("long").alias("n"), F.col("vector")[4].cast("double").alias("fifth"))
 
 
 ISLANDS = f"{D}, fr AS (SELECT *, dense_rank() OVER (PARTITION BY camera_id ORDER BY frame_no) AS fr FROM det), isl AS (SELECT *, fr - row_number() OVER (PARTITION BY camera_id, track_id ORDER BY fr) AS isl FROM fr)"  # noqa: E501
@@ -399,6 +410,20 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select("path", T.label_path(F.col("path"), F.lit(7), F.col("kind") == "image").alias("label"))
 
 
+@registered("path_texts", f"SELECT path, split_part(path, '.', 1) AS bare, replace(replace(concat(path, '?x=1'), '?', '_'), '=', '_') AS clean, TRY_CAST(CASE WHEN regexp_matches(path, '^[0-9]+$') THEN path END AS INTEGER) AS device, CASE WHEN path LIKE '/%' THEN path ELSE concat('/data/', path) END AS whole FROM ({S.PATHS})")  # noqa: E501
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.col("path")
+    clean = T.clean_name(F.concat(path, F.lit("?x=1")))
+    return S.view(spark, sf_dir, S.PATHS, "documents").select("path", T.before_first_dot(path).alias("bare"), clean.alias("clean"), T.device_index(path).alias("device"), T.absolute_path(path, "/data").alias("whole"))  # noqa: E501
+
+
+@registered("run_statistics", "SELECT event_id % 4 AS camera_id, epoch_us(max(ts) - min(ts)) / 1e6 AS seconds, sum(length(props)) / 1048576 AS megabytes, coalesce(max(CASE WHEN event_id % 4 = 1 THEN true END), false) AS shown FROM events GROUP BY 1")  # noqa: E501
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("camera_id", F.col("event_id") % 4)
+    shown = F.max(F.when(F.col("camera_id") == 1, F.lit(True)))
+    return events.groupBy("camera_id").agg(T.elapsed_seconds(F.min("ts"), F.max("ts")).alias("seconds"), T.megabytes(F.sum(F.length("props"))).alias("megabytes"), T.flag(shown).alias("shown"))  # noqa: E501
+
+
 @registered("source_class", "SELECT page_id, coalesce(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)', 1) IN ('www.youtube.com', 'youtube.com', 'youtu.be'), false) AS hosted, starts_with(url, 'http') AS remote FROM pages")  # noqa: E501
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")

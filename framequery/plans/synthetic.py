@@ -48,10 +48,6 @@ def det(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, DET)
 
 
-def constant(spark: SparkSession, sql: str) -> DataFrame:
-    return spark.sql(sql)
-
-
 def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(anchor_idx, camera_id, frame_no, values array<double>) of embeddings."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("embedding is not null")

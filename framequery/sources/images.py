@@ -6,7 +6,7 @@ import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,6 +23,7 @@ from framequery.sources.folder import Folder
 PNG = b"\x89PNG\r\n\x1a\n"
 #: A crop is the box times GAIN and PAD pixels more.
 GAIN, PAD = 1.02, 10
+Decoder = Callable[[bytes], np.ndarray]
 IMAGE_DDL = "folder string, name string, image binary"
 
 
@@ -136,21 +137,48 @@ def stills(frames: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, f"camera_id long, frame_no long, {IMAGE_DDL}")
 
 
-def decoded(images: DataFrame, column: str = "content") -> DataFrame:
-    """``images`` with height, width, n_channels, data (BGR) in place of the PNG in
-    ``column``; nulls where it is none that can be read."""
+def bmp_decoded(data: bytes) -> np.ndarray:
+    """The BGR pixels of a plain bitmap of 24 or 32 bits."""
+    if data[:2] != b"BM":
+        raise ValueError("no bitmap")
+    start, (w, h), bits, packed = struct.unpack("<I", data[10:14])[0], struct.unpack("<ii", data[18:26]), *struct.unpack("<HI", data[28:34])
+    step = {24: 3, 32: 4}.get(bits)
+    if step is None or packed not in (0, 3) or w <= 0:
+        raise ValueError("a kind of bitmap that is not read here")
+    line = (w * step + 3) // 4 * 4
+    rows = np.frombuffer(data, np.uint8, line * abs(h), start).reshape(abs(h), line)[:, : w * step].reshape(abs(h), w, step)
+    return np.ascontiguousarray((rows[::-1] if h > 0 else rows)[..., :3])
+
+
+#: What turns the bytes of a file into pixels, by the file's ending.
+DECODERS = {"png": png_decoded, "bmp": bmp_decoded, "dib": bmp_decoded}
+
+
+def decoded(images: DataFrame, column: str = "content", decoders: dict[str, Decoder] | None = None, path: str | None = None) -> DataFrame:
+    """``images`` with height, width, n_channels, data (BGR uint8) in place of the
+    file in ``column``; nulls where it cannot be read.
+
+    The decoder is that of the ending of ``path``; ``decoders`` adds to DECODERS, for
+    kinds that need a library, say.  Without a path all known ones are tried.
+    """
+    known = DECODERS | (decoders or {})
     kept = [c for c in images.columns if c != column]
 
+    def pixels(data: bytes | None, name: str | None) -> tuple:
+        ending = name.rpartition(".")[2].lower() if name else None
+        for decode in dict.fromkeys(known.values() if path is None else filter(None, [known.get(ending)])):
+            try:
+                img = decode(data)
+                img = img[..., None] if img.ndim == 2 else img
+                return (*img.shape, np.ascontiguousarray(img).tobytes())
+            except Exception:  # a file from anywhere, a decoder from anywhere  # noqa: BLE001
+                continue
+        return (None, None, None, None)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            pixels = []
-            for data in b[column]:
-                try:
-                    img = png_decoded(data)
-                    pixels.append((*img.shape, img.tobytes()))
-                except (ValueError, TypeError, zlib.error, struct.error):
-                    pixels.append((None, None, None, None))
-            made = pd.DataFrame(pixels, columns=["height", "width", "n_channels", "data"], index=b.index)
+            rows = [pixels(data, name) for data, name in zip(b[column], b[path] if path else [None] * len(b), strict=True)]
+            made = pd.DataFrame(rows, columns=["height", "width", "n_channels", "data"], index=b.index)
             yield pd.concat([b[kept], made.astype({c: "Int32" for c in ("height", "width", "n_channels")})], axis=1)
 
     fields = [f"`{n}` {t}" for n, t in images.dtypes if n != column]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
-from framequery.functions.text import IMAGE_ENDINGS, VIDEO_HOSTS
+from framequery.functions.text import IMAGE_ENDINGS, absolute_path
 from framequery.schemas import FRAME
 
 FRAME_DDL = "camera_id long, frame_no long, ts timestamp, height int, width int, n_channels int, mode string, data binary"
@@ -58,8 +59,26 @@ def listed(text: str) -> list[str]:
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(path): the lines of a manifest file."""
-    return spark.read.text(path).select(F.trim("value").alias("path")).where("path <> ''")
+    """(path): the lines of a manifest file; relative ones lie beside it."""
+    lines = spark.read.text(path).select(F.trim("value").alias("path")).where("path <> ''")
+    return lines.select(absolute_path(F.col("path"), path.rpartition("/")[0] or ".").alias("path"))
+
+
+def source_files(spark: SparkSession, source: str | Sequence[str], recursive: bool = False) -> DataFrame:
+    """(path) of the files of a source: a folder's, those a pattern matches, one
+    file, the lines of a ``.txt`` manifest, or a list of such sources one after the
+    other.  Nothing is opened but manifests; a folder, pattern or file that is not
+    there is an error.  A file named twice comes twice.
+    """
+    if not isinstance(source, str):
+        parts = [source_files(spark, s, recursive) for s in source]
+        if not parts:
+            return spark.createDataFrame([], "path string")
+        return reduce(DataFrame.unionByName, parts)
+    if source.endswith(".txt"):
+        return manifest(spark, source)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(source)
+    return found.select("path")
 
 
 def image_files(spark: SparkSession, path: str | list[str], recursive: bool = False) -> DataFrame:
@@ -83,6 +102,29 @@ def in_memory(spark: SparkSession, images: Sequence[np.ndarray | None]) -> DataF
     return spark.createDataFrame(rows, FRAME)
 
 
+def mixed(spark: SparkSession, items: Sequence[str | np.ndarray | None], decoders: dict | None = None) -> DataFrame:
+    """FRAME rows of a list of image paths and images at hand, frame_no their place
+    in the list; a file that is missing or cannot be decoded is an unreadable frame.
+    """
+    from framequery.sources.images import decoded
+
+    other = [type(x).__name__ for x in items if not isinstance(x, (str, np.ndarray, type(None)))]
+    if other:
+        raise TypeError(f"an image is a path or an array, not {other[0]}")
+    if any(isinstance(x, str) and re.match(r"https?://", x) for x in items):
+        raise ValueError("give files that Spark can scan, not web addresses")
+    paths = {i: x for i, x in enumerate(items) if isinstance(x, str)}
+    arrays = in_memory(spark, [None if isinstance(x, str) else x for x in items])
+    if not paths:
+        return arrays
+    places = spark.createDataFrame([(i, p) for i, p in paths.items()], "place long, wanted string")
+    found = spark.read.format("binaryFile").option("ignoreMissingFiles", "true").load(sorted({p.rpartition("/")[0] or "." for p in paths.values()}))
+    same = F.regexp_replace("path", "^file:/+", "/") == F.regexp_replace("wanted", "^file:/+", "/")
+    read = decoded(places.join(found.select("path", "content"), same, "left").select("place", "wanted", "content"), "content", decoders, "wanted")
+    rows = read.select(F.lit(0).cast("long").alias("camera_id"), F.col("place").alias("frame_no"), F.lit(None).cast("timestamp").alias("ts"), "height", "width", "n_channels", F.when(F.col("data").isNotNull(), "BGR").alias("mode"), "data")  # noqa: E501
+    return arrays.where(~F.col("frame_no").isin(*paths)).unionByName(rows)
+
+
 def tensor_rows(tensor: np.ndarray, stride: int = 32) -> np.ndarray:
     """A checked (B, C, H, W) tensor of 0 to 1: three axes become four, sides
     divide by ``stride``, values above 1 are taken for 0 to 255."""
@@ -92,10 +134,6 @@ def tensor_rows(tensor: np.ndarray, stride: int = 32) -> np.ndarray:
     return t / 255.0 if t.size and t.max() > 1 + np.finfo(np.float32).eps else t
 
 
-def hosted_video(url: str) -> bool:
-    return bool(m := re.match(r"https?://([^/:]+)", url)) and m[1] in VIDEO_HOSTS
-
-
 class CameraPartition(InputPartition):
     def __init__(self, camera: int, start: int, end: int) -> None:
         self.camera, self.start, self.end = camera, start, end
@@ -187,7 +225,7 @@ def open_source(spark: SparkSession, source: object, **options: object) -> DataF
     if kind.tensor:
         return in_memory(spark, list((tensor_rows(source) * 255).astype(np.uint8).transpose(0, 2, 3, 1)))
     if kind.from_images:
-        return in_memory(spark, list(source))
+        return mixed(spark, list(source))
     if kind.screenshot:
         raise NotImplementedError("a screen can be grabbed on the driver's host only; give images instead")
     if kind.stream:

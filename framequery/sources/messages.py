@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamArrowWriter, DataSourceStreamReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
@@ -229,3 +229,9 @@ def write_labels(lines: DataFrame, path: str) -> None:
     """Label text, one folder a camera and frame."""
     ordered = lines.repartition("camera_id", "frame_no").sortWithinPartitions("camera_id", "frame_no", "det_idx")
     ordered.select("camera_id", "frame_no", F.col("line").alias("value")).write.partitionBy("camera_id", "frame_no").text(path)
+
+
+def label_count(spark: SparkSession, path: str) -> int:
+    """Frames that have a label file below ``path``."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path)
+    return files.select(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("frame")).distinct().count()
