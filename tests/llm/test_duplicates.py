@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 from collections import Counter, defaultdict
 from itertools import combinations, product
@@ -410,3 +411,59 @@ def test_passages_of_odd_input(spark):
     got = passages.repeated_passages(odd(spark)).collect()
     assert {r["doc_id"] for r in got} <= {6}
     assert passages.repeated_passages(odd(spark).limit(0)).count() == 0
+
+
+def test_an_exact_run_among_many_holders_of_its_parts(spark, monkeypatch):
+    """Two documents share 60 words of which 30 others, before and between them,
+    hold 49 each: the run is found, however the long seeds are dealt."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    text = lambda n: [word() for _ in range(n)]
+    run = text(60)
+    docs = {10: text(30) + run + text(30), 100: text(40) + run + text(20)}
+    for k, i in enumerate([1, 2, 3, *range(11, 38)]):
+        docs[i] = text(20) + run[k % 12 : k % 12 + 49] + text(20)
+    for ordered in (passages.ORDERED, 4):
+        monkeypatch.setattr(passages.with_holders, "__defaults__", (ordered,))
+        got = passages.repeated_passages(documents(spark, [" ".join(t) for t in docs.values()], list(docs))).collect()
+        assert {(r["doc_id"], r["source_doc_id"]) for r in got} >= {(100, 10), (10, 10)}
+        (r,) = [r for r in got if r["doc_id"] == 100]
+        assert r["first_word"] <= 40 and r["end_word"] >= 100
+
+
+def test_every_exact_run_is_covered_in_a_crowd(spark):
+    """Random cuts of a few long passages in many documents: every run of 50 words
+    that two documents share lies in reported passages, word by word."""
+    rng = random.Random(9)
+    text = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    long = [text(140) for _ in range(2)]
+    docs = []
+    for _ in range(70):
+        own = text(rng.randrange(10))
+        for p in rng.sample(long, rng.randrange(1, 3)):
+            a = rng.randrange(95)
+            own += p[a : a + rng.randrange(44, 70)] + text(rng.randrange(1, 9))
+        docs.append(own)
+    got = passages.repeated_passages(documents(spark, [" ".join(t) for t in docs])).collect()
+    covered = defaultdict(set)
+    for r in got:
+        covered[r["doc_id"]] |= set(range(r["first_word"], r["end_word"]))
+    holders = defaultdict(set)
+    for d, t in enumerate(docs):
+        for i in range(len(t) - 49):
+            holders[tuple(t[i : i + 50])].add(d)
+    missed = [(d, i) for d, t in enumerate(docs) for i in range(len(t) - 49) if len(holders[tuple(t[i : i + 50])]) > 1 and not set(range(i, i + 50)) <= covered[d]]
+    assert not missed
+
+
+def test_fuzzy_passages_are_mostly_found(spark):
+    """Pairs of 100 words with a share of them changed at random."""
+    rng = random.Random(10)
+    text = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    for share, least in ((0.05, 58), (0.1, 57), (0.15, 50)):
+        docs = []
+        for _ in range(60):
+            own = text(100)
+            docs += [text(20) + own + text(20), text(30) + [w if rng.random() > share else "changed" + str(rng.random()) for w in own] + text(10)]
+        got = passages.repeated_passages(documents(spark, [" ".join(t) for t in docs])).collect()
+        assert len({r["doc_id"] // 2 for r in got if r["doc_id"] != r["source_doc_id"]}) >= least
