@@ -158,7 +158,7 @@ def shingle_sets(docs: DataFrame, size: int, similarity: float, last: np.ndarray
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sizes, prefixes = [], [], []
+            keys, sizes, prefixes, bits = [], [], [], []
             for t in batch.column(1):
                 h = shingle_hashes(t.as_py(), size)
                 keys.append(xxhash.xxh3_128_digest(h.tobytes()))
@@ -166,12 +166,48 @@ def shingle_sets(docs: DataFrame, size: int, similarity: float, last: np.ndarray
                 found = np.minimum(np.searchsorted(sorted_last, h), max(len(last) - 1, 0))
                 late = sorted_last[found] == h if len(last) else np.zeros(len(h), bool)
                 ordered = np.concatenate([h[~late], last[np.sort(by_value[found[late]])]])
+                bits.append(parity_bits(h))
                 prefixes.append(ordered[: len(h) - math.ceil(similarity * len(h) - 1e-6) + 1].view(np.int64))
             lists = pa.array(prefixes, pa.list_(pa.int64()))
-            arrays = [batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), lists]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "key", "n", "prefix"])
+            arrays = [batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), lists, pa.array(bits, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "key", "n", "prefix", "bits"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key binary, n int, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key binary, n int, prefix array<long>, bits binary")
+
+
+def parity_bits(h: np.ndarray) -> bytes:
+    """For each of at least 2 n places whether an odd number of the hashes falls on
+    it; a power of two of places, so that halves laid on each other are the bits of
+    half as many."""
+    places = 1 << max(6, (2 * len(h)).bit_length())
+    odd = np.bincount((h & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """Elements that two sets surely do not share: the places where their parity
+    bits differ, each of which an element of one of them alone has made."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) != len(y):
+        x, y = (x, y) if len(x) > len(y) else (y, x)
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _near_enough(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose parity bits do not rule the similarity out; a set and
+    one of that similarity differ in (1 - s) / (1 + s) of their elements at most."""
+    share = (1 - similarity) / (1 + similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = (c.to_pylist() for c in batch.columns[2:])
+            near = [least_difference(x, y) <= share * (n + m) + 1e-6 for n, x, m, y in zip(*columns, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    bits = sets.select("doc_id", "n", "bits")
+    sides = pairs.join(bits.toDF("b", "n_b", "bits_b"), "b").join(bits.toDF("a", "n_a", "bits_a"), "a")
+    return settle(sides.select("a", "b", "n_a", "bits_a", "n_b", "bits_b").mapInArrow(run, "a long, b long"), "near")
 
 
 def frequent_shingles(docs: DataFrame, size: int, share: int = 20, least: int = 4, most: int = 100_000) -> np.ndarray:
@@ -230,7 +266,7 @@ def near_duplicate_components(docs: DataFrame, size: int = 5, similarity: float
     shingles reaches ``similarity``; no such pair is missed.  Texts with equal
     sets collapse first.  The others emit the prefixes of their sets; texts that
     meet in a hash are candidates unless their sizes and places rule the
-    similarity out, and are judged by their sets.  First each bucket's smallest
+    similarity out, or parity bits of the sets do, and are judged by their sets.  First each bucket's smallest
     doc_id is judged with the others, then the pairs of members that are not yet
     in one group, buckets of more than ``block`` groups in blocks.
     Rows without doc_id take no part; of different texts under one doc_id the
@@ -250,7 +286,7 @@ def near_duplicate_components(docs: DataFrame, size: int = 5, similarity: float
     star = buckets.select(*ends, F.col("doc_id").alias("id_b"), F.col("n").alias("n_b"), F.col("i").alias("i_b"))
     star = star.where("id_a <> id_b").where(_possible(similarity)).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
     judged = settle(star.distinct(), "pairs")
-    links = _verified(judged, known, size, similarity)
+    links = _verified(_near_enough(judged, sets, similarity), known, size, similarity)
 
     roots = connected_components(links).withColumnRenamed("node", "doc_id")
     placed = buckets.where("held > 2").join(roots, "doc_id", "left").select("h", "doc_id", "n", "i", F.coalesce("root", "doc_id").alias("root"))
@@ -265,7 +301,7 @@ def near_duplicate_components(docs: DataFrame, size: int = 5, similarity: float
     rest = met.join(side("a"), ["h", "root_a"]).join(side("b"), ["h", "root_b"]).where(_possible(similarity))
     rest = rest.select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b")).distinct()
     rest = settle(rest.join(judged, ["a", "b"], "left_anti"), "pairs")
-    links = links.unionByName(_verified(rest, known, size, similarity))
+    links = links.unionByName(_verified(_near_enough(rest, sets, similarity), known, size, similarity))
 
     links = links.unionByName(copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
     roots = settle(connected_components(settle(links, "links")), "roots")

@@ -467,3 +467,13 @@ def test_fuzzy_passages_are_mostly_found(spark):
             docs += [text(20) + own + text(20), text(30) + [w if rng.random() > share else "changed" + str(rng.random()) for w in own] + text(10)]
         got = passages.repeated_passages(documents(spark, [" ".join(t) for t in docs])).collect()
         assert len({r["doc_id"] // 2 for r in got if r["doc_id"] != r["source_doc_id"]}) >= least
+
+
+def test_parity_bits_never_overstate_a_difference():
+    rng = np.random.default_rng(3)
+    for n, m, both in ((0, 0, 0), (1, 1, 1), (5, 9, 5), (100, 130, 90), (100, 90, 0), (3000, 2500, 2400), (33, 31, 30)):
+        pool = np.unique(rng.integers(0, 2**63, n + m - both, dtype=np.uint64))
+        a, b = pool[:n], pool[n - both :]
+        differ = len(set(a.tolist()) ^ set(b.tolist()))
+        found = simhash.least_difference(simhash.parity_bits(a), simhash.parity_bits(b))
+        assert found <= differ and (differ == 0 or found > differ / 4)
