@@ -487,8 +487,14 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.groupBy("region_id").agg(F.count("*").alias("c"), F.sum("det_idx").alias("ids"))
 
 
-@registered("overlay_labels", f"WITH regions AS ({S.REGIONS}) SELECT region_id, CAST(trunc((xmin + xmax) / 2) AS BIGINT) - 15 AS text_x, CAST(trunc((ymin + ymax) / 2) AS BIGINT) + 6 AS text_y, CAST(trunc((xmin + xmax) / 2) AS BIGINT) - 20 AS box_x1, CAST(trunc((ymin + ymax) / 2) AS BIGINT) - 11 AS box_y1, CAST(trunc((xmin + xmax) / 2) AS BIGINT) + 20 AS box_x2, CAST(trunc((ymin + ymax) / 2) AS BIGINT) + 11 AS box_y2 FROM regions")  # noqa: E501
+LABEL = {"text_x": "CAST(trunc((xmin + xmax) / 2) AS BIGINT) - 15", "text_y": "CAST(trunc((ymin + ymax) / 2) AS BIGINT) + 6", "box_x1": "CAST(trunc((xmin + xmax) / 2) AS BIGINT) - 20", "box_y1": "CAST(trunc((ymin + ymax) / 2) AS BIGINT) - 11", "box_x2": "CAST(trunc((xmin + xmax) / 2) AS BIGINT) + 20", "box_y2": "CAST(trunc((ymin + ymax) / 2) AS BIGINT) + 11"}  # noqa: E501
+
+
+@registered("overlay_labels", f"{D}, n AS (SELECT region_id, camera_id, count(*) AS c FROM det JOIN regions ON {INSIDE} GROUP BY ALL) SELECT camera_id, n.region_id, CAST(c AS VARCHAR) AS text, {', '.join(f'{v} AS {k}' for k, v in LABEL.items())} FROM n JOIN regions USING (region_id)")  # noqa: E501
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each camera's count in the middle of its region, with the box behind it."""
     cx, cy = G.centroid(F.col("polygon"))
-    box = G.label_box(cx, cy, F.lit(30), F.lit(12))
-    return regions.seed_regions(spark).select("region_id", *[v.alias(k) for k, v in box.items()])
+    places = G.label_box(cx, cy, F.lit(30), F.lit(12))
+    counts = regions.region_totals(_hits(spark, sf_dir, "each"))
+    rows = counts.join(regions.seed_regions(spark), "region_id")
+    return rows.select("camera_id", "region_id", F.col("c").cast("string").alias("text"), *[v.alias(k) for k, v in places.items()])

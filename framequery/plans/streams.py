@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from framequery.operators import ingest, regions, tracker
 from framequery.plans import synthetic as S
-from framequery.plans.catalog import INSIDE, TIMES, D, registered
+from framequery.plans.catalog import INSIDE, ISLANDS, RUN, TIMES, D, registered
 from framequery.sources import images, messages
 from framequery.sources.media import register
 from framequery.streaming import jobs, live
@@ -64,7 +64,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/out").select("camera_id", F.to_date("start").alias("day"), "n")
 
 
-@registered("stream_tracks")
+@registered("stream_tracks", f"{ISLANDS} SELECT camera_id, frame_no, det_idx, track_id, count(*) {RUN} AS length FROM isl")  # never more tracks than are remembered
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Track lengths from keyed state.  Every micro-batch here holds whole frames,
     so the newest ones are folded with it too."""
