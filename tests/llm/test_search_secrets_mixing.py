@@ -66,6 +66,23 @@ def test_widths_and_ties(spark):
     assert [(r["vec_id"], r["score"]) for r in got] == [(1, 6.0), (3, 2.0)]
 
 
+def test_no_neighbour_is_missed_on_rows_that_codes_fit_ill(spark):
+    """Tight clusters, a common offset, a few long vectors, one wide component."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(4, 24))
+    clusters = centres[rng.integers(0, 4, 3000)] + 1e-4 * rng.normal(size=(3000, 24))
+    offset = 50.0 + rng.normal(size=(3000, 24))
+    long = rng.normal(size=(3000, 24)) * np.where(np.arange(3000) % 97 == 0, 300.0, 1.0)[:, None]
+    wide = rng.normal(size=(3000, 24)) * np.r_[1000.0, np.ones(23)]
+    for x in (clusters, offset, long, wide):
+        rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        got = nearest.nearest(rows, rows.where("vec_id % 100 = 0")).orderBy("query_id", "rank").collect()
+        for q in range(0, 3000, 100):
+            exact = np.einsum("nd,nd->n", x, np.broadcast_to(x[q], x.shape))
+            exact[q] = -np.inf
+            assert [r["vec_id"] for r in got if r["query_id"] == q] == np.lexsort((np.arange(3000), -exact))[:20].tolist()
+
+
 def test_best_codes_and_their_ties():
     rng = np.random.default_rng(2)
     estimate = rng.integers(0, 6, (20, 30)).astype(np.float32)
