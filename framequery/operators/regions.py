@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framequery.functions import geometry as G
-from framequery.operators.grid import points_inside
+from framequery.operators.grid import points_inside, sums_inside
+from framequery.streaming.shared import written
 
 #: The two regions every run starts with (id, name, xmin, ymin, xmax, ymax).
 SEED_REGIONS = [(0, "left", 100.0, 150.0, 340.0, 450.0), (1, "right", 300.0, 150.0, 540.0, 450.0)]
@@ -52,6 +53,21 @@ def region_totals(hits: DataFrame) -> DataFrame:
     return hits.groupBy("region_id", "camera_id").agg(F.count("*").alias("c"))
 
 
+def region_sums(det: DataFrame, regions: DataFrame, sums: dict[str, Column]) -> DataFrame:
+    """region_id, c and the ``sums`` of whole numbers over the tracked detections
+    whose centre lies strictly inside a region; regions without any are left out.
+
+    No hit is listed: of many regions and many detections there would be as many as
+    the product of both.
+    """
+    tracked = det.where(F.col("track_id").isNotNull())
+    cx, cy = G.center(F.col("x1"), F.col("x2")), G.center(F.col("y1"), F.col("y2"))
+    corners = ["xmin", "ymin", "xmax", "ymax"]
+    areas = written(regions.select("region_id", *[F.col(c).cast("double").alias(c) for c in corners]), "areas")
+    found = written(sums_inside(tracked, cx, cy, areas, sums), "sums")
+    return areas.join(found, corners).groupBy("region_id").agg(*[F.sum(c).alias(c) for c in ("c", *sums)])
+
+
 def distinct_tracks(hits: DataFrame) -> DataFrame:
     return hits.groupBy("region_id").agg(F.countDistinct("camera_id", "track_id").alias("tracks"))
 

@@ -94,3 +94,20 @@ def test_segments_fold_apart(spark):
     assert cuts.select("segment").distinct().count() == 20 + 60
     got = {r["det_idx"]: r["length"] for r in tracks.bounded_tracks(det, 8).collect()}
     assert got == folded(keys(det), 8)
+
+
+def test_sums_do_not_list_the_hits(spark):
+    """Hundreds of millions of hits of 40,000 boxes and 30,000 regions, and odd regions."""
+    n, m = 40_000, 30_000
+    det = spark.range(n).selectExpr("0L AS camera_id", "id AS frame_no", "id AS det_idx", "1L AS track_id", "id % 50 - 25.0D AS x1", "id % 7 - 1.0D AS y1", "id % 50 - 24.0D AS x2", "id % 7 + 0.0D AS y2")
+    areas = spark.range(m).selectExpr("id AS region_id", "-30.0D - id % 9 AS xmin", "-2.0D AS ymin", "id % 60 - 29.5D AS xmax", "id % 8 - 0.5D AS ymax")
+    odd = spark.createDataFrame([(-1, 5.0, 0.0, 1.0, 9.0), (-2, None, 0.0, 9.0, 9.0), (-3, 0.5, 0.5, 0.5, 0.5), (-4, -1e9, -1e9, 1e9, 1e9), (-5, 90.0, 0.0, 91.0, 1.0), (-4, -1e9, -1e9, 1e9, 1e9)], "region_id long, xmin double, ymin double, xmax double, ymax double")
+    got = {r["region_id"]: (r["c"], r["ids"]) for r in regions.region_sums(det, areas.unionByName(odd), {"ids": F.col("det_idx")}).collect()}
+    i = np.arange(n)
+    x, y = i % 50 - 24.5, i % 7 - 0.5
+    by = {(a, b): ((x < a - 29.5) & (y < b - 0.5)) for a in range(60) for b in range(8)}
+    sums = {k: (int(v.sum()), int(i[v].sum())) for k, v in by.items()}
+    want = {r: sums[r % 60, r % 8] for r in range(m) if sums[r % 60, r % 8][0]} | {-4: (2 * n, n * (n - 1))}
+    assert got == want and sum(c for c, _ in want.values()) > 2e8
+    assert regions.region_sums(det.limit(0), areas, {"ids": F.col("det_idx")}).count() == 0
+    assert regions.region_sums(det, areas.limit(0), {"ids": F.col("det_idx")}).count() == 0
