@@ -111,7 +111,8 @@ def fold_frame(state: dict[int, int], track_ids: list[int], cap: int) -> tuple[l
         if len(state) > cap:
             del state[next(iter(state))]
             dropped += 1
-    for t in [t for t in state if t not in set(track_ids)]:
+    here = set(track_ids)
+    for t in [t for t in state if t not in here]:
         del state[t]
     return lengths, dropped
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,23 +49,22 @@ class TrackProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
         import json
 
-        known = json.loads(self.memory.get()[0]) if self.memory.exists() else {"done": -1, "tracks": [], "held": []}
-        held = [tuple(r) for r in known["held"]]
-        for batch in rows:
-            new = batch[["frame_no", "det_idx", "track_id"]].astype("int64")
-            held += [r for r in new.itertuples(index=False, name=None) if r[0] > known["done"]]
-        held.sort()
-        frames = sorted({r[0] for r in held})
-        ready = frames if self.flush else frames[:-1]
-        tracks, out = {t: n for t, n in known["tracks"]}, []
-        for frame in ready:
-            own = [r for r in held if r[0] == frame]
-            lengths, _ = fold_frame(tracks, [r[2] for r in own], self.cap)
-            out += [(key[0], *r, n) for r, n in zip(own, lengths, strict=True)]
-        done = ready[-1] if ready else known["done"]
-        state = {"done": int(done), "tracks": list(tracks.items()), "held": [r for r in held if r[0] > done]}
-        self.memory.update((json.dumps(state),))
-        yield pd.DataFrame(out, columns=["camera_id", "frame_no", "det_idx", "track_id", "length"])
+        known = json.loads(self.memory.get()[0]) if self.memory.exists() else {"done": None, "tracks": [], "held": []}
+        columns = ["frame_no", "det_idx", "track_id"]
+        parts = [np.array(known["held"], np.int64).reshape(-1, 3), *[batch[columns].to_numpy(np.int64) for batch in rows]]
+        held = np.concatenate(parts)
+        if known["done"] is not None:
+            held = held[held[:, 0] > known["done"]]
+        held = held[np.lexsort(held.T[::-1])]
+        ends = np.flatnonzero(np.diff(held[:, 0], append=held[-1:, 0] + 1)) + 1
+        ready = ends if self.flush else ends[:-1]
+        tracks, lengths, start, of_row = {t: n for t, n in known["tracks"]}, [], 0, held[:, 2].tolist()
+        for end in ready.tolist():
+            lengths += fold_frame(tracks, of_row[start:end], self.cap)[0]
+            start = end
+        done = int(held[start - 1, 0]) if start else known["done"]
+        self.memory.update((json.dumps({"done": done, "tracks": list(tracks.items()), "held": held[start:].tolist()}),))
+        yield pd.DataFrame(held[:start], columns=columns).assign(camera_id=key[0], length=np.array(lengths, np.int64))[["camera_id", *columns, "length"]]
 
     def close(self) -> None:
         pass

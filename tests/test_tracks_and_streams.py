@@ -84,3 +84,47 @@ def test_stream_equals_batch_with_a_frame_in_two_files(spark, tmp_path):
     newest = {c: max(r[1] for r in rows if r[0] == c) for c in {r[0] for r in rows}}
     want = folded(rows)
     assert got == {r[2]: want[r[2]] for r in rows if r[1] < newest[r[0]]}
+
+
+class _Kept:
+    """A value state without a stream."""
+
+    value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+
+def test_many_frames_in_one_micro_batch():
+    """One camera's batch is walked through once, not once a frame."""
+    import time
+
+    import pandas as pd
+
+    n = 30_000
+    rows = pd.DataFrame({"frame_no": [k // 2 for k in range(2 * n)], "det_idx": range(2 * n), "track_id": [k % 2 + 5 for k in range(2 * n)]})
+    processor = jobs.TrackProcessor()
+    processor.memory = _Kept()
+    start = time.monotonic()
+    out = pd.concat(processor.handleInputRows((3,), iter([rows.iloc[::-1]]), None))
+    assert time.monotonic() - start < 10
+    assert out["length"].tolist() == [k // 2 + 1 for k in range(2 * n - 2)] and set(out["camera_id"]) == {3}
+    late = list(processor.handleInputRows((3,), iter([rows.iloc[:4], rows.iloc[-1:].assign(frame_no=n + 1)]), None))
+    assert late[0]["length"].tolist() == [n, n]
+
+
+def test_a_batch_is_written_by_many_tasks_and_taken_whole(spark, tmp_path):
+    from pathlib import Path
+
+    from framequery.plans import streams
+
+    rows = spark.range(0, 4000, 1, 4).selectExpr("id % 1000 AS frame_no", "id % 4 AS camera_id")
+    out = streams._replay(spark, rows, str(tmp_path), "frame_no", lambda s: s.groupBy("camera_id").count(), "complete")
+    assert sorted(r["count"] for r in out.collect()) == [1000] * 4
+    assert len(list(Path(tmp_path, "in").glob("*.parquet"))) > 4
