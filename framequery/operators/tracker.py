@@ -45,8 +45,10 @@ class TrackerOptions:
 
 def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Intersection over union of (n, 4) and (m, 4) corners."""
-    sides = np.minimum(a[:, None, 2:], b[None, :, 2:]) - np.maximum(a[:, None, :2], b[None, :, :2])
-    inter = np.clip(sides, 0, None).prod(2)
+    sides = np.minimum(a[:, None, 2:], b[None, :, 2:])
+    sides -= np.maximum(a[:, None, :2], b[None, :, :2])
+    np.maximum(sides, 0, out=sides)
+    inter = sides[..., 0] * sides[..., 1]
     area = lambda x: (x[:, 2] - x[:, 0]) * (x[:, 3] - x[:, 1])
     union = area(a)[:, None] + area(b)[None, :] - inter
     return np.divide(inter, union, out=np.zeros_like(inter), where=union > 0)
@@ -54,12 +56,24 @@ def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def assignment(cost: np.ndarray, limit: float) -> list[tuple[int, int]]:
     """The (row, column) pairs that save most, where a pair saves ``limit - cost``:
-    shortest augmenting paths over rows that have any pair under the limit."""
-    gain = np.minimum(cost - limit, 0.0)
-    rows, cols = np.flatnonzero((gain < 0).any(1)), np.flatnonzero((gain < 0).any(0))
-    c = gain[np.ix_(rows, cols)]
-    if len(rows) > len(cols):
-        return sorted((i, j) for j, i in assignment(cost.T, limit))
+    who has no choice but each other at once, the rest by shortest augmenting paths."""
+    i, j = np.nonzero(cost < limit)
+    if not len(i):
+        return []
+    lone = (np.bincount(i)[i] == 1) & (np.bincount(j)[j] == 1)
+    if lone.all():
+        return list(zip(i.tolist(), j.tolist(), strict=True))
+    pairs = list(zip(i[lone].tolist(), j[lone].tolist(), strict=True))
+    rows, cols = np.unique(i[~lone]), np.unique(j[~lone])
+    pairs += [(int(rows[a]), int(cols[b])) for a, b in augmented(cost[np.ix_(rows, cols)], limit)]
+    return sorted(pairs)
+
+
+def augmented(cost: np.ndarray, limit: float) -> list[tuple[int, int]]:
+    """``assignment`` by shortest augmenting paths over all rows."""
+    c = np.minimum(cost - limit, 0.0)
+    if len(c) > c.shape[1]:
+        return sorted((i, j) for j, i in augmented(cost.T, limit))
     n, m = c.shape
     u, v, match = np.zeros(n + 1), np.zeros(m + 1), np.full(m + 1, n)
     for i in range(n):
@@ -81,8 +95,7 @@ def assignment(cost: np.ndarray, limit: float) -> list[tuple[int, int]]:
             match[at] = match[via[at]]
             at = int(via[at])
         match[m] = n
-    pairs = ((int(rows[match[j]]), int(cols[j])) for j in range(m) if match[j] < n)
-    return sorted((i, j) for i, j in pairs if cost[i, j] < limit)
+    return sorted((int(match[j]), j) for j in range(m) if match[j] < n and cost[match[j], j] < limit)
 
 
 @dataclass
@@ -106,8 +119,10 @@ class Tracks:
             setattr(self, name, getattr(self, name)[chosen])
 
     def corners(self) -> np.ndarray:
-        cx, cy, ratio, h = self.motion[:, :, 0].T
-        return np.column_stack([cx - ratio * h / 2, cy - h / 2, cx + ratio * h / 2, cy + h / 2])
+        centre, (ratio, h) = self.motion[:, :2, 0], self.motion[:, 2:, 0].T
+        half = np.empty_like(centre)
+        half[:, 0], half[:, 1] = ratio * h / 2, h / 2
+        return np.concatenate([centre - half, centre + half], axis=1)
 
     def to_dict(self) -> dict:
         return {k: v.tolist() if isinstance(v, np.ndarray) else v for k, v in vars(self).items()}
@@ -120,16 +135,22 @@ class Tracks:
 
 
 def _noise(height: np.ndarray, place: float, speed: float, ratio: tuple[float, float]) -> tuple[np.ndarray, np.ndarray]:
-    h = np.repeat(height[:, None], 4, 1)
-    values, speeds = h * place, h * speed
-    values[:, 2], speeds[:, 2] = ratio
-    return values**2, speeds**2
+    out = np.empty((2, len(height), 4))
+    out[0], out[1] = (height * place)[:, None], (height * speed)[:, None]
+    out[0, :, 2], out[1, :, 2] = ratio
+    out *= out
+    return out[0], out[1]
 
 
 def measured(corners: np.ndarray) -> np.ndarray:
-    w, h = corners[:, 2] - corners[:, 0], corners[:, 3] - corners[:, 1]
-    ratio = np.divide(w, h, out=np.ones_like(w), where=h > 0)
-    return np.column_stack([corners[:, 0] + w / 2, corners[:, 1] + h / 2, ratio, h])
+    out = np.empty((len(corners), 4))
+    side = corners[:, 2:] - corners[:, :2]
+    w, h = side.T
+    out[:, :2] = corners[:, :2] + side / 2
+    out[:, 2] = 1.0
+    np.divide(w, h, out=out[:, 2], where=h > 0)
+    out[:, 3] = h
+    return out
 
 
 def predict(t: Tracks) -> None:
@@ -163,31 +184,39 @@ def step(t: Tracks, frame: int, boxes: np.ndarray, conf: np.ndarray, o: TrackerO
     predict(t)
     met = np.zeros(len(t.ids), bool)
     started = not len(t.ids)
+    # a track is corrected once a frame, so what the later stages compare is as predicted
+    like, z = overlaps(t.corners(), boxes), measured(boxes)
 
     def assign(tracks: np.ndarray, some: np.ndarray, limit: float, by_score: bool) -> np.ndarray:
         """Matches; the boxes of ``some`` that are left."""
         if not len(tracks) or not len(some):
             return some
-        like = overlaps(t.corners()[tracks], boxes[some])
-        pairs = assignment(1 - like * (conf[some] if by_score else 1.0), limit)
-        if pairs:
-            i, j = tracks[[p[0] for p in pairs]], some[[p[1] for p in pairs]]
-            correct(t, i, measured(boxes[j]))
-            given[j], met[i] = t.ids[i], True
-            t.last[i], t.sure[i] = frame, True
-        return some[[k for k in range(len(some)) if k not in {p[1] for p in pairs}]]
+        close = like[tracks[:, None], some]
+        pairs = assignment(1 - (close * conf[some] if by_score else close), limit)
+        if not pairs:
+            return some
+        at, which = np.array(pairs).T
+        i, j = tracks[at], some[which]
+        correct(t, i, z[j])
+        given[j], met[i] = t.ids[i], True
+        t.last[i], t.sure[i] = frame, True
+        left = np.ones(len(some), bool)
+        left[which] = False
+        return some[left]
 
     seen, sure = t.seen.copy(), t.sure.copy()
     left = assign(np.flatnonzero(sure), confident, o.match, True)
     assign(np.flatnonzero(sure & seen & ~met), doubtful, o.doubtful, False)
     left = assign(np.flatnonzero(~sure), left, o.fresh, True)
     t.seen = met
-    t.keep(met | (sure & (frame - t.last <= o.memory * o.every)))
+    stays = met | (sure & (frame - t.last <= o.memory * o.every))
+    if not stays.all():
+        t.keep(stays)
     fresh = left[conf[left] >= o.new]
     if len(fresh):
-        z = measured(boxes[fresh])
-        place, speed = _noise(z[:, 3], 2 * PLACE, 10 * SPEED, (1e-2, 1e-5))
-        motion = np.stack([z, np.zeros_like(z), place, np.zeros_like(z), speed], axis=2)
+        born = z[fresh]
+        place, speed = _noise(born[:, 3], 2 * PLACE, 10 * SPEED, (1e-2, 1e-5))
+        motion = np.stack([born, np.zeros_like(born), place, np.zeros_like(born), speed], axis=2)
         ids = t.issued + 1 + np.arange(len(fresh))
         n = len(fresh)
         added = {"ids": ids, "seen": np.ones(n, bool), "sure": np.full(n, started), "first": np.full(n, frame), "last": np.full(n, frame), "motion": motion}
@@ -205,7 +234,10 @@ def _drop_twins(t: Tracks, o: TrackerOptions) -> None:
     """Of a kept and a lost track at one place the younger goes."""
     kept, lost = np.flatnonzero(t.seen & t.sure), np.flatnonzero(~t.seen)
     if len(kept) and len(lost):
-        i, j = np.nonzero(overlaps(t.corners()[kept], t.corners()[lost]) > o.twin)
+        corners = t.corners()
+        i, j = np.nonzero(overlaps(corners[kept], corners[lost]) > o.twin)
+        if not len(i):
+            return
         older = (t.last - t.first)[kept[i]] > (t.last - t.first)[lost[j]]
         gone = np.zeros(len(t.ids), bool)
         gone[lost[j[older]]] = gone[kept[i[~older]]] = True
@@ -222,6 +254,16 @@ def advance(t: Tracks, frame: int, boxes: np.ndarray, conf: np.ndarray, o: Track
     return step(t, frame, boxes, conf, o)
 
 
+def fold_frames(t: Tracks, frames: np.ndarray, boxes: np.ndarray, conf: np.ndarray, o: TrackerOptions) -> np.ndarray:
+    """The track of each box of rows in order of their frames, 0 for none; ``t`` becomes
+    the state after the last."""
+    given, start = np.zeros(len(frames), np.int64), 0
+    for end in (np.flatnonzero(np.diff(frames)) + 1).tolist() + [len(frames)] * bool(len(frames)):
+        given[start:end] = advance(t, int(frames[start]), boxes[start:end], conf[start:end], o)
+        start = end
+    return given
+
+
 def segments(det: DataFrame, o: TrackerOptions = TrackerOptions()) -> DataFrame:
     """camera_id, frame_no, segment: the frames with boxes that count, numbered on
     where so many empty ones come before that no track can be left."""
@@ -242,31 +284,35 @@ def track_assign(det: DataFrame, options: TrackerOptions = TrackerOptions()) ->
     columns = [c for c in det.columns if c != "track_id"]
     usable = det.where(F.col("conf") >= options.low).dropna(subset=["camera_id", "frame_no", "det_idx", *BOX])
     rows = usable.select("camera_id", "frame_no", "det_idx", "conf", *BOX).join(segments(usable, options), ["camera_id", "frame_no"])
-    ordered = rows.repartition("camera_id", "segment").sortWithinPartitions("camera_id", "segment", "frame_no", "det_idx")
+    # ranges, so that cameras do not share a task by chance; a given number is not merged again
+    parts = int(det.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = written(rows, "boxes").repartitionByRange(parts, "camera_id", "segment").sortWithinPartitions("camera_id", "segment", "frame_no", "det_idx")
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, tracks, held = None, Tracks(), []
-
-        def close() -> pd.DataFrame:
-            """Folds the frame that is held."""
-            if not held:
-                return pd.DataFrame(columns=["camera_id", "segment", "frame_no", "det_idx", "local", "issued"], dtype="int64")
-            frame = pd.concat(held)
-            local = advance(tracks, int(frame["frame_no"].iloc[0]), frame[BOX].to_numpy(float), frame["conf"].to_numpy(float), options)
-            return frame[["camera_id", "segment", "frame_no", "det_idx"]].assign(local=local, issued=tracks.issued)
+        key, tracks, held = None, Tracks(), None
+
+        def folded(part: pd.DataFrame) -> pd.DataFrame:
+            """Folds whole frames, segment by segment."""
+            nonlocal key, tracks
+            of = part[["camera_id", "segment"]].to_numpy(np.int64)
+            frames, boxes, conf = part["frame_no"].to_numpy(np.int64), part[BOX].to_numpy(float), part["conf"].to_numpy(float)
+            local, issued, start = np.zeros(len(part), np.int64), np.zeros(len(part), np.int64), 0
+            for end in (np.flatnonzero((of[1:] != of[:-1]).any(1)) + 1).tolist() + [len(part)] * bool(len(part)):
+                if (at := tuple(of[start])) != key:
+                    key, tracks = at, Tracks()
+                local[start:end] = fold_frames(tracks, frames[start:end], boxes[start:end], conf[start:end], options)
+                issued[start:end] = tracks.issued
+                start = end
+            return part[["camera_id", "segment", "frame_no", "det_idx"]].assign(local=local, issued=issued)
 
         for batch in batches:
-            out = []
-            for at, part in batch.groupby(["camera_id", "segment", "frame_no"], sort=False):
-                if held and at != key:
-                    out.append(close())
-                    held = []
-                    tracks = tracks if at[:2] == key[:2] else Tracks()
-                key = at
-                held.append(part)
-            if out:
-                yield pd.concat(out)
-        yield close()
+            part = batch if held is None else pd.concat([held, batch])
+            if len(part):
+                same = (part[["camera_id", "segment", "frame_no"]].to_numpy() == part[["camera_id", "segment", "frame_no"]].iloc[-1].to_numpy()).all(1)
+                held = part[same]  # the last frame may go on
+                yield folded(part[~same])
+        if held is not None:
+            yield folded(held)
 
     kinds = "camera_id long, segment long, frame_no long, det_idx long, local long, issued long"
     found = written(ordered.mapInPandas(fold, kinds), "tracks")

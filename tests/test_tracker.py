@@ -204,3 +204,40 @@ def test_stream_equals_batch_with_a_frame_in_two_files(spark, tmp_path, made):
     newest = {c: max(r["frame_no"] for r in want if r["camera_id"] == c) for c in {r["camera_id"] for r in want}}
     assert got == {(r["camera_id"], r["det_idx"]): r["track_id"] for r in want if r["frame_no"] < newest[r["camera_id"]]}
     assert sum(t is not None for t in got.values()) > 50
+
+
+def test_cameras_fold_side_by_side(spark, monkeypatch):
+    """However little they hold, cameras are not merged into one task."""
+    places = []
+
+    def spy(df, label):
+        if label == "tracks":
+            places.append(df.groupBy(F.spark_partition_id()).count().count())
+        return written(df, label)
+
+    written = tracker.written
+    monkeypatch.setattr(tracker, "written", spy)
+    det = spark.range(400).selectExpr("id % 4 AS camera_id", "id DIV 4 AS frame_no", "id AS det_idx", "0.9D AS conf", "0.0D AS x1", "0.0D AS y1", "10.0D AS x2", "10.0D AS y2")
+    assert tracker.track_assign(det).where("track_id = 1").count() == 400
+    assert places == [4]
+
+
+def test_a_batch_of_frames_is_one_table():
+    """The stream's processor gives a micro-batch's rows at once, as the batch fold does."""
+    import pandas as pd
+
+    from framequery.streaming.jobs import AssignProcessor
+    from tests.test_tracks_and_streams import _Kept
+
+    rows = pd.DataFrame({"frame_no": range(50), "det_idx": range(50), "conf": 0.9, "x1": 0.0, "y1": 0.0, "x2": 10.0, "y2": 10.0})
+    processor = AssignProcessor(tracker.TrackerOptions(), flush=True)
+    processor.memory = _Kept()
+    out = list(processor.handleInputRows((0,), iter([rows[:30], rows[30:]]), None))
+    assert len(out) == 1 and out[0]["track_id"].tolist() == [1] * 50
+
+
+def test_who_has_no_choice_is_assigned_as_by_paths():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        cost = np.where(rng.random((7, 9)) < 0.2, rng.random((7, 9)) * 0.7, 1.0)
+        assert tracker.assignment(cost, 0.8) == tracker.augmented(cost, 0.8)
