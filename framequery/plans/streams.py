@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from framequery.plans.catalog import INSIDE, ISLANDS, RUN, TIMES, D, registered
 from framequery.sources import images, messages
 from framequery.sources.media import register
 from framequery.streaming import jobs, live
-from framequery.streaming.shared import shared_dir
+from framequery.streaming.shared import shared_dir, written
 
 
 def _folder(spark: SparkSession) -> str:
@@ -30,25 +31,33 @@ def _ntz(rows: DataFrame) -> DataFrame:
     return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("last_ts", "gap_at")})
 
 
-def _replayed(spark: SparkSession, rows: DataFrame, folder: str, order: str, files: int = 4) -> DataFrame:
-    """A stream of ``rows`` in several files, one a micro-batch, by ``order``.
+#: Rows of a micro-batch; what one camera's state holds at once is a part of it.
+ROWS_A_BATCH = 4_000_000
 
-    The files are written one after the other, as a stream takes them by age.
+
+def _replay(spark: SparkSession, rows: DataFrame, folder: str, order: str, operator: Callable[[DataFrame], DataFrame], mode: str = "append", batches: int = 4) -> DataFrame:  # noqa: E501
+    """What ``operator`` makes of a stream of ``rows`` that come by ``order`` in at
+    least so many micro-batches.
+
+    A batch is written by as many tasks as it takes and then taken up whole, from the
+    checkpoint of the one before, so rows of one ``order`` are never parted.
     """
-    last = rows.agg(F.max(order)).first()[0]
-    share = F.least(F.floor(F.col(order) * files / F.lit((last or 0) + 1)), F.lit(files - 1))
-    for k in range(files):
-        rows.where(share == k).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    rows = written(rows, "replayed")
+    last, n = rows.agg(F.max(order), F.count("*")).first()
+    batches = max(batches, -(-n // ROWS_A_BATCH))
+    share = F.least(F.floor(F.col(order) * batches / F.lit((last or 0) + 1)), F.lit(batches - 1))
+    for k in range(batches):
+        rows.where(share == k).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+        jobs.run_to_end(operator(stream), f"{folder}/out", f"{folder}/checkpoint", mode)
+    return spark.read.parquet(f"{folder}/out")
 
 
 @registered("stream_region_counts", f"{D} SELECT region_id, camera_id, count(*) AS c FROM det JOIN regions ON {INSIDE} GROUP BY ALL")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _folder(spark)
-    stream = _replayed(spark, S.det(spark, sf_dir), folder, "frame_no")
-    totals = jobs.streaming_region_totals(stream, regions.seed_regions(spark))
-    jobs.run_to_end(totals, f"{folder}/out", f"{folder}/checkpoint", "complete")
-    return spark.read.parquet(f"{folder}/out")
+    totals = lambda stream: jobs.streaming_region_totals(stream, regions.seed_regions(spark))
+    return _replay(spark, S.det(spark, sf_dir), folder, "frame_no", totals, "complete")
 
 
 DAYS = "SELECT camera_id, date_trunc('day', ts) AS start, count(*) AS n FROM (SELECT event_id % 4 AS camera_id, ts FROM events) GROUP BY ALL"
@@ -59,9 +68,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows that the watermark has closed: the last day's stay open."""
     folder = _folder(spark)
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select((F.col("event_id") % 4).alias("camera_id"), "event_id", "ts")
-    stream = _replayed(spark, events, folder, "event_id")
-    jobs.run_to_end(jobs.tumbling_counts(stream), f"{folder}/out", f"{folder}/checkpoint")
-    return spark.read.parquet(f"{folder}/out").select("camera_id", F.to_date("start").alias("day"), "n")
+    return _replay(spark, events, folder, "event_id", jobs.tumbling_counts).select("camera_id", F.to_date("start").alias("day"), "n")
 
 
 @registered("stream_tracks", f"{ISLANDS} SELECT camera_id, frame_no, det_idx, track_id, count(*) {RUN} AS length FROM isl")  # never more tracks than are remembered
@@ -70,9 +77,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     so the newest ones are folded with it too."""
     folder = _folder(spark)
     _rocks(spark)
-    stream = _replayed(spark, S.det(spark, sf_dir), folder, "frame_no")
-    jobs.run_to_end(jobs.streaming_tracks(stream, flush=True), f"{folder}/out", f"{folder}/checkpoint")
-    return spark.read.parquet(f"{folder}/out")
+    return _replay(spark, S.det(spark, sf_dir), folder, "frame_no", lambda stream: jobs.streaming_tracks(stream, flush=True))
 
 
 @registered("stream_track_assign")
@@ -80,9 +85,8 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tracker from keyed state; whole frames, so the newest are folded too."""
     folder = _folder(spark)
     _rocks(spark)
-    stream = _replayed(spark, S.view(spark, sf_dir, S.DET_MOVING), folder, "frame_no")
-    jobs.run_to_end(jobs.streaming_assign(stream, tracker.TrackerOptions(), flush=True), f"{folder}/out", f"{folder}/checkpoint")
-    return spark.read.parquet(f"{folder}/out")
+    assign = lambda stream: jobs.streaming_assign(stream, tracker.TrackerOptions(), flush=True)
+    return _replay(spark, S.view(spark, sf_dir, S.DET_MOVING), folder, "frame_no", assign)
 
 
 #: Cameras that answer now and then.
@@ -102,9 +106,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same from event-time timers."""
     folder = _folder(spark)
     _rocks(spark)
-    stream = _replayed(spark, S.view(spark, sf_dir, SIGNALS), folder, "event_id")
-    jobs.run_to_end(live.streaming_gaps(stream, timedelta(hours=2), "1 hour"), f"{folder}/out", f"{folder}/checkpoint")
-    return _ntz(spark.read.parquet(f"{folder}/out"))
+    return _ntz(_replay(spark, S.view(spark, sf_dir, SIGNALS), folder, "event_id", lambda stream: live.streaming_gaps(stream, timedelta(hours=2), "1 hour")))
 
 
 STEPS = "SELECT camera_id, frame_no, row_number() OVER (PARTITION BY camera_id ORDER BY frame_no) AS step FROM (SELECT DISTINCT camera_id, frame_no FROM det)"
@@ -116,9 +118,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All cameras' n-th frames together, from keyed state."""
     folder = _folder(spark)
     _rocks(spark)
-    stream = _replayed(spark, S.view(spark, sf_dir, S.FRAMES), folder, "frame_no")
-    jobs.run_to_end(live.streaming_zip(stream, [0, 1, 2, 3]), f"{folder}/out", f"{folder}/checkpoint")
-    return spark.read.parquet(f"{folder}/out")
+    return _replay(spark, S.view(spark, sf_dir, S.FRAMES), folder, "frame_no", lambda stream: live.streaming_zip(stream, [0, 1, 2, 3]))
 
 
 @registered("stream_messages", f"SELECT camera_id, frame_no, preprocess, inference, postprocess FROM ({TIMES})")
