@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StringType, StructField, StructType
 
 from framequery.operators.regions import region_hits
-from framequery.operators.tracker import BOX, TrackerOptions, Tracks, advance
+from framequery.operators.tracker import BOX, TrackerOptions, Tracks, fold_frames
 from framequery.operators.tracks import fold_frame
 
 TRACK_ROWS = "camera_id long, frame_no long, det_idx long, track_id long, length long"
@@ -101,17 +101,17 @@ class AssignProcessor(StatefulProcessor):
         if known["done"] is not None:
             held = held[held["frame_no"] > known["done"]]
         newest = held["frame_no"].max() if len(held) else None
-        tracks, out = Tracks.from_dict(known["tracks"]), []
+        tracks = Tracks.from_dict(known["tracks"])
         ready = held if self.flush else held[held["frame_no"] < newest]
-        for frame, own in ready.groupby("frame_no"):
-            ids = advance(tracks, int(frame), own[BOX].to_numpy(float), own["conf"].to_numpy(float), self.options)
-            out.append(own[["frame_no", "det_idx"]].astype("int64").assign(camera_id=key[0], track_id=pd.array(ids, "Int64")))
-        done = int(ready["frame_no"].max()) if len(ready) else known["done"]
+        frames = ready["frame_no"].to_numpy(np.int64)
+        ids = fold_frames(tracks, frames, ready[BOX].to_numpy(float), ready["conf"].to_numpy(float), self.options)
+        done = int(frames[-1]) if len(frames) else known["done"]
         rest = held.loc[held.index[:0]] if self.flush else held[held["frame_no"] == newest]
         self.memory.update((json.dumps({"done": done, "tracks": tracks.to_dict(), "held": rest.astype(float).values.tolist()}),))
-        for rows_out in out:
-            rows_out["track_id"] = rows_out["track_id"].mask(rows_out["track_id"] == 0)
-            yield rows_out[["camera_id", "frame_no", "det_idx", "track_id"]]
+        if len(frames):
+            out = ready[["frame_no", "det_idx"]].astype("int64").assign(camera_id=key[0], track_id=pd.array(ids, "Int64"))
+            out["track_id"] = out["track_id"].mask(out["track_id"] == 0)
+            yield out[["camera_id", "frame_no", "det_idx", "track_id"]]
 
     def close(self) -> None:
         pass
