@@ -28,9 +28,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of copies and near copies (operator 7) stays, the
-    one with the smallest doc_id; rows without doc_id pass.  Links are sets of
-    five-word shingles of a Jaccard similarity of 0.8, found by shared prefixes, as
-    fingerprints lose a third of them."""
+    one with the smallest doc_id; rows without doc_id pass.  Links are fingerprints
+    that differ in 2 bits at most and, as these lose a third of them, sets of five-word
+    shingles of a Jaccard similarity of 0.8, found by shared prefixes."""
     return simhash.drop_near_duplicates(docs)
 
 

@@ -112,6 +112,19 @@ def test_near_duplicates_go_and_others_stay(spark):
     assert again == sorted([0, 3, 4, 5, 6, 7, -1])
 
 
+def test_near_duplicates_by_fingerprints_and_by_sets(spark):
+    """0 and 1 have one fingerprint but few shingles in common, 1 and 2 have the same
+    set in other numbers: only both ways together make them one group."""
+    words = lambda n, c: " ".join(f"{c}{i}" for i in range(n))
+    often = " ".join(["one two three four five"] * 400)
+    texts = [f"{often} {words(30, 'x')}", f"{often} {words(30, 'y')}", f"{' '.join(['one two three four five'] * 2)} {words(30, 'y')}", words(60, "z")]
+    docs = documents(spark, texts)
+    prints = [simhash.fingerprint_bits(t, 3, [42]) for t in texts]
+    assert (prints[0] != prints[1]).sum() <= 2 and (prints[1] != prints[2]).sum() > 2
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_duplicate_components(docs).collect()} == {1: 1, 2: 1}
+    assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()) == [0, 3]
+
+
 def test_crowded_near_duplicates_link(spark):
     rng = np.random.default_rng(6)
     words = list(dict.fromkeys(rng.choice([f"w{i}" for i in range(5000)], 300)))
