@@ -1,16 +1,16 @@
 """Substring dedup by collinear chaining of shared k-mer seeds.
 
 Every whole text gives k-mer seeds of words (the minimisers of its sliding
-windows), and at each of them a long seed of so many words that any exact shared
-run of ``min_words`` words holds a whole one.  Both are joined by hash, each
-occurrence with the first document that has it and with the HOLDERS last ones
-before its own, so matches grow with n documents, not n^2.  Where a long seed has
-more holders, the runs of ``min_words`` words around it are hashed whole and joined
-with the first document that has them, which shares all of their words: no exact
-run is missed, however many documents hold a part of it.  The matches of a
-document and such a source are chained in order with gap costs through a Fenwick
-tree, and each chain is aligned word by word, which finds passages that differ
-in single words.
+windows).  A seed that at most HOLDERS + 1 documents have is joined among all of
+them.  An occurrence of a crowded one is joined with the first document that has it
+and with the HOLDERS last ones before its own, so matches grow with n documents, not
+n^2; what this leaves out is made up for twice.  Runs of ``min_words`` words with too few
+uncrowded seeds are hashed whole and joined with the first document that has them,
+which shares all of their words: no exact run is missed.  And a crowded seed that
+lies in no passage found by then is compared with all of its holders that share a
+second seed at some distance with it (``left_open``).  The matches of a document and
+a source are chained in order with gap costs through a Fenwick tree, and each chain
+is aligned word by word, which finds passages that differ in single words.
 """
 
 from __future__ import annotations
@@ -45,11 +45,12 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
-def seeds(one: np.ndarray, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and places of the minimisers of a text whose words hash to ``one``;
-    a shared run of k + window - 1 words always shares one."""
+def seeds(one: np.ndarray, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and places of the minimisers of a text whose words hash to ``one``,
+    whether each goes on a run of itself, and whether it is of such a run at all; a shared run of k + window - 1 words always
+    shares one."""
     if len(one) < k:
-        return np.empty(0, np.int64), np.empty(0, np.int32)
+        return np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, bool), np.empty(0, bool)
     n = len(one) - k + 1
     h = np.zeros(n, np.uint64)
     for j in range(k):
@@ -60,22 +61,27 @@ def seeds(one: np.ndarray, k: int = K, window: int = WINDOW) -> tuple[np.ndarray
         at = np.array([h.argmin()])
     else:
         view = np.lib.stride_tricks.sliding_window_view(h, window)
-        at = np.unique(view.argmin(1) + np.arange(len(view)))
-    return numbered_in_runs(h[at], at).view(np.int64), at.astype(np.int32)
+        at = view.argmin(1) + np.arange(len(view))
+        at = at[np.append(True, at[1:] != at[:-1])]
+    h, again, runs = numbered_in_runs(h[at], at)
+    return h.view(np.int64), at.astype(np.int32), again, runs
 
 
-def numbered_in_runs(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+def numbered_in_runs(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """In a run of one repeated seed ("no no no ...") the n-th is told from the
-    others, so that such runs match in order too."""
+    others, so that such runs match in order too; true for all but the first, and
+    true for all."""
     order = np.lexsort((at, h))
     own, place = h[order], at[order]
     starts = np.ones(len(h), bool)
     starts[1:] = (own[1:] != own[:-1]) | (place[1:] - place[:-1] > K + WINDOW)
     index = np.arange(len(h))
     number = index - np.maximum.accumulate(np.where(starts, index, 0))
-    out = h.copy()
+    out, again, runs = h.copy(), np.zeros(len(h), bool), np.zeros(len(h), bool)
     out[order] = own ^ (number.astype(np.uint64) * MIX)
-    return out
+    again[order] = number > 0
+    runs[order] = (number > 0) | (np.append(number[1:], 0) > 0)
+    return out, again, runs
 
 
 def long_seeds(one: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,28 +96,32 @@ def long_seeds(one: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray
     return (h ^ (h >> np.uint64(29))).view(np.int64), at.astype(np.int32)
 
 
-def windows_around(one: np.ndarray, at: np.ndarray, length: int, whole: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and places of all runs of ``whole`` words that hold one of the runs of
-    ``length`` words at the places ``at``."""
-    starts = np.unique(np.asarray(at, np.int64)[:, None] - np.arange(whole - length + 1)[None, :])
-    return long_seeds(one, starts[starts >= 0], whole)
+def bare_windows(one: np.ndarray, places: np.ndarray, whole: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and places of the runs of ``whole`` words without two seeds, other than
+    those at ``places``, so far apart that a chain of both counts."""
+    at = seeds(one)[1]
+    telling = at[~np.isin(at, places)]
+    starts = np.arange(max(len(one) - whole + 1, 0))
+    lo, hi = np.searchsorted(telling, starts), np.searchsorted(telling, starts + whole - K, "right") - 1
+    bare = lo >= hi
+    bare[~bare] = telling[hi[~bare]] - telling[lo[~bare]] < whole // 3 - K
+    return long_seeds(one, starts[bare], whole)
 
 
-def crowded_matches(docs: DataFrame, found: DataFrame, length: int, whole: int) -> DataFrame:
-    """(doc_id, source, at, s_at, long): for each run of ``whole`` words around a
-    long seed of more documents than ``with_holders`` compares all of, the first
-    document that has the run, as two long matches at its ends."""
-    spots = found.where("long")
-    crowded = spots.groupBy("h").agg(F.count(F.when(F.col("first"), 1)).alias("docs")).where(F.col("docs") > HOLDERS + 1).select("h")
-    crowded = broadcast_if_small(settle(crowded, "crowded"))
-    places = settle(spots.join(crowded, "h").groupBy("doc_id").agg(F.collect_set("at").alias("places")), "places")
-    held = docs.select("doc_id", "text").join(broadcast_if_small(places), "doc_id")
+def crowded_matches(docs: DataFrame, seeded: DataFrame, whole: int) -> DataFrame:
+    """(doc_id, source, at, s_at, long): for each run of ``bare_windows`` the first
+    document that has it, as a long match.  Between any two seeds of a text lie less
+    than WINDOW places, so one that is left out alone leaves no such run."""
+    places = seeded.where("bare").groupBy("doc_id").agg(F.collect_set("at").alias("places"))
+    if whole > 3 * WINDOW + whole // 3:
+        places = places.where(F.size("places") > 1)
+    held = docs.select("doc_id", "text").join(broadcast_if_small(settle(places, "places")), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, hashes, starts = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
             for d, t, at in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                h, place = windows_around(word_hashes(words_of(t.as_py())), at, length, whole)
+                h, place = bare_windows(word_hashes(words_of(t.as_py())), np.array(at, np.int32), whole)
                 _, once = np.unique(h, return_index=True)
                 ids.append(np.full(len(once), d, np.int64))
                 hashes.append(h[once])
@@ -122,31 +132,125 @@ def crowded_matches(docs: DataFrame, found: DataFrame, length: int, whole: int)
     first = windows.groupBy("h").agg(F.min(F.struct(F.col("doc_id").alias("source"), F.col("at").alias("s_at"))).alias("f"), F.count("*").alias("docs"))
     first = broadcast_if_small(settle(first.where("docs > 1").select("h", "f.source", "f.s_at"), "first"))
     met = windows.join(first, "h").where("doc_id <> source")
-    ends = F.explode(F.array(F.lit(0), F.lit(whole - length))).alias("on")
-    return met.select("doc_id", "source", "at", "s_at", ends).selectExpr("doc_id", "source", "at + on AS at", "s_at + on AS s_at", "true AS long")
+    return met.select("doc_id", "source", "at", "s_at", F.lit(True).alias("long"))
 
 
-def seed_table(docs: DataFrame, length: int) -> DataFrame:
-    """(doc_id, h, at, long, first): the seeds and the long seeds; ``first`` of
-    that hash in the document."""
+def seed_table(docs: DataFrame) -> DataFrame:
+    """(doc_id, h, at, first, again, bare): the seeds; ``first`` of that hash in the
+    document, ``again`` where it goes on a run of itself, ``bare`` in all of a run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts: list[list[np.ndarray]] = [[], [], [], [], []]
+            parts: list[list[np.ndarray]] = [[], [], [], [], [], []]
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                one = word_hashes(words_of(t.as_py()))
-                short = seeds(one)
-                whole = long_seeds(one, short[1], length)
-                h, at = map(np.concatenate, zip(short, whole, strict=True))
+                h, at, again, runs = seeds(word_hashes(words_of(t.as_py())))
                 first = np.zeros(len(h), bool)
                 first[np.unique(h, return_index=True)[1]] = True
-                is_long = np.arange(len(h)) >= len(short[0])
-                for part, values in zip(parts, (np.full(len(h), d, np.int64), h, at, is_long, first), strict=True):
+                for part, values in zip(parts, (np.full(len(h), d, np.int64), h, at, first, again, runs), strict=True):
                     part.append(values)
             if parts[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in parts], ["doc_id", "h", "at", "long", "first"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in parts], ["doc_id", "h", "at", "first", "again", "bare"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, h long, at int, first boolean, again boolean, bare boolean")
+
+
+def met_in_group(doc: np.ndarray, h: np.ndarray, at: np.ndarray, first: np.ndarray, again: np.ndarray, bare: np.ndarray, crowd: int) -> list[np.ndarray]:
+    """Columns of ``meetings`` from whole groups of rows in order of h, doc and place."""
+    new = np.append(True, h[1:] != h[:-1])
+    group = np.cumsum(new) - 1
+    docs = np.bincount(group, first).astype(np.int32)[group]
+    heads = np.flatnonzero(first)
+    rank = np.cumsum(first) - 1  # of the row's document among all heads
+    least = rank[np.flatnonzero(new)][group]  # that of its group's first document
+    bare = (docs > crowd) | (np.bincount(group, bare)[group] > 0)
+    keep = np.flatnonzero((docs > 1) | bare)
+    rows, sources = [keep], [np.full(len(keep), -1)]
+    for t in range(crowd - 1):
+        later = np.flatnonzero((docs <= crowd) & (rank - least > t))
+        rows.append(later)
+        sources.append(heads[least[later] + t])
+    row, source = np.concatenate(rows), np.concatenate(sources)
+    return [doc[row], h[row], at[row], first[row], again[row], bare[row], docs[row], np.where(source < 0, -1, at[source]), np.where(source < 0, 0, doc[source])]
+
+
+def meetings(seeded: DataFrame) -> DataFrame:
+    """(doc_id, h, at, first, again, bare, docs, s_at, source) of two kinds.  With s_at
+    -1: each occurrence of a seed of several documents, or that is of a run anywhere,
+    with the number of documents that have it (past HOLDERS + 1 not counted in full);
+    ``bare`` if it is crowded or of a run anywhere, so may not meet all others.  Other
+    rows: each occurrence of a seed of HOLDERS + 1 documents at most with each
+    document before its own that has it.
+
+    Rows come in order of their seed; only what may belong to an unfinished seed of
+    few documents is held from one batch to the next."""
+    crowd = HOLDERS + 1
+    names = ["doc_id", "h", "at", "first", "again", "bare", "docs", "s_at", "source"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(cols: list[np.ndarray]) -> pa.RecordBatch:
+            kinds = (np.int64, np.int64, np.int32, bool, bool, bool, np.int32, np.int32, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(c.astype(k)) for c, k in zip(cols, kinds, strict=True)], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, h long, at int, long boolean, first boolean")
+        held: list[np.ndarray] | None = None
+        hot = None
+        for batch in batches:
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if held is not None:
+                cols = [np.concatenate(c) for c in zip(held, cols, strict=True)]
+            if hot is not None and len(cols[1]):
+                end = int(np.searchsorted(cols[1], hot, "right"))
+                if end:
+                    yield out([c[:end] for c in cols[:5]] + [np.ones(end, bool), np.full(end, crowd + 1), np.full(end, -1), np.zeros(end)])
+                    cols = [c[end:] for c in cols]
+            if not len(cols[1]):
+                held = cols
+                continue
+            last = int(np.searchsorted(cols[1], cols[1][-1]))
+            if cols[3][last:].sum() > crowd:
+                hot, last = cols[1][-1], len(cols[1])
+            if last:
+                yield out(met_in_group(*(c[:last] for c in cols), crowd))
+            held = [c[last:] for c in cols]
+        if held is not None and len(held[1]):
+            yield out(met_in_group(*held, crowd))
+
+    ordered = seeded.repartition("h").sortWithinPartitions("h", "doc_id", "at")
+    return ordered.mapInArrow(run, "doc_id long, h long, at int, first boolean, again boolean, bare boolean, docs int, s_at int, source long")
+
+
+def left_open(seeded: DataFrame, spans: DataFrame, near: int, far: int) -> DataFrame:
+    """(doc_id, source, at, s_at, long): the crowded seeds that lie in no span,
+    with every document that has them and, ``near`` to ``far`` words away in both, a
+    second seed.
+
+    The first of two seeds goes on no run: documents that share the n-th of a run
+    share its first.  Where many documents share two such seeds and no passage, this
+    grows with the square of their number; all of it is joins by hash, so no task
+    holds more than its share."""
+    inside = (F.col("s.doc_id") == F.col("o.doc_id")) & F.col("at").between(F.col("lo"), F.col("hi") - K)
+    crowded = seeded.where(F.col("docs") > HOLDERS + 1).select("doc_id", "h", "at", "again")
+    outside = settle(crowded.alias("o").join(outermost(spans).select("doc_id", "lo", "hi").alias("s"), inside, "left_anti"), "outside")
+    several = seeded.where("docs > 1").select("doc_id", "h", "at", "again")
+
+    def two(ones: DataFrame, others: DataFrame) -> DataFrame:
+        apart = (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("b.at") - F.col("a.at")).between(near, far)
+        both = ones.where("not again").alias("a").join(others.alias("b"), apart)
+        both = both.select("a.doc_id", F.col("a.h").alias("h1"), F.col("b.h").alias("h2"), F.struct(F.col("a.at").alias("p1"), F.col("b.at").alias("p2")).alias("p"))
+        return both.groupBy("doc_id", "h1", "h2").agg(F.min("p").alias("p"))
+
+    touched = broadcast_if_small(settle(outside.select("doc_id").distinct(), "touched"))
+    local = several.join(touched, "doc_id", "left_semi")
+    mine = two(outside, local).unionByName(two(local, outside)).distinct()
+    mine = settle(mine, "mine")
+    heads = broadcast_if_small(settle(mine.select(F.col("h1").alias("h")).distinct(), "heads-two"))
+    tails = broadcast_if_small(settle(mine.select(F.col("h2").alias("h")).distinct(), "tails-two"))
+    theirs = two(several.join(heads, "h", "left_semi"), several.join(tails, "h", "left_semi"))
+    met = mine.alias("m").join(theirs.alias("t"), ["h1", "h2"]).where("m.doc_id <> t.doc_id")
+    turned = F.col("m.doc_id") > F.col("t.doc_id")
+    later, earlier = F.when(turned, F.col("m.p")).otherwise(F.col("t.p")), F.when(turned, F.col("t.p")).otherwise(F.col("m.p"))
+    met = met.select(F.greatest("m.doc_id", "t.doc_id").alias("doc_id"), F.least("m.doc_id", "t.doc_id").alias("source"), later.alias("l"), earlier.alias("e"))
+    ends = F.array(*(F.struct(F.col(f"l.p{i}").alias("at"), F.col(f"e.p{i}").alias("s_at")) for i in (1, 2)))
+    return met.select("doc_id", "source", F.inline(ends)).withColumn("long", F.lit(False))
 
 
 def points(x: np.ndarray, y: np.ndarray, long: np.ndarray, length: int, k: int = K) -> tuple[np.ndarray, np.ndarray]:
@@ -171,6 +275,8 @@ def chains(x: np.ndarray, y: np.ndarray, k: int = K) -> list[list[int]]:
     """Chains of matches increasing in ``x`` and ``y``, best first, no match in
     two.  A match adds k; a step costs GAP_COST a word moved in either text.  The
     best predecessor is a prefix maximum over y in a Fenwick tree."""
+    if len(x) and (np.diff(x) > 0).all() and (np.diff(y) > 0).all():
+        return chains_in_line(x, y, k)
     order = np.lexsort((-y, x))
     ranks = np.unique(y, return_inverse=True)[1] + 1
     size = int(ranks.max(initial=0))
@@ -189,13 +295,30 @@ def chains(x: np.ndarray, y: np.ndarray, k: int = K) -> list[list[int]]:
             if entry > tree[at]:
                 tree[at] = entry
             at += at & -at
-    out, used = [], np.zeros(len(x), bool)
+    return taken(score, before.tolist())
+
+
+def chains_in_line(x: np.ndarray, y: np.ndarray, k: int) -> list[list[int]]:
+    """``chains`` of matches that increase in both texts: the best predecessor is
+    the match before, as it adds k on the same way."""
+    score, before, last, step = [float(k)], [-1], float(k), (GAP_COST * np.diff(x + y)).tolist()
+    for i, cost in enumerate(step):
+        gain = last - cost
+        last = k + gain if gain > 0 else float(k)
+        score.append(last)
+        before.append(i if gain > 0 else -1)
+    return taken(np.array(score), before)
+
+
+def taken(score: np.ndarray, before: list[int]) -> list[list[int]]:
+    """Chains by their last match's score, each up to a match that one before has."""
+    out, used = [], [False] * len(before)
     for i in np.argsort(-score, kind="stable").tolist():
         chain = []
         while i >= 0 and not used[i]:
             used[i] = True
             chain.append(i)
-            i = int(before[i])
+            i = before[i]
         if chain:
             out.append(chain[::-1])
     return out
@@ -236,7 +359,10 @@ def pieces(a: list[bytes], b: list[bytes], x: list[int], y: list[int], identity:
     """
     same = [k]
     for t in range(1, len(x)):
-        i, j = x[t - 1] + k, y[t - 1] + k
+        i, j, step = x[t - 1] + k, y[t - 1] + k, x[t] - x[t - 1]
+        if step == y[t] - y[t - 1] and (step <= k or a[i : x[t]] == b[j : y[t]]):
+            same.append(step)
+            continue
         over = max(i - x[t], j - y[t], 0)
         p, q = x[t] + over, y[t] + over
         inside = common_words(a[i:p], b[j:q]) if p - i != q - j else sum(map(bytes.__eq__, a[i:p], b[j:q]))
@@ -305,7 +431,6 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, identity: float = 0.
     repeated rows count once (of different texts under one doc_id, the first by
     md5); an empty table gives an empty result; other columns are ignored.
     """
-    length = max(min_words - WINDOW + 1, K)
     known = one_text_per_id(docs)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,19 +446,43 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, identity: float = 0.
     again = broadcast_if_small(settle(copies.where("doc_id <> source").select("doc_id"), "again"))
     alone = known.join(again, "doc_id", "left_anti")
 
-    found = settle(seed_table(alone, length), "seeds")
-    matches = with_holders(found).select("doc_id", "at", "long", F.inline("holders")).where("doc_id <> source")
-    if min_words >= length:
-        matches = matches.unionByName(crowded_matches(alone, found, length, min_words))
+    met = settle(meetings(seed_table(alone)), "met")
+    seeded = met.where("s_at < 0")
+    crowded = seeded.where(F.col("docs") > HOLDERS + 1).select("doc_id", "h", "at", F.lit(False).alias("long"), "first")
+    matches = with_holders(settle(crowded, "crowded")).select("doc_id", "at", "long", F.inline("holders")).where("doc_id <> source")
+    matches = matches.unionByName(met.where("s_at >= 0").select("doc_id", "source", "at", "s_at", F.lit(False).alias("long")))
+    if min_words >= K:
+        matches = matches.unionByName(crowded_matches(alone, seeded, min_words))
+    spans = settle(aligned_spans(alone, matches, min_words, identity).unionByName(whole), "spans")
+    rest = left_open(seeded, spans, max(min_words // 3 - K, 1), int(min_words / identity) + 2)
+    spans = spans.unionByName(aligned_spans(alone, rest, min_words, identity))
+    spans = spans.groupBy("doc_id", "lo", "hi").agg(F.min(F.struct("source", (-F.col("identity")).alias("other"))).alias("best"))
+    return outermost(settle(spans, "all-spans")).select(
+        "doc_id",
+        F.col("lo").cast("long").alias("first_word"),
+        F.col("hi").cast("long").alias("end_word"),
+        (F.col("hi") - F.col("lo")).cast("long").alias("words"),
+        F.col("best.source").alias("source_doc_id"),
+        (-F.col("best.other")).alias("identity"),
+    )
+
+
+def aligned_spans(alone: DataFrame, matches: DataFrame, min_words: int, identity: float) -> DataFrame:
+    """(doc_id, lo, hi, source, identity): the passages that the matches of each
+    document and source lead to, in both."""
     pairs = matches.groupBy("doc_id", "source").agg(F.collect_set(F.struct("at", "s_at", "long")).alias("m"))
-    pairs = pairs.where((F.size("m") >= 2) | F.exists("m", lambda m: m["long"]))
+    apart = F.array_max("m.at") - F.array_min("m.at") >= min_words // 3 - K
+    pairs = pairs.where(((F.size("m") >= 2) & apart) | F.exists("m", lambda m: m["long"]))
     pairs = settle(pairs.select("doc_id", "source", F.col("m.at").alias("x"), F.col("m.s_at").alias("y"), F.col("m.long").alias("long")), "pairs")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for d, s, x, y, is_long in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                xs, ys = points(np.array(x), np.array(y), np.array(is_long), length)
+                if any(is_long):
+                    xs, ys = points(np.array(x), np.array(y), np.array(is_long), min_words)
+                else:
+                    xs, ys = np.array(sorted(zip(x, y, strict=True))).T
                 for chain in chains(xs, ys):
                     if len(chain) > 1 and xs[chain[-1]] + K - xs[chain[0]] >= min_words // 3:
                         rows.append((d, s, xs[chain].tolist(), ys[chain].tolist()))
@@ -349,25 +498,19 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, identity: float = 0.
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
+            own, other = (None, []), (None, [])
             for d, s, x, y, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for lo, hi, s_lo, s_hi, same in pieces(words_of(a), words_of(b), x, y, identity):
+                own = own if own[0] == d else (d, words_of(a))
+                other = other if other[0] == s else (s, words_of(b))
+                for lo, hi, s_lo, s_hi, same in pieces(own[1], other[1], x, y, identity):
                     if min(hi - lo, s_hi - s_lo) >= min_words:
                         rows += [(d, lo, hi, s, same), (s, s_lo, s_hi, s, 1.0)]
             cols = list(zip(*rows, strict=True)) or [[]] * 5
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "lo", "hi", "source", "identity"])  # noqa: E501
 
-    spans = both.select("doc_id", "source", "x", "y", "a", "b").mapInArrow(aligned, "doc_id long, lo int, hi int, source long, identity double")
-    spans = spans.unionByName(whole)
-    spans = spans.groupBy("doc_id", "lo", "hi").agg(F.min(F.struct("source", (-F.col("identity")).alias("other"))).alias("best"))
-    return outermost(settle(spans, "spans")).select(
-        "doc_id",
-        F.col("lo").cast("long").alias("first_word"),
-        F.col("hi").cast("long").alias("end_word"),
-        (F.col("hi") - F.col("lo")).cast("long").alias("words"),
-        F.col("best.source").alias("source_doc_id"),
-        (-F.col("best.other")).alias("identity"),
-    )
+    both = both.select("doc_id", "source", "x", "y", "a", "b")
+    return both.mapInArrow(aligned, "doc_id long, lo int, hi int, source long, identity double")
 
 
 def outermost(spans: DataFrame) -> DataFrame:

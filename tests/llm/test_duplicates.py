@@ -490,3 +490,49 @@ def test_parity_bits_never_overstate_a_difference():
         differ = len(set(a.tolist()) ^ set(b.tolist()))
         found = simhash.least_difference(simhash.parity_bits(a), simhash.parity_bits(b))
         assert found <= differ and (differ == 0 or found > differ / 4)
+
+
+def test_a_changed_passage_among_many_holders_of_its_seeds(spark):
+    """Two documents share 100 words but for some changed ones; 40 others, before,
+    between and after them, hold pieces of it too short to be passages, so that each
+    of its seeds has more holders than are joined at once."""
+    rng = random.Random(12)
+    text = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(n)]
+    run = text(100)
+    fuzzy = [w if i % 19 else f"other{i}" for i, w in enumerate(run)]
+    docs = {20: text(30) + run + text(30), 60: text(40) + fuzzy + text(20)}
+    for k, i in enumerate([*range(12), *range(21, 59), *range(61, 70)]):
+        docs[i] = sum((text(20) + run[a : a + 24] + text(20) for a in range((k * 7) % 19, 100, 43)), [])
+    got = passages.repeated_passages(documents(spark, [" ".join(t) for t in docs.values()], list(docs))).collect()
+    assert {(r["doc_id"], r["source_doc_id"]) for r in got} == {(20, 20), (60, 20)}
+    (r,) = [r for r in got if r["doc_id"] == 60]
+    assert r["first_word"] <= 44 and r["end_word"] >= 136 and 0.9 < r["identity"] < 1
+
+
+def test_meetings_against_all_pairs(spark):
+    """Seeds of few documents meet in full, all others are told to be crowded,
+    wherever an Arrow batch ends."""
+    rng = np.random.default_rng(5)
+    spots = {(int(d), int(h), int(a)) for d, h, a in zip(rng.integers(0, 300, 3000), rng.geometric(0.02, 3000), rng.integers(0, 40, 3000), strict=True)}
+    spots |= {(int(d), 1000 + int(h), 1) for d, h in zip(rng.integers(0, 300, 600), rng.integers(0, 150, 600), strict=True)}
+    seen, rows, by_seed = set(), [], defaultdict(list)
+    for d, h, a in sorted(spots):
+        rows.append((d, h, a, (d, h) not in seen, False, h % 50 == 7))
+        by_seed[h].append((d, a, (d, h) not in seen))
+        seen.add((d, h))
+    found = spark.createDataFrame(rows, "doc_id long, h long, at int, first boolean, again boolean, bare boolean")
+    want, crowded = set(), set()
+    for h, own in by_seed.items():
+        if sum(first for *_, first in own) > passages.HOLDERS + 1:
+            crowded |= {(d, h, a) for d, a, _ in own}
+        else:
+            want |= {(d, h, a, s, b) for d, a, _ in own for s, b, first in own if first and s < d}
+    assert want and crowded
+    for size in ("10000", "7"):
+        with_size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        got = passages.meetings(found).collect()
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", with_size)
+        assert Counter((r["doc_id"], r["h"], r["at"], r["source"], r["s_at"]) for r in got if r["s_at"] >= 0) == Counter(want)
+        assert {(r["doc_id"], r["h"], r["at"]) for r in got if r["s_at"] < 0 and r["docs"] > passages.HOLDERS + 1} == crowded
+        assert {r["h"] for r in got if r["bare"]} == {h for _, h, _ in crowded} | {h for h in by_seed if h % 50 == 7}
