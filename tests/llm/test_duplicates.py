@@ -502,7 +502,7 @@ def test_a_changed_passage_among_many_holders_of_its_seeds(spark):
     fuzzy = [w if i % 19 else f"other{i}" for i, w in enumerate(run)]
     docs = {20: text(30) + run + text(30), 60: text(40) + fuzzy + text(20)}
     for k, i in enumerate([*range(12), *range(21, 59), *range(61, 70)]):
-        docs[i] = sum((text(20) + run[max(a, 0) : a + 24] + text(20) for a in range(k * 7 % 43 - 43, 100, 43)), [])
+        docs[i] = sum((text(20) + run[max(a, 0) : max(a + 24, 0)] + text(20) for a in range(k * 7 % 43 - 43, 100, 43)), [])
     got = passages.repeated_passages(documents(spark, [" ".join(t) for t in docs.values()], list(docs))).collect()
     assert {(r["doc_id"], r["source_doc_id"]) for r in got} == {(20, 20), (60, 20)}
     (r,) = [r for r in got if r["doc_id"] == 60]
