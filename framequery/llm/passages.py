@@ -1,16 +1,19 @@
 """Substring dedup by collinear chaining of shared k-mer seeds.
 
 Every whole text gives k-mer seeds of words (the minimisers of its sliding
-windows).  A seed that at most HOLDERS + 1 documents have is joined among all of
-them.  An occurrence of a crowded one is joined with the first document that has it
-and with the HOLDERS last ones before its own, so matches grow with n documents, not
-n^2; what this leaves out is made up for twice.  Runs of ``min_words`` words with too few
-uncrowded seeds are hashed whole and joined with the first document that has them,
-which shares all of their words: no exact run is missed.  And a crowded seed that
-lies in no passage found by then is compared with all of its holders that share a
-second seed at some distance with it (``left_open``).  The matches of a document and
-a source are chained in order with gap costs through a Fenwick tree, and each chain
-is aligned word by word, which finds passages that differ in single words.
+windows).  Each is first joined with the first document that has it alone, so matches grow
+with n documents, not n^2.  Runs of ``min_words`` words with too few uncrowded seeds are
+hashed whole and joined with the first document that has them, which shares all of their
+words.  The matches of a document and a source are chained in order with gap costs
+through a Fenwick tree, and each chain is aligned word by word, which finds passages that
+differ in single words.
+
+Then a seed that at most HOLDERS + 1 documents have is joined among all of them, an
+occurrence of a crowded one with the HOLDERS last documents before its own; pairs are
+aligned only where more may come of it than the passages found (``beyond``): so no exact
+run is missed.  At last a crowded seed that lies in no passage is compared with all of its
+holders that share a second seed at some distance with it (``left_open``), and a run of one
+seed with those that share more than the run (``open_runs``).
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framequery.llm.common import broadcast_if_small, one_text_per_id, settle, table
@@ -31,6 +34,11 @@ GAP_COST = 0.1
 HOLDERS = 8
 #: Occurrences of a seed that are ordered in one group; more go by parts.
 ORDERED = 4096
+#: Rows of seeds or runs that a task of Python holds before it gives them on.
+HELD = 200_000
+#: Words at either side of a seed that are told by four bits each; what may go on further.
+BESIDE = 8
+UNTOLD = 1_000_000_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Its product with MIX is 1 modulo 2^64.
 UNMIX = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -47,10 +55,10 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
 
 def seeds(one: np.ndarray, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes and places of the minimisers of a text whose words hash to ``one``,
-    whether each goes on a run of itself, and whether it is of such a run at all; a shared run of k + window - 1 words always
+    how far each lies behind the first of a run of itself, and whether it is of such a run at all; a shared run of k + window - 1 words always
     shares one."""
     if len(one) < k:
-        return np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, bool), np.empty(0, bool)
+        return np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, bool)
     n = len(one) - k + 1
     h = np.zeros(n, np.uint64)
     for j in range(k):
@@ -63,25 +71,56 @@ def seeds(one: np.ndarray, k: int = K, window: int = WINDOW) -> tuple[np.ndarray
         view = np.lib.stride_tricks.sliding_window_view(h, window)
         at = view.argmin(1) + np.arange(len(view))
         at = at[np.append(True, at[1:] != at[:-1])]
-    h, again, runs = numbered_in_runs(h[at], at)
-    return h.view(np.int64), at.astype(np.int32), again, runs
-
-
-def numbered_in_runs(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    h, since, runs = numbered_in_runs(h[at], at)
+    return h.view(np.int64), at.astype(np.int32), since, runs
+
+
+def beside(one: np.ndarray, at: np.ndarray, k: int = K) -> np.ndarray:
+    """The BESIDE words before each place (upper half) and after its k words, nearest
+    first in the lowest bits, as numbers of four bits: 1 to 15, 0 outside of the text."""
+    told = np.zeros(len(one) + 2 * BESIDE + k, np.uint64)
+    told[BESIDE : BESIDE + len(one)] = one % np.uint64(15) + np.uint64(1)
+    out = np.zeros(len(at), np.uint64)
+    for j in range(BESIDE):
+        out |= told[at + (BESIDE + k + j)] << np.uint64(4 * j)
+        out |= told[at + (BESIDE - 1 - j)] << np.uint64(4 * j + 32)
+    return out.view(np.int64)
+
+
+def going_on(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """At most how many words two seeds' texts go on alike before and after them, from
+    ``beside``; UNTOLD where that may go on past what is told, or past words that
+    differ (as in ``extend``)."""
+    out, one, other = [], a.view(np.uint64), b.view(np.uint64)
+    for half in (32, 0):
+        n, score = np.zeros(len(a), np.int32), np.zeros(len(a), np.int32)
+        alike, told, past = np.ones(len(a), bool), np.ones(len(a), bool), np.zeros(len(a), bool)
+        for j in range(BESIDE):
+            mine, theirs = ((x >> np.uint64(half + 4 * j)) & np.uint64(15) for x in (one, other))
+            told &= (mine > 0) & (theirs > 0)
+            score += np.where(told, np.where(mine == theirs, 1, -1), 0).astype(np.int32)
+            alike &= told & (mine == theirs)
+            n += alike
+            past |= score > n
+        out.append(np.where(past | told & ((score >= n) | (n >= BESIDE - 1)), UNTOLD, n))
+    return out[0], out[1]
+
+
+def numbered_in_runs(h: np.ndarray, at: np.ndarray, gap: int = K + WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """In a run of one repeated seed ("no no no ...") the n-th is told from the
-    others, so that such runs match in order too; true for all but the first, and
+    others, so that such runs match in order too; the places since the first, and
     true for all."""
     order = np.lexsort((at, h))
     own, place = h[order], at[order]
     starts = np.ones(len(h), bool)
-    starts[1:] = (own[1:] != own[:-1]) | (place[1:] - place[:-1] > K + WINDOW)
+    starts[1:] = (own[1:] != own[:-1]) | (place[1:] - place[:-1] > gap)
     index = np.arange(len(h))
     number = index - np.maximum.accumulate(np.where(starts, index, 0))
-    out, again, runs = h.copy(), np.zeros(len(h), bool), np.zeros(len(h), bool)
+    out, since, runs = h.copy(), np.zeros(len(h), np.int32), np.zeros(len(h), bool)
     out[order] = own ^ (number.astype(np.uint64) * MIX)
-    again[order] = number > 0
+    since[order] = place - place[index - number]
     runs[order] = (number > 0) | (np.append(number[1:], 0) > 0)
-    return out, again, runs
+    return out, since, runs
 
 
 def long_seeds(one: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -110,8 +149,10 @@ def bare_windows(one: np.ndarray, places: np.ndarray, whole: int) -> tuple[np.nd
 
 def crowded_matches(docs: DataFrame, seeded: DataFrame, whole: int) -> DataFrame:
     """(doc_id, source, at, s_at, long): for each run of ``bare_windows`` the first
-    document that has it, as a long match.  Between any two seeds of a text lie less
-    than WINDOW places, so one that is left out alone leaves no such run."""
+    document that has it, as a long match.  Of a text that repeats itself at once the
+    n-th equal run is told from the others, so it is met where the text goes on as long.
+    Between any two seeds of a text lie less than WINDOW places, so one that is left out
+    alone leaves no such run."""
     places = seeded.where("bare").groupBy("doc_id").agg(F.collect_set("at").alias("places"))
     if whole > 3 * WINDOW + whole // 3:
         places = places.where(F.size("places") > 1)
@@ -122,6 +163,7 @@ def crowded_matches(docs: DataFrame, seeded: DataFrame, whole: int) -> DataFrame
             ids, hashes, starts = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
             for d, t, at in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 h, place = bare_windows(word_hashes(words_of(t.as_py())), np.array(at, np.int32), whole)
+                h = numbered_in_runs(h.view(np.uint64), place, whole)[0].view(np.int64)
                 _, once = np.unique(h, return_index=True)
                 ids.append(np.full(len(once), d, np.int64))
                 hashes.append(h[once])
@@ -136,26 +178,37 @@ def crowded_matches(docs: DataFrame, seeded: DataFrame, whole: int) -> DataFrame
 
 
 def seed_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, at, first, again, bare): the seeds; ``first`` of that hash in the
-    document, ``again`` where it goes on a run of itself, ``bare`` in all of a run."""
+    """(doc_id, h, at, first, again, bare, since, near): the seeds; ``first`` of that hash in
+    the document, ``again`` where it goes on a run of itself, ``since`` so many places,
+    ``bare`` in all of a run, ``near`` what lies ``beside``."""
+    names = ["doc_id", "h", "at", "first", "again", "bare", "since", "near"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts: list[list[np.ndarray]] = [[], [], [], [], [], []]
+            parts: list[list[np.ndarray]] = [[] for _ in names]
+            held = 0
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                h, at, again, runs = seeds(word_hashes(words_of(t.as_py())))
+                one = word_hashes(words_of(t.as_py()))
+                h, at, since, runs = seeds(one)
                 first = np.zeros(len(h), bool)
                 first[np.unique(h, return_index=True)[1]] = True
-                for part, values in zip(parts, (np.full(len(h), d, np.int64), h, at, first, again, runs), strict=True):
+                row = (np.full(len(h), d, np.int64), h, at, first, since > 0, runs, since, beside(one, at))
+                for part, values in zip(parts, row, strict=True):
                     part.append(values)
+                held += len(h)
+                if held > HELD:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in parts], names)
+                    parts, held = [[] for _ in names], 0
             if parts[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in parts], ["doc_id", "h", "at", "first", "again", "bare"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in parts], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, h long, at int, first boolean, again boolean, bare boolean")
+    kinds = "doc_id long, h long, at int, first boolean, again boolean, bare boolean, since int, near long"
+    return docs.select("doc_id", "text").mapInArrow(run, kinds)
 
 
-def met_in_group(doc: np.ndarray, h: np.ndarray, at: np.ndarray, first: np.ndarray, again: np.ndarray, bare: np.ndarray, crowd: int) -> list[np.ndarray]:
+def met_in_group(cols: list[np.ndarray], crowd: int) -> list[np.ndarray]:
     """Columns of ``meetings`` from whole groups of rows in order of h, doc and place."""
+    doc, h, at, first, again, bare, since, near = cols
     new = np.append(True, h[1:] != h[:-1])
     group = np.cumsum(new) - 1
     docs = np.bincount(group, first).astype(np.int32)[group]
@@ -170,26 +223,32 @@ def met_in_group(doc: np.ndarray, h: np.ndarray, at: np.ndarray, first: np.ndarr
         rows.append(later)
         sources.append(heads[least[later] + t])
     row, source = np.concatenate(rows), np.concatenate(sources)
-    return [doc[row], h[row], at[row], first[row], again[row], bare[row], docs[row], np.where(source < 0, -1, at[source]), np.where(source < 0, 0, doc[source])]
+    lead = np.zeros(len(row), bool)
+    lead[len(rows[0]) : len(rows[0]) + len(rows[1])] = True
+    left, right = going_on(near[row], near[source])
+    own = [doc[row], h[row], at[row], first[row], again[row], bare[row], docs[row]]
+    return [*own, np.where(source < 0, -1, at[source]), np.where(source < 0, 0, doc[source]), since[row], lead, left, right]
 
 
 def meetings(seeded: DataFrame) -> DataFrame:
-    """(doc_id, h, at, first, again, bare, docs, s_at, source) of two kinds.  With s_at
-    -1: each occurrence of a seed of several documents, or that is of a run anywhere,
-    with the number of documents that have it (past HOLDERS + 1 not counted in full);
-    ``bare`` if it is crowded or of a run anywhere, so may not meet all others.  Other
-    rows: each occurrence of a seed of HOLDERS + 1 documents at most with each
-    document before its own that has it.
+    """(doc_id, h, at, first, again, bare, docs, s_at, source, since, lead, left, right)
+    of two kinds.  With s_at -1: each occurrence of a seed of several documents, or that
+    is of a run anywhere, with the number of documents that have it (past HOLDERS + 1 not
+    counted in full); ``bare`` if it is crowded or of a run anywhere, so may not meet all
+    others.  Other rows: each occurrence of a seed of HOLDERS + 1 documents at most with
+    each document before its own that has it, ``lead`` the first of them, ``left`` and
+    ``right`` how far both texts may go on alike.
 
     Rows come in order of their seed; only what may belong to an unfinished seed of
     few documents is held from one batch to the next."""
     crowd = HOLDERS + 1
-    names = ["doc_id", "h", "at", "first", "again", "bare", "docs", "s_at", "source"]
+    kinds = {"doc_id": "long", "h": "long", "at": "int", "first": "boolean", "again": "boolean", "bare": "boolean", "docs": "int", "s_at": "int", "source": "long"}
+    kinds |= {"since": "int", "lead": "boolean", "left": "int", "right": "int"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(cols: list[np.ndarray]) -> pa.RecordBatch:
-            kinds = (np.int64, np.int64, np.int32, bool, bool, bool, np.int32, np.int32, np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(c.astype(k)) for c, k in zip(cols, kinds, strict=True)], names)
+            as_numpy = {"long": np.int64, "int": np.int32, "boolean": bool}
+            return pa.RecordBatch.from_arrays([pa.array(c.astype(as_numpy[k])) for c, k in zip(cols, kinds.values(), strict=True)], list(kinds))
 
         held: list[np.ndarray] | None = None
         hot = None
@@ -200,7 +259,8 @@ def meetings(seeded: DataFrame) -> DataFrame:
             if hot is not None and len(cols[1]):
                 end = int(np.searchsorted(cols[1], hot, "right"))
                 if end:
-                    yield out([c[:end] for c in cols[:5]] + [np.ones(end, bool), np.full(end, crowd + 1), np.full(end, -1), np.zeros(end)])
+                    none = np.zeros(end)
+                    yield out([c[:end] for c in cols[:5]] + [np.ones(end, bool), np.full(end, crowd + 1), np.full(end, -1), none, cols[6][:end], none, none, none])
                     cols = [c[end:] for c in cols]
             if not len(cols[1]):
                 held = cols
@@ -209,32 +269,81 @@ def meetings(seeded: DataFrame) -> DataFrame:
             if cols[3][last:].sum() > crowd:
                 hot, last = cols[1][-1], len(cols[1])
             if last:
-                yield out(met_in_group(*(c[:last] for c in cols), crowd))
+                yield out(met_in_group([c[:last] for c in cols], crowd))
             held = [c[last:] for c in cols]
         if held is not None and len(held[1]):
-            yield out(met_in_group(*held, crowd))
+            yield out(met_in_group(held, crowd))
 
+    for name, kind in (("since", "int"), ("near", "long")):
+        seeded = seeded if name in seeded.columns else seeded.withColumn(name, F.lit(0).cast(kind))
     ordered = seeded.repartition("h").sortWithinPartitions("h", "doc_id", "at")
-    return ordered.mapInArrow(run, "doc_id long, h long, at int, first boolean, again boolean, bare boolean, docs int, s_at int, source long")
+    return ordered.mapInArrow(run, ", ".join(f"{name} {kind}" for name, kind in kinds.items()))
+
+
+def beyond(near: DataFrame, crowd: DataFrame, long: DataFrame, spans: DataFrame, sizes: DataFrame, least: int) -> DataFrame:
+    """(doc_id, source, at, s_at, long): all matches of the pairs whose passages may reach
+    out of the passages found before.
+
+    ``long`` are matches of whole runs, which have been aligned.  A pair is left out where all of its matches, with the words by which its last and
+    first uncrowded ones may go on alike, lie in one passage of the document and in one
+    of the source: of that stretch nothing new can come.  So copies of one passage are
+    aligned with one document each, not with each other."""
+    plain = ["doc_id", "source", "at", "s_at"]
+    met = crowd.select("doc_id", "at", F.inline("holders")).where("doc_id <> source").select(*plain)
+    none = F.lit(0)
+    ends = near.groupBy("doc_id", "source").agg(
+        F.count("*").alias("n"),
+        F.min("at").alias("x"),
+        F.max("at").alias("y"),
+        F.min_by(F.greatest(F.col("at") - F.col("left"), none), "at").alias("lo"),
+        F.max_by(F.col("at") + K + F.col("right"), "at").alias("hi"),
+        F.min_by(F.greatest(F.col("s_at") - F.col("left"), none), "s_at").alias("s_lo"),
+        F.max_by(F.col("s_at") + K + F.col("right"), "s_at").alias("s_hi"),
+    )
+    more = met.groupBy("doc_id", "source").agg(
+        F.count("*").alias("c_n"), F.min("at").alias("c_x"), F.max("at").alias("c_y"), F.min("s_at").alias("c_lo"), F.max("s_at").alias("c_hi")
+    )
+    ends = ends.join(more, ["doc_id", "source"], "full_outer").select(
+        "doc_id",
+        "source",
+        (F.coalesce("n", none) + F.coalesce("c_n", none)).alias("n"),
+        (F.greatest("y", "c_y") - F.least("x", "c_x")).alias("apart"),
+        F.least("lo", "c_x").alias("lo"),
+        F.greatest("hi", F.col("c_y") + K).alias("hi"),
+        F.least("s_lo", "c_lo").alias("s_lo"),
+        F.greatest("s_hi", F.col("c_hi") + K).alias("s_hi"),
+    )
+    ends = ends.where((F.col("n") > 1) & (F.col("apart") >= least))
+    reach = F.struct("lo", F.when(F.col("hi") == F.col("n"), 2 * UNTOLD).otherwise(F.col("hi")).alias("hi"))
+    known = outermost(spans.select("doc_id", "lo", "hi")).join(sizes.select("doc_id", "n"), "doc_id")
+    known = broadcast_if_small(settle(known.groupBy("doc_id").agg(F.collect_set(reach).alias("known")), "known"))
+    both = ends.join(known, "doc_id", "left").join(known.toDF("source", "s_known"), "source", "left")
 
+    def inside(name: str, lo: str, hi: str) -> Column:
+        return F.coalesce(F.exists(name, lambda z: (z["lo"] <= F.col(lo)) & (z["hi"] >= F.col(hi))), F.lit(False))
 
-def left_open(seeded: DataFrame, spans: DataFrame, near: int, far: int) -> DataFrame:
+    out = both.where(~(inside("known", "lo", "hi") & inside("s_known", "s_lo", "s_hi"))).select("doc_id", "source")
+    out = broadcast_if_small(settle(out, "beyond"))
+    return near.select(*plain).unionByName(met).withColumn("long", F.lit(False)).unionByName(long).join(out, ["doc_id", "source"], "left_semi")
+
+
+def left_open(docs: DataFrame, seeded: DataFrame, spans: DataFrame, near: int, far: int, min_words: int) -> DataFrame:
     """(doc_id, source, at, s_at, long): the crowded seeds that lie in no span,
     with every document that has them and, ``near`` to ``far`` words away in both, a
-    second seed.
+    second seed that is not of the same run of one seed; such runs by ``open_runs``.
 
     The first of two seeds goes on no run: documents that share the n-th of a run
     share its first.  Where many documents share two such seeds and no passage, this
     grows with the square of their number; all of it is joins by hash, so no task
     holds more than its share."""
     inside = (F.col("s.doc_id") == F.col("o.doc_id")) & F.col("at").between(F.col("lo"), F.col("hi") - K)
-    crowded = seeded.where(F.col("docs") > HOLDERS + 1).select("doc_id", "h", "at", "again")
+    crowded = seeded.where(F.col("docs") > HOLDERS + 1).select("doc_id", "h", "at", "since")
     outside = settle(crowded.alias("o").join(outermost(spans).select("doc_id", "lo", "hi").alias("s"), inside, "left_anti"), "outside")
-    several = seeded.where("docs > 1").select("doc_id", "h", "at", "again")
+    several = seeded.where("docs > 1").select("doc_id", "h", "at", "since")
 
     def two(ones: DataFrame, others: DataFrame) -> DataFrame:
         apart = (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("b.at") - F.col("a.at")).between(near, far)
-        both = ones.where("not again").alias("a").join(others.alias("b"), apart)
+        both = ones.where("since = 0").alias("a").join(others.alias("b"), apart).where("b.since = 0 or b.at - b.since <> a.at")
         both = both.select("a.doc_id", F.col("a.h").alias("h1"), F.col("b.h").alias("h2"), F.struct(F.col("a.at").alias("p1"), F.col("b.at").alias("p2")).alias("p"))
         return both.groupBy("doc_id", "h1", "h2").agg(F.min("p").alias("p"))
 
@@ -250,7 +359,71 @@ def left_open(seeded: DataFrame, spans: DataFrame, near: int, far: int) -> DataF
     later, earlier = F.when(turned, F.col("m.p")).otherwise(F.col("t.p")), F.when(turned, F.col("t.p")).otherwise(F.col("m.p"))
     met = met.select(F.greatest("m.doc_id", "t.doc_id").alias("doc_id"), F.least("m.doc_id", "t.doc_id").alias("source"), later.alias("l"), earlier.alias("e"))
     ends = F.array(*(F.struct(F.col(f"l.p{i}").alias("at"), F.col(f"e.p{i}").alias("s_at")) for i in (1, 2)))
-    return met.select("doc_id", "source", F.inline(ends)).withColumn("long", F.lit(False))
+    met = met.select("doc_id", "source", F.inline(ends)).unionByName(open_runs(docs, several, outside, near, far, min_words))
+    return met.withColumn("long", F.lit(False))
+
+
+def around(one: np.ndarray, p: int, last: int, far: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of what lies at each distance from a run of one seed at the places ``p`` to
+    ``last``, two words each, and which of them a passage that is to stick out of the run
+    may end with; a run as long as a passage but for a word at either end has one more."""
+    lo, hi = p, last + K
+    while lo and one[lo - 1] == one[p]:
+        lo -= 1
+    while hi < len(one) and one[hi] == one[p]:
+        hi += 1
+    at = np.arange(max(p - far, 0), min(p + 2 * far, len(one) - 1))
+    out = max((min_words - (hi - lo) + 1) // 2, 2)
+    h = (one[at] * MIX + one[at + 1]) * MIX + (at - p).astype(np.uint64)
+    telling = (at >= hi + out - 2) | (at <= lo - out)
+    if hi - lo >= min_words - 2:
+        return np.append(h, np.uint64(1)), np.append(telling, True)
+    return h, telling
+
+
+def open_runs(docs: DataFrame, several: DataFrame, outside: DataFrame, near: int, far: int, min_words: int) -> DataFrame:
+    """(doc_id, source, at, s_at): runs of one seed ("no no no ..."), of which a part lies in
+    no span, with those of all other documents where a passage can come of it.
+
+    Two runs that are too short for a passage and have nothing alike around them are
+    none.  A passage is longer than the shorter run, and it ends with two equal words: so
+    both texts hold two words, at the same distance from the first seed, that lie out of
+    the shorter run.  Documents are joined by those."""
+    runs = several.where("since > 0").groupBy("doc_id", (F.col("at") - F.col("since")).alias("p"))
+    runs = runs.agg(F.min_by("h", "at").alias("h"), F.sort_array(F.collect_list("at")).alias("places")).where(F.element_at("places", -1) - F.col("p") >= near)
+    runs = settle(runs.withColumn("places", F.concat(F.array("p"), "places")), "runs")
+    opened = broadcast_if_small(settle(outside.select("doc_id", (F.col("at") - F.col("since")).alias("p")).distinct(), "opened"))
+    wanted = broadcast_if_small(settle(runs.join(opened, ["doc_id", "p"], "left_semi").select("h").distinct(), "wanted"))
+    runs = settle(runs.join(wanted, "h", "left_semi"), "wanted-runs")
+    lists = runs.groupBy("doc_id").agg(F.collect_list(F.struct("h", "p", F.element_at("places", -1).alias("last"))).alias("runs"))
+    held = docs.select("doc_id", "text").join(broadcast_if_small(settle(lists, "run-lists")), "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts: list[tuple[np.ndarray, ...]] = [(np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, bool))]
+            for d, t, own in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                one = word_hashes(words_of(t.as_py()))
+                for r in own:
+                    h, telling = around(one, r["p"], r["last"], far, min_words)
+                    h = (h ^ np.int64(r["h"]).astype(np.uint64)) * MIX
+                    parts.append((np.full(len(h), d, np.int64), np.full(len(h), r["p"], np.int32), (h ^ (h >> np.uint64(29))).view(np.int64), telling))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["doc_id", "p", "key", "telling"])
+
+    keyed = settle(held.mapInArrow(run, "doc_id long, p int, key long, telling boolean"), "around")
+    mine = keyed.join(opened, ["doc_id", "p"], "left_semi")
+
+    def meet(ones: DataFrame, others: DataFrame) -> DataFrame:
+        both = ones.alias("m").join(others.alias("t"), "key").where("m.doc_id <> t.doc_id")
+        return both.select("m.doc_id", "m.p", F.col("t.doc_id").alias("t_doc"), F.col("t.p").alias("t_p"))
+
+    met = meet(mine.where("telling"), keyed).unionByName(meet(mine, keyed.where("telling")))
+    turned = F.col("doc_id") > F.col("t_doc")
+    pick = lambda a, b: F.when(turned, F.col(a)).otherwise(F.col(b))
+    met = met.select(pick("doc_id", "t_doc").alias("doc_id"), pick("p", "t_p").alias("p"), pick("t_doc", "doc_id").alias("source"), pick("t_p", "p").alias("s_p"))
+    met = settle(met.distinct(), "met-runs")
+    own = runs.select("doc_id", "p", F.posexplode("places").alias("i", "at"))
+    others = own.toDF("source", "s_p", "i", "s_at")
+    return met.join(own, ["doc_id", "p"]).join(others, ["source", "s_p", "i"]).select("doc_id", "source", "at", "s_at")
 
 
 def points(x: np.ndarray, y: np.ndarray, long: np.ndarray, length: int, k: int = K) -> tuple[np.ndarray, np.ndarray]:
@@ -449,12 +622,16 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, identity: float = 0.
     met = settle(meetings(seed_table(alone)), "met")
     seeded = met.where("s_at < 0")
     crowded = seeded.where(F.col("docs") > HOLDERS + 1).select("doc_id", "h", "at", F.lit(False).alias("long"), "first")
-    matches = with_holders(settle(crowded, "crowded")).select("doc_id", "at", "long", F.inline("holders")).where("doc_id <> source")
-    matches = matches.unionByName(met.where("s_at >= 0").select("doc_id", "source", "at", "s_at", F.lit(False).alias("long")))
-    if min_words >= K:
-        matches = matches.unionByName(crowded_matches(alone, seeded, min_words))
-    spans = settle(aligned_spans(alone, matches, min_words, identity).unionByName(whole), "spans")
-    rest = left_open(seeded, spans, max(min_words // 3 - K, 1), int(min_words / identity) + 2)
+    crowd = settle(with_holders(settle(crowded, "crowded")).select("doc_id", "at", "holders"), "holders")
+    near = met.where("s_at >= 0")
+    first = crowd.select("doc_id", "at", F.element_at("holders", -1).alias("f")).select("doc_id", "f.source", "at", "f.s_at").where("doc_id <> source")
+    heads = near.where("lead").select("doc_id", "source", "at", "s_at").unionByName(first).withColumn("long", F.lit(False))
+    long = settle(crowded_matches(alone, seeded, min_words), "long") if min_words >= K else heads.limit(0)
+    spans = settle(aligned_spans(alone, heads.unionByName(long), min_words, identity).unionByName(whole), "spans")
+    least = max(min_words // 3 - K, 1)
+    rest = beyond(near, crowd, long, spans, keys, least)
+    spans = settle(spans.unionByName(aligned_spans(alone, rest, min_words, identity)), "more-spans")
+    rest = left_open(alone, seeded, spans, least, int(min_words / identity) + 2, min_words)
     spans = spans.unionByName(aligned_spans(alone, rest, min_words, identity))
     spans = spans.groupBy("doc_id", "lo", "hi").agg(F.min(F.struct("source", (-F.col("identity")).alias("other"))).alias("best"))
     return outermost(settle(spans, "all-spans")).select(

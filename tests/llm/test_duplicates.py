@@ -536,3 +536,72 @@ def test_meetings_against_all_pairs(spark):
         assert Counter((r["doc_id"], r["h"], r["at"], r["source"], r["s_at"]) for r in got if r["s_at"] >= 0) == Counter(want)
         assert {(r["doc_id"], r["h"], r["at"]) for r in got if r["s_at"] < 0 and r["docs"] > passages.HOLDERS + 1} == crowded
         assert {r["h"] for r in got if r["bare"]} == {h for _, h, _ in crowded} | {h for h in by_seed if h % 50 == 7}
+
+
+def aligned_pairs(spark, monkeypatch, texts):
+    """Rows of ``repeated_passages`` and the number of pairs that were aligned for it."""
+    chained, settle = [], passages.settle
+
+    def told(df, label):
+        out = settle(df, label)
+        if label == "chains":
+            chained.append(out.count())
+        return out
+
+    monkeypatch.setattr(passages, "settle", told)
+    got = passages.repeated_passages(documents(spark, [" ".join(t) for t in texts])).collect()
+    monkeypatch.setattr(passages, "settle", settle)
+    return got, sum(chained)
+
+
+def test_runs_of_one_word_are_not_paired_among_all_holders(spark, monkeypatch):
+    """Documents with runs of one word too short for a passage: what is aligned does
+    not grow with the square of their number, and those that share more are found."""
+    rng = random.Random(13)
+    text = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(n)]
+    crowd = [text(30) + ["no"] * (16 + i % 32) + text(30) for i in range(60)]
+    got, aligned = aligned_pairs(spark, monkeypatch, crowd)
+    assert not got and aligned <= 10 * 60
+    end = text(6)
+    two = [text(20) + ["no"] * 44 + text(1) + end + text(20), text(35) + ["no"] * 44 + text(1) + end + text(9)]
+    start = text(5)
+    more = [text(20) + start + text(1) + ["no"] * r + text(20) for r in (45, 47)]
+    got, aligned = aligned_pairs(spark, monkeypatch, crowd + two + more)
+    assert {(r["doc_id"], r["first_word"], r["end_word"], r["source_doc_id"]) for r in got} == {(60, 20, 71, 60), (61, 35, 86, 60), (62, 20, 71, 62), (63, 20, 71, 62)}
+    assert aligned <= 10 * 64
+
+
+def test_copies_of_a_passage_are_aligned_with_one_document(spark, monkeypatch):
+    """Nine documents that hold one text, each with two words changed: the number of
+    aligned pairs grows with the documents, not with the square of a group's size."""
+    rng = random.Random(14)
+    text = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(n)]
+    texts = []
+    for _ in range(10):
+        whole = text(200)
+        texts += [[w if i not in (40 + 9 * k, 150 - 9 * k) else f"other{k}" for i, w in enumerate(whole)] for k in range(9)]
+    got, aligned = aligned_pairs(spark, monkeypatch, texts)
+    assert {(r["doc_id"], r["first_word"], r["end_word"]) for r in got} == {(d, 0, 200) for d in range(90)}
+    assert aligned <= 3 * 90
+
+
+def test_a_long_run_of_one_word_is_found_whole(spark):
+    """The longest run of one word has a partner as long: not only a shorter one's part
+    is told, however many hold the shorter ones."""
+    rng = random.Random(15)
+    text = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(n)]
+    lengths = [*range(50, 70), 140, *range(50, 70), 150]
+    got = passages.repeated_passages(documents(spark, [" ".join(text(20) + ["no"] * n + text(20)) for n in lengths])).collect()
+    spans = {r["doc_id"]: (r["first_word"], r["end_word"]) for r in got}
+    assert spans == {d: (20, 20 + min(n, 140)) for d, n in enumerate(lengths)}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 2), min_size=6, max_size=40), st.lists(st.integers(0, 2), min_size=6, max_size=40), st.data())
+def test_words_beside_seeds_never_understate_how_far_texts_go_on(a, b, data):
+    x, y = data.draw(st.integers(0, len(a) - 5)), data.draw(st.integers(0, len(b) - 5))
+    told = [passages.beside(passages.word_hashes([str(w).encode() for w in t]), np.array([p])) for t, p in ((a, x), (b, y))]
+    left, right = passages.going_on(*told)
+    alike = lambda pairs: next((n for n, (v, w) in enumerate(pairs) if v != w), min(len(pairs), 10**6))
+    assert left[0] >= alike(list(zip(a[:x][::-1], b[:y][::-1], strict=False)))
+    assert right[0] >= alike(list(zip(a[x + 5 :], b[y + 5 :], strict=False)))
