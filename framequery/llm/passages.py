@@ -10,8 +10,7 @@ differ in single words.
 
 Then a seed that at most HOLDERS + 1 documents have is joined among all of them, an
 occurrence of a crowded one with the HOLDERS last documents before its own; pairs are
-aligned only where more may come of it than the passages found (``beyond``): so no exact
-run is missed.  At last a crowded seed that lies in no passage is compared with all of its
+aligned only where more may come of it than the passages found (``beyond``).  At last a crowded seed that lies in no passage is compared with all of its
 holders that share a second seed at some distance with it (``left_open``), and a run of one
 seed with those that share more than the run (``open_runs``).
 """
