@@ -18,9 +18,13 @@ seed with those that share more than the run (``open_runs``).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,11 +37,18 @@ GAP_COST = 0.1
 HOLDERS = 8
 #: Occurrences of a seed that are ordered in one group; more go by parts.
 ORDERED = 4096
-#: Rows of seeds or runs that a task of Python holds before it gives them on.
-HELD = 200_000
+#: Bytes of text whose words a task of Python lays out at a time, and the least distance
+#: of two texts there, which no window, look beside or run of one seed spans.
+LAID = 500_000
+APART = K + WINDOW
 #: Words at either side of a seed that are told by four bits each; what may go on further.
 BESIDE = 8
 UNTOLD = 1_000_000_000
+#: Documents that share two crowded seeds and are all paired; more only where ``may_pass``.
+FEW = 16
+#: Bits for the words between two seeds, and rows of those that a task of Python holds.
+BAG = 256
+HELD = 20_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Its product with MIX is 1 modulo 2^64.
 UNMIX = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -52,33 +63,84 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
-def seeds(one: np.ndarray, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes and places of the minimisers of a text whose words hash to ``one``,
+class Laid(NamedTuple):
+    """Word hashes of several texts in one array, at least APART places between any two."""
+
+    doc: np.ndarray  #: number of each text in its batch
+    begin: np.ndarray  #: the place of its first word
+    length: np.ndarray
+    one: np.ndarray
+
+    def every(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """The places where a run of ``length`` words begins, and how many each text has."""
+        n = np.maximum(self.length - length + 1, 0)
+        return np.arange(n.sum()) + np.repeat(self.begin - np.cumsum(n) + n, n), n
+
+    def owner(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.begin, at, "right") - 1
+
+
+def hashes_of(data: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words that begin ``at`` in the bytes, eight bytes a turn."""
+    eight = np.ndarray(len(data) + 1, "<u8", np.append(data, np.zeros(8, np.uint8)).tobytes(), strides=(1,))
+    told = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+    out, left, rows = length.astype(np.uint64) * MIX, length, np.arange(len(at))
+    while len(rows):
+        h = out[rows] ^ (eight[at] & told[np.minimum(left, 8)])
+        for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            h = (h ^ (h >> np.uint64(33))) * np.uint64(factor)
+        out[rows] = h ^ (h >> np.uint64(33))
+        more = left > 8
+        rows, at, left = rows[more], at[more] + 8, left[more] - 8
+    return out
+
+
+def laid_out(texts: pa.Array, held: int = LAID) -> Iterator[Laid]:
+    """The words of the texts as ``words_of`` tells them, some ``held`` bytes of text at a time."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    end = 0
+    while end < len(texts):
+        start, end = end, max(int(np.searchsorted(size, (size[end - 1] if end else 0) + held, "right")), end + 1)
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.slice(start, end - start).cast(pa.string()), "")))
+        words, owner = pc.list_flatten(lists), pc.list_parent_indices(lists).to_numpy()
+        ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+        there = ends[1:] > ends[:-1]  # a text may end with spaces
+        at, n, owner = ends[:-1][there], np.diff(ends)[there], owner[there]
+        length = np.bincount(owner, minlength=end - start)
+        one = np.zeros(int(length.sum()) + APART * (len(length) + 1), np.uint64)
+        if len(at):
+            one[np.arange(len(at)) + (owner + 1) * APART] = hashes_of(np.frombuffer(words.buffers()[2], np.uint8), at, n)
+        yield Laid(np.arange(start, end), np.cumsum(length + APART) - length, length, one)
+
+
+def seeds(laid: Laid, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and places of the minimisers of the texts,
     how far each lies behind the first of a run of itself, and whether it is of such a run at all; a shared run of k + window - 1 words always
     shares one."""
-    if len(one) < k:
-        return np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, bool)
-    n = len(one) - k + 1
-    h = np.zeros(n, np.uint64)
+    there, n = laid.every(k)
+    h = np.full(len(laid.one), np.iinfo(np.uint64).max)
+    own = np.zeros(len(there), np.uint64)
     for j in range(k):
-        h = h * MIX + one[j : j + n]
-    h = (h ^ (h >> np.uint64(31))) * MIX
-    h ^= h >> np.uint64(29)
-    if n <= window:
-        at = np.array([h.argmin()])
-    else:
-        view = np.lib.stride_tricks.sliding_window_view(h, window)
-        at = view.argmin(1) + np.arange(len(view))
-        at = at[np.append(True, at[1:] != at[:-1])]
+        own = own * MIX + laid.one[there + j]
+    own = (own ^ (own >> np.uint64(31))) * MIX
+    h[there] = own ^ (own >> np.uint64(29))
+    least, width = np.arange(len(h)), 1
+    while width < window:
+        step = min(width, window - width)
+        a, b = least[:-step], least[step:]
+        least, width = np.where(h[a] <= h[b], a, b), width + step
+    starts = np.minimum(np.maximum(n - window + 1, 1), n)
+    at = least[np.arange(starts.sum()) + np.repeat(laid.begin - np.cumsum(starts) + starts, starts)]
+    at = at[np.append(True, at[1:] != at[:-1])[: len(at)]]
     h, since, runs = numbered_in_runs(h[at], at)
-    return h.view(np.int64), at.astype(np.int32), since, runs
+    return h.view(np.int64), at, since, runs
 
 
 def beside(one: np.ndarray, at: np.ndarray, k: int = K) -> np.ndarray:
     """The BESIDE words before each place (upper half) and after its k words, nearest
     first in the lowest bits, as numbers of four bits: 1 to 15, 0 outside of the text."""
     told = np.zeros(len(one) + 2 * BESIDE + k, np.uint64)
-    told[BESIDE : BESIDE + len(one)] = one % np.uint64(15) + np.uint64(1)
+    told[BESIDE : BESIDE + len(one)] = np.where(one > 0, one % np.uint64(15) + np.uint64(1), 0)
     out = np.zeros(len(at), np.uint64)
     for j in range(BESIDE):
         out |= told[at + (BESIDE + k + j)] << np.uint64(4 * j)
@@ -108,8 +170,8 @@ def going_on(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def numbered_in_runs(h: np.ndarray, at: np.ndarray, gap: int = K + WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """In a run of one repeated seed ("no no no ...") the n-th is told from the
     others, so that such runs match in order too; the places since the first, and
-    true for all."""
-    order = np.lexsort((at, h))
+    true for all.  Places ascend, and those of two texts lie further apart than ``gap``."""
+    order = np.argsort(h, kind="stable")
     own, place = h[order], at[order]
     starts = np.ones(len(h), bool)
     starts[1:] = (own[1:] != own[:-1]) | (place[1:] - place[:-1] > gap)
@@ -134,16 +196,29 @@ def long_seeds(one: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray
     return (h ^ (h >> np.uint64(29))).view(np.int64), at.astype(np.int32)
 
 
-def bare_windows(one: np.ndarray, places: np.ndarray, whole: int) -> tuple[np.ndarray, np.ndarray]:
+def bare_windows(laid: Laid, places: np.ndarray, whole: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and places of the runs of ``whole`` words without two seeds, other than
     those at ``places``, so far apart that a chain of both counts."""
-    at = seeds(one)[1]
-    telling = at[~np.isin(at, places)]
-    starts = np.arange(max(len(one) - whole + 1, 0))
-    lo, hi = np.searchsorted(telling, starts), np.searchsorted(telling, starts + whole - K, "right") - 1
+    at = seeds(laid)[1]
+    told = np.zeros(len(laid.one), bool)
+    told[places] = True
+    telling = at[~told[at]]
+    before = np.zeros(len(laid.one) + 1, np.int64)
+    before[telling + 1] = 1
+    before = np.cumsum(before)
+    starts = laid.every(whole)[0]
+    lo, hi = before[starts], before[starts + whole - K + 1] - 1
     bare = lo >= hi
     bare[~bare] = telling[hi[~bare]] - telling[lo[~bare]] < whole // 3 - K
-    return long_seeds(one, starts[bare], whole)
+    return long_seeds(laid.one, starts[bare], whole)
+
+
+def firsts(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """True for the first of each hash in its text; texts ascend."""
+    order = np.argsort(h, kind="stable")
+    out = np.ones(len(h), bool)
+    out[order[1:]] = (h[order[1:]] != h[order[:-1]]) | (doc[order[1:]] != doc[order[:-1]])
+    return out
 
 
 def crowded_matches(docs: DataFrame, seeded: DataFrame, whole: int) -> DataFrame:
@@ -159,15 +234,17 @@ def crowded_matches(docs: DataFrame, seeded: DataFrame, whole: int) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, hashes, starts = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
-            for d, t, at in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                h, place = bare_windows(word_hashes(words_of(t.as_py())), np.array(at, np.int32), whole)
+            ids, lists = batch.column(0).to_numpy(), batch.column(2)
+            for laid in laid_out(batch.column(1)):
+                part = lists.slice(laid.doc[0], len(laid.doc))
+                spots = pc.list_flatten(part).to_numpy() + laid.begin[pc.list_parent_indices(part).to_numpy()]
+                h, place = bare_windows(laid, spots, whole)
                 h = numbered_in_runs(h.view(np.uint64), place, whole)[0].view(np.int64)
-                _, once = np.unique(h, return_index=True)
-                ids.append(np.full(len(once), d, np.int64))
-                hashes.append(h[once])
-                starts.append(place[once])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (ids, hashes, starts)], ["doc_id", "h", "at"])
+                doc = laid.owner(place)
+                once = firsts(h, doc)
+                h, place, doc = h[once], place[once], doc[once]
+                cols = ids[laid.doc[doc]], h, (place - laid.begin[doc]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["doc_id", "h", "at"])
 
     windows = settle(held.mapInArrow(run, "doc_id long, h long, at int"), "windows")
     first = windows.groupBy("h").agg(F.min(F.struct(F.col("doc_id").alias("source"), F.col("at").alias("s_at"))).alias("f"), F.count("*").alias("docs"))
@@ -184,22 +261,12 @@ def seed_table(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts: list[list[np.ndarray]] = [[] for _ in names]
-            held = 0
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                one = word_hashes(words_of(t.as_py()))
-                h, at, since, runs = seeds(one)
-                first = np.zeros(len(h), bool)
-                first[np.unique(h, return_index=True)[1]] = True
-                row = (np.full(len(h), d, np.int64), h, at, first, since > 0, runs, since, beside(one, at))
-                for part, values in zip(parts, row, strict=True):
-                    part.append(values)
-                held += len(h)
-                if held > HELD:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in parts], names)
-                    parts, held = [[] for _ in names], 0
-            if parts[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in parts], names)
+            ids = batch.column(0).to_numpy()
+            for laid in laid_out(batch.column(1)):
+                h, at, since, runs = seeds(laid)
+                doc = laid.owner(at)
+                row = (ids[laid.doc[doc]], h, (at - laid.begin[doc]).astype(np.int32), firsts(h, doc), since > 0, runs, since, beside(laid.one, at))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in row], names)
 
     kinds = "doc_id long, h long, at int, first boolean, again boolean, bare boolean, since int, near long"
     return docs.select("doc_id", "text").mapInArrow(run, kinds)
@@ -326,15 +393,15 @@ def beyond(near: DataFrame, crowd: DataFrame, long: DataFrame, spans: DataFrame,
     return near.select(*plain).unionByName(met).withColumn("long", F.lit(False)).unionByName(long).join(out, ["doc_id", "source"], "left_semi")
 
 
-def left_open(docs: DataFrame, seeded: DataFrame, spans: DataFrame, near: int, far: int, min_words: int) -> DataFrame:
+def left_open(docs: DataFrame, seeded: DataFrame, spans: DataFrame, near: int, far: int, min_words: int, identity: float) -> DataFrame:
     """(doc_id, source, at, s_at, long): the crowded seeds that lie in no span,
     with every document that has them and, ``near`` to ``far`` words away in both, a
     second seed that is not of the same run of one seed; such runs by ``open_runs``.
 
     The first of two seeds goes on no run: documents that share the n-th of a run
-    share its first.  Where many documents share two such seeds and no passage, this
-    grows with the square of their number; all of it is joins by hash, so no task
-    holds more than its share."""
+    share its first.  Two seeds that more than FEW documents share make a pair only where
+    the words in and around them may add up to a passage (``may_pass``), so a line or two
+    of which many documents consist but for other words makes none."""
     inside = (F.col("s.doc_id") == F.col("o.doc_id")) & F.col("at").between(F.col("lo"), F.col("hi") - K)
     crowded = seeded.where(F.col("docs") > HOLDERS + 1).select("doc_id", "h", "at", "since")
     outside = settle(crowded.alias("o").join(outermost(spans).select("doc_id", "lo", "hi").alias("s"), inside, "left_anti"), "outside")
@@ -352,16 +419,90 @@ def left_open(docs: DataFrame, seeded: DataFrame, spans: DataFrame, near: int, f
     mine = settle(mine, "mine")
     heads = broadcast_if_small(settle(mine.select(F.col("h1").alias("h")).distinct(), "heads-two"))
     tails = broadcast_if_small(settle(mine.select(F.col("h2").alias("h")).distinct(), "tails-two"))
-    theirs = two(several.join(heads, "h", "left_semi"), several.join(tails, "h", "left_semi"))
-    met = mine.alias("m").join(theirs.alias("t"), ["h1", "h2"]).where("m.doc_id <> t.doc_id")
-    turned = F.col("m.doc_id") > F.col("t.doc_id")
-    later, earlier = F.when(turned, F.col("m.p")).otherwise(F.col("t.p")), F.when(turned, F.col("t.p")).otherwise(F.col("m.p"))
-    met = met.select(F.greatest("m.doc_id", "t.doc_id").alias("doc_id"), F.least("m.doc_id", "t.doc_id").alias("source"), later.alias("l"), earlier.alias("e"))
+    theirs = settle(two(several.join(heads, "h", "left_semi"), several.join(tails, "h", "left_semi")), "theirs")
+    many = theirs.groupBy("h1", "h2").count().where(F.col("count") > FEW).select("h1", "h2")
+    many = broadcast_if_small(settle(many, "many"))
+    few = mine.join(many, ["h1", "h2"], "left_anti").alias("m").join(theirs.alias("t"), ["h1", "h2"]).where("m.doc_id <> t.doc_id")
+    met = few.select("m.doc_id", "m.p", F.col("t.doc_id").alias("t_doc"), F.col("t.p").alias("t_p"))
+    own = mine.join(many, ["h1", "h2"], "left_semi").withColumn("own", F.lit(True))
+    own = own.unionByName(theirs.join(many, ["h1", "h2"], "left_semi").withColumn("own", F.lit(False)))
+    told = settle(surrounded(docs, own, far, min_words), "surrounded")
+    m, t = told.where("own").alias("m"), told.where("not own").alias("t")
+    met = met.unionByName(m.join(t, may_pass(min_words, identity)).select("m.doc_id", "m.p", F.col("t.doc_id").alias("t_doc"), F.col("t.p").alias("t_p")))
+    turned = F.col("doc_id") > F.col("t_doc")
+    later, earlier = F.when(turned, F.col("p")).otherwise(F.col("t_p")), F.when(turned, F.col("t_p")).otherwise(F.col("p"))
+    met = met.select(F.greatest("doc_id", "t_doc").alias("doc_id"), F.least("doc_id", "t_doc").alias("source"), later.alias("l"), earlier.alias("e"))
     ends = F.array(*(F.struct(F.col(f"l.p{i}").alias("at"), F.col(f"e.p{i}").alias("s_at")) for i in (1, 2)))
     met = met.select("doc_id", "source", F.inline(ends)).unionByName(open_runs(docs, several, outside, near, far, min_words))
     return met.withColumn("long", F.lit(False))
 
 
+def outer(min_words: int) -> int:
+    """Longs of eight words by which a passage may stick out of its two seeds."""
+    return -(-max(min_words - K, 1) // 8)
+
+
+def surrounded(docs: DataFrame, two: DataFrame, far: int, min_words: int) -> DataFrame:
+    """``two`` with what their texts hold: a byte each for the words before the first (l0
+    on, nearest first) and after the second seed (r0 on), and a bit of BAG for each word
+    between them.  Out of the text a byte is 0 in one's ``own`` rows and 255 in others."""
+    width = 8 * outer(min_words)
+    names = [f"{side}{i}" for side in "lr" for i in range(width // 8)] + [f"b{i}" for i in range(BAG // 64)]
+    rows = two.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2", F.col("p.p1").alias("p1"), F.col("p.p2").alias("p2"), "own")).alias("rows"))
+    held = docs.select("doc_id", "text").join(rows, "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for laid in laid_out(batch.column(1)):
+                part = batch.column(2).slice(laid.doc[0], len(laid.doc))
+                flat, text = pc.list_flatten(part), pc.list_parent_indices(part).to_numpy()
+                for lo in range(0, len(flat), HELD):
+                    doc = text[lo : lo + HELD]
+                    h1, h2, p1, p2, own = (c.to_numpy(zero_copy_only=False) for c in flat.slice(lo, HELD).flatten())
+                    begin, end = laid.begin[doc][:, None], (laid.begin + laid.length)[doc][:, None]
+                    a, b, step = begin + p1[:, None], begin + p2[:, None], np.arange(width)
+                    sides = []
+                    for at in (a - 1 - step, b + K + step):
+                        there = (at >= begin) & (at < end)
+                        code = (laid.one[np.where(there, at, 0)] % np.uint64(254) + np.uint64(1)).astype(np.uint8)
+                        sides.append(np.where(there, code, np.where(own, 0, 255)[:, None].astype(np.uint8)).view("<i8"))
+                    at = a + K + np.arange(max(far - K, 1))
+                    row, col = np.nonzero(at < b)
+                    bag = np.zeros((len(doc), BAG), bool)
+                    bag[row, (laid.one[at[row, col]] >> np.uint64(32)) % np.uint64(BAG)] = True
+                    cols = [*sides[0].T, *sides[1].T, *np.packbits(bag, 1).view("<i8").T]
+                    first = [ids[laid.doc[doc]], h1, h2, p1, p2, own]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in first + cols], ["doc_id", "h1", "h2", "p1", "p2", "own", *names])
+
+    kinds = "doc_id long, h1 long, h2 long, p1 int, p2 int, own boolean, " + ", ".join(f"{name} long" for name in names)
+    found = held.mapInArrow(run, kinds)
+    return found.select("doc_id", "h1", "h2", F.struct("p1", "p2").alias("p"), "own", *names)
+
+
+def may_pass(min_words: int, identity: float) -> Column:
+    """True for two rows m and t of ``surrounded`` that a passage may hold: as many words may
+    be equal as it needs at least.  Out of the first and the last of its seeds it goes on
+    without shifts, so equal words have equal places; between the two, a word whose bit
+    the other text lacks is equal to none."""
+
+    def equal(name: str) -> Column:
+        x = F.col(f"m.{name}").bitwiseXOR(F.col(f"t.{name}"))
+        for by in (4, 2, 1):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, by))
+        return F.lit(8) - F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
+
+    def between(one: str, other: str) -> Column:
+        lacks = [F.bit_count(F.col(f"{one}.b{i}").bitwiseAND(F.bitwise_not(f"{other}.b{i}"))) for i in range(BAG // 64)]
+        return F.col(f"{one}.p.p2") - F.col(f"{one}.p.p1") - K - reduce(add, lacks)
+
+    out = reduce(add, [equal(f"{side}{i}") for side in "lr" for i in range(outer(min_words))])
+    apart = F.greatest(F.col("m.p.p2") - F.col("m.p.p1"), F.col("t.p.p2") - F.col("t.p.p1"))
+    needed = F.greatest(F.lit(min_words), apart + K) * identity
+    same = (F.col("m.h1") == F.col("t.h1")) & (F.col("m.h2") == F.col("t.h2")) & (F.col("m.doc_id") != F.col("t.doc_id"))
+    return same & (F.least(between("m", "t"), between("t", "m")) + out + 2 * K >= needed - 1e-6)
+
+
 def around(one: np.ndarray, p: int, last: int, far: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of what lies at each distance from a run of one seed at the places ``p`` to
     ``last``, two words each, and which of them a passage that is to stick out of the run
@@ -473,7 +614,10 @@ def chains(x: np.ndarray, y: np.ndarray, k: int = K) -> list[list[int]]:
 def chains_in_line(x: np.ndarray, y: np.ndarray, k: int) -> list[list[int]]:
     """``chains`` of matches that increase in both texts: the best predecessor is
     the match before, as it adds k on the same way."""
-    score, before, last, step = [float(k)], [-1], float(k), (GAP_COST * np.diff(x + y)).tolist()
+    steps = GAP_COST * np.diff(x + y)
+    if (steps < k).all():
+        return [list(range(len(x)))]
+    score, before, last, step = [float(k)], [-1], float(k), steps.tolist()
     for i, cost in enumerate(step):
         gain = last - cost
         last = k + gain if gain > 0 else float(k)
@@ -615,8 +759,8 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, identity: float = 0.
     firsts = keys.groupBy("key").agg(F.min("doc_id").alias("source"), F.count("*").alias("copies")).where("copies > 1")
     copies = settle(keys.join(settle(firsts, "firsts"), "key"), "copies")
     whole = copies.where(F.col("n") >= min_words).select("doc_id", F.lit(0).alias("lo"), F.col("n").alias("hi"), "source", F.lit(1.0).alias("identity"))
-    again = broadcast_if_small(settle(copies.where("doc_id <> source").select("doc_id"), "again"))
-    alone = known.join(again, "doc_id", "left_anti")
+    again = copies.where("doc_id <> source").select("doc_id").unionByName(keys.where(F.col("n") < min_words).select("doc_id"))
+    alone = known.join(broadcast_if_small(settle(again, "again")), "doc_id", "left_anti")
 
     met = settle(meetings(seed_table(alone)), "met")
     seeded = met.where("s_at < 0")
@@ -630,7 +774,7 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, identity: float = 0.
     least = max(min_words // 3 - K, 1)
     rest = beyond(near, crowd, long, spans, keys, least)
     spans = settle(spans.unionByName(aligned_spans(alone, rest, min_words, identity)), "more-spans")
-    rest = left_open(alone, seeded, spans, least, int(min_words / identity) + 2, min_words)
+    rest = left_open(alone, seeded, spans, least, int(min_words / identity) + 2, min_words, identity)
     spans = spans.unionByName(aligned_spans(alone, rest, min_words, identity))
     spans = spans.groupBy("doc_id", "lo", "hi").agg(F.min(F.struct("source", (-F.col("identity")).alias("other"))).alias("best"))
     return outermost(settle(spans, "all-spans")).select(
@@ -653,18 +797,28 @@ def aligned_spans(alone: DataFrame, matches: DataFrame, min_words: int, identity
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for d, s, x, y, is_long in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if any(is_long):
-                    xs, ys = points(np.array(x), np.array(y), np.array(is_long), min_words)
+            docs, sources = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            ends = np.append(0, np.cumsum(pc.list_value_length(batch.column(2)).to_numpy())).tolist()
+            x, y, long = (pc.list_flatten(batch.column(i)).to_numpy(zero_copy_only=False) for i in (2, 3, 4))
+            x, y = x.astype(np.int64), y.astype(np.int64)
+            row, lengths, px, py = [], [], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for i, (lo, hi) in enumerate(zip(ends, ends[1:], strict=False)):
+                xs, ys, is_long = x[lo:hi], y[lo:hi], long[lo:hi]
+                if is_long.any():
+                    xs, ys = points(xs, ys, is_long, min_words)
                 else:
-                    xs, ys = np.array(sorted(zip(x, y, strict=True))).T
+                    order = np.lexsort((ys, xs))
+                    xs, ys = xs[order], ys[order]
                 for chain in chains(xs, ys):
                     if len(chain) > 1 and xs[chain[-1]] + K - xs[chain[0]] >= min_words // 3:
-                        rows.append((d, s, xs[chain].tolist(), ys[chain].tolist()))
-            ints, lists = pa.int64(), pa.list_(pa.int64())
-            cols = list(zip(*rows, strict=True)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (ints, ints, lists, lists), strict=True)], ["doc_id", "source", "x", "y"])  # noqa: E501
+                        row.append(i)
+                        lengths.append(len(chain))
+                        px.append(xs[chain])
+                        py.append(ys[chain])
+            offsets = np.append(0, np.cumsum(lengths)).astype(np.int32)
+            cols = [docs[row], sources[row]] if row else [docs[:0], sources[:0]]
+            lists = [pa.ListArray.from_arrays(offsets, np.concatenate(c)) for c in (px, py)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, cols), *lists], ["doc_id", "source", "x", "y"])
 
     linked = settle(pairs.mapInArrow(link, "doc_id long, source long, x array<long>, y array<long>"), "chains")
     needed = settle(linked.select(F.explode(F.array("doc_id", "source")).alias("doc_id")).distinct(), "needed")

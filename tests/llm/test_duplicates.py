@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 from itertools import combinations, product
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -605,3 +606,35 @@ def test_words_beside_seeds_never_understate_how_far_texts_go_on(a, b, data):
     alike = lambda pairs: next((n for n, (v, w) in enumerate(pairs) if v != w), min(len(pairs), 10**6))
     assert left[0] >= alike(list(zip(a[:x][::-1], b[:y][::-1], strict=False)))
     assert right[0] >= alike(list(zip(a[x + 5 :], b[y + 5 :], strict=False)))
+
+
+def test_lines_that_many_documents_begin_and_end_with_make_no_pairs(spark, monkeypatch):
+    """Documents of a common first and last line with other words between and after
+    them: what is aligned does not grow with the square of their number, and two that
+    share a changed passage around those lines are found."""
+    rng = random.Random(16)
+    text = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(n)]
+    begin, end = text(16), text(16)
+    crowd = [begin + text(12 + i % 5) + end + text(20) for i in range(60)]
+    inside, after = text(14), text(12)
+    two = [begin + [*inside[:7], f"other{i}", *inside[7:]] + end + after + text(10) for i in range(2)]
+    got, aligned = aligned_pairs(spark, monkeypatch, crowd + two)
+    assert {(r["doc_id"], r["first_word"], r["end_word"], r["source_doc_id"]) for r in got} == {(60, 0, 59, 60), (61, 0, 59, 60)}
+    assert aligned <= 10 * 62
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["a", "B", "Äb", "no", "longer-than-eight"]), max_size=40), max_size=5), st.sampled_from([" ", "\n", " \t ", "\x0b"]), st.sampled_from([1, 50, 10**6]))
+def test_seeds_of_texts_laid_out_together(texts, gap, held):
+    """Each text's words are told apart and its seeds are the minimisers of its own windows."""
+    told = {}
+    for laid in passages.laid_out(pa.array([gap + gap.join(t) for t in texts], pa.string()), held):
+        _, at, _, _ = passages.seeds(laid)
+        for i, d in enumerate(laid.doc.tolist()):
+            one = laid.one[laid.begin[i] : laid.begin[i] + laid.length[i]]
+            words = passages.words_of(gap.join(texts[d]))
+            assert len(one) == len(words) and all(told.setdefault(w, h) == h for w, h in zip(words, one.tolist(), strict=True))
+            grams = [tuple(one[p : p + 5].tolist()) for p in range(len(one) - 4)]
+            own = (at[laid.owner(at) == i] - laid.begin[i]).tolist()
+            assert all(any(p in own for p in range(s, s + 10)) for s in range(len(grams) - 9)) and bool(own) == bool(grams)
+    assert len(set(told.values())) == len(told)
